@@ -7,8 +7,8 @@ likely reading under the model. The text with its restored words is then scored.
 
 The score is a decision list: each five-character gram of a word (with blanks at the word's ends) has the lower limit
 of the share of toxic documents among the labelled documents that contain it; a document scores the highest limit of
-its grams, or the rate of documents without any known gram. It is learned from a bounded sample: the `sample_docs`
-labelled documents with the smallest hash of their id.
+its grams, or the rate of documents without any listed gram. The list is learned by separate-and-conquer from a bounded
+sample: the `SAMPLE_DOCS` labelled documents with the smallest hash of their id.
 
 Defined results: a null text is the empty text and scores the rate of documents without known grams (0 if nothing
 could be learned). A document with several labels counts as toxic if one says so; null labels and null ids are no
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.shared import cut
 from gridloom.llm.words import balanced
 
 # Signs and the letters they imitate.
@@ -190,7 +191,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame
 
 
 def gram_table(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(gram, toxic, clean): documents of either kind that contain the gram; the empty gram counts all documents."""
+    """(gram, toxic, clean): documents of either kind that contain the gram."""
     held = rows.sparkSession.sparkContext.broadcast(bits)
 
     def scan(batches):
@@ -207,7 +208,6 @@ def gram_table(rows: DataFrame, bits: np.ndarray) -> DataFrame:
                 own = counts[int(toxic > 0)]
                 for g in grams:
                     own[g] = own.get(g, 0) + 1
-                own[""] = own.get("", 0) + 1
                 if len(counts[0]) > 1_000_000:
                     yield from flush()
         yield from flush()
@@ -221,16 +221,65 @@ def lower_limit(t: Column, n: Column) -> Column:
     return (p + Z2 / (2 * n) - F.sqrt(Z2 * (p * (1 - p) + Z2 / (4 * n)) / n)) / (1 + Z2 / n)
 
 
+def evidence(rows: DataFrame, bits: np.ndarray, candidates: list[str]) -> DataFrame:
+    """(toxic, grams): the candidate grams of each document of the sample, as numbers."""
+    held = rows.sparkSession.sparkContext.broadcast((bits, {g: k for k, g in enumerate(candidates)}))
+
+    def scan(batches):
+        restorer, number = Restorer(held.value[0]), held.value[1]
+        for b in batches:
+            found = []
+            for text in b.column(1).to_pylist():
+                found.append(sorted({number[g] for w in all_words(text or "", restorer)[0] for g in grams_of(w) if g in number}))
+            yield pa.RecordBatch.from_arrays([pa.array([x > 0 for x in b.column(0).to_pylist()], pa.bool_()), pa.array(found, pa.list_(pa.int32()))], ["toxic", "grams"])
+
+    return rows.mapInArrow(scan, "toxic boolean, grams array<int>")
+
+
+def wilson(t: float, n: float) -> float:
+    p = t / n
+    return (p + Z2 / (2 * n) - (Z2 * (p * (1 - p) + Z2 / (4 * n)) / n) ** 0.5) / (1 + Z2 / n)
+
+
+def decision_list(rows: list[tuple[bool, list[int]]], n_candidates: int) -> tuple[dict[int, float], float]:
+    """Separate and conquer: take the candidate with the highest limit among the documents that no earlier one
+    covers, until none reaches MIN_LIMIT. Grams that are toxic only by the company they keep are thus left out."""
+    docs_of: list[list[int]] = [[] for _ in range(n_candidates)]
+    for d, (_, grams) in enumerate(rows):
+        for g in grams:
+            docs_of[g].append(d)
+    left = [True] * len(rows)
+    counts = np.array([[sum(rows[d][0] for d in docs), len(docs)] for docs in docs_of] or np.zeros((0, 2)), float)
+    whole = counts.copy()
+    chosen: dict[int, float] = {}
+    while len(counts):
+        n = np.maximum(counts[:, 1], 1e-9)
+        p = counts[:, 0] / n
+        low = np.where(counts[:, 1] > 0, (p + Z2 / (2 * n) - np.sqrt(Z2 * (p * (1 - p) + Z2 / (4 * n)) / n)) / (1 + Z2 / n), 0)
+        g = int(low.argmax())
+        if low[g] < MIN_LIMIT:
+            break
+        chosen[g] = wilson(*whole[g])
+        for d in docs_of[g]:
+            if left[d]:
+                left[d] = False
+                for other in rows[d][1]:
+                    counts[other] -= (rows[d][0], 1)
+    rest = [t for (t, _), x in zip(rows, left) if x]
+    return chosen, (sum(rest) + 0.5) / (len(rest) + 1) if rows else 0.0
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """What comes to the driver: N**3 counts, MAX_GRAMS candidates and the candidates of the sample's documents."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     bits = trigram_bits(character_counts(rows.select("text")))
-    table = gram_table(labelled_sample(rows, labels, limit), bits)
-    n = F.col("toxic") + F.col("clean")
-    top = table.withColumn("low", lower_limit(F.col("toxic"), n)).filter((F.col("low") >= MIN_LIMIT) | (F.col("gram") == "")).orderBy((F.col("gram") == "").desc(), F.col("low").desc(), "gram").limit(MAX_GRAMS + 1).collect()
-    limits = {r.gram: r.low for r in top if r.gram}
-    counts = next(((r.toxic, r.clean) for r in top if not r.gram), (0, 0))
-    base = min(0.4, 0.5 * counts[0] / max(1, sum(counts)))
-    return Model(bits, limits, base)
+    chosen = cut(labelled_sample(rows, labels, limit), "toxicity-sample")
+    low = lower_limit(F.col("toxic"), F.col("toxic") + F.col("clean"))
+    top = gram_table(chosen, bits).withColumn("low", low).filter(F.col("low") >= MIN_LIMIT).orderBy(F.col("low").desc(), "gram").limit(MAX_GRAMS).collect()
+    candidates = [r.gram for r in top]
+    seen = [(r.toxic, r.grams) for r in evidence(chosen, bits, candidates).toLocalIterator()]
+    limits, base = decision_list(seen, len(candidates))
+    return Model(bits, {candidates[g]: w for g, w in limits.items()}, min(base, 0.49))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
