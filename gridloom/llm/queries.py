@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe_table, exact_dedup, language_id, line_dedup, packing, token_counts, toxicity
+from gridloom.llm import bpe_table, exact_dedup, language_id, license_scan, line_dedup, nearest, packing, token_counts, toxicity
 from gridloom.llm.shared import documents
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir))
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}").add(documents(spark, sf_dir))
 
@@ -42,6 +50,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op3_nearest": op3_nearest,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
