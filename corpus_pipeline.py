@@ -1,4 +1,54 @@
-STAGES = []
+"""A training corpus from `documents`: five stages, each on all rows that the stage before it kept.
+
+Stages take (spark, docs, sf_dir). The first four return the columns of documents, with the rows or lines that they
+reject gone; the last returns the packed pieces. Rows with null columns are documents like any other; a text that is
+null or has no letter has no language and goes in the second stage.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import language_id, line_dedup, near_dedup, packing, toxicity
+from gridloom.llm.shared import cut, documents
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.without_unknown(docs, language_id.fit(docs))
+
+
+def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.without_frequent_lines(docs, min_docs=10, min_chars=1).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.one_of_each(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_language),
+    ("line_dedup", drop_frequent_lines),
+    ("near_dedup", drop_near_copies),
+    ("packing", pack),
+]
+
+#: Learned models and packing are not expressible in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -188,23 +188,25 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_DOCS, id_col: str = "doc_id", te
     return learn({k: tuple(np.array(v, np.int64).T) for k, v in grams.items()}) if grams else None
 
 
+def labelled(model: Model | None, texts: list[str]) -> list[tuple[str, float, float | None]]:
+    """(language, score, bits per byte) of each text."""
+    out: list[tuple[str, float, float | None]] = [("und", 0.0, None)] * len(texts)
+    known = [k for k, t in enumerate(texts) if LETTER.search(t)] if model else []
+    if known:
+        data = [texts[k].encode() for k in known]
+        bits = lengths(model, data)
+        for k, d, row, j in zip(known, data, bits, bits.argmin(1)):
+            out[k] = (model.langs[j], float(1 / np.exp2(np.maximum(row[j] - row, -1000)).sum()), float(row[j] / len(d)))
+    return out
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (posterior of the prediction), bits_per_byte."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches):
-        m = held.value
         for ids, texts in balanced_with_flag(batches):
-            langs, scores, rates = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
-            known = [k for k, t in enumerate(texts) if LETTER.search(t)] if m else []
-            if known:
-                data = [texts[k].encode() for k in known]
-                bits = lengths(m, data)
-                best = bits.argmin(1)
-                for k, d, row, j in zip(known, data, bits, best):
-                    langs[k] = m.langs[j]
-                    scores[k] = float(1 / np.exp2(np.maximum(row[j] - row, -1000)).sum())
-                    rates[k] = float(row[j] / len(d))
+            langs, scores, rates = zip(*labelled(held.value, texts))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i for i, _ in ids], pa.int64()), pa.array([h for _, h in ids], pa.bool_()), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"],
@@ -221,5 +223,16 @@ def balanced_with_flag(batches):
         yield [(x["i"], x["h"]) for x in ids], texts
 
 
+def without_unknown(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose predicted language is not `und`, all columns as they were. Nothing is shuffled."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def scan(batches):
+        for b in batches:
+            yield b.filter(pa.array([label != "und" for label, _, _ in labelled(held.value, [t or "" for t in b.column(at).to_pylist()])], pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def identify(docs: DataFrame, **columns: str) -> DataFrame:
     return predict(docs, fit(docs, **columns), **{k: v for k, v in columns.items() if k != "lang_col"})

@@ -38,9 +38,9 @@ def frequent_lines(lines: DataFrame, min_docs: int) -> DataFrame:
     return counts.filter(F.col("n_docs") >= min_docs)
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_lines, n_dropped, kept_text."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row_hash", F.xxhash64("doc_id", "text"))
+def _marked(docs: DataFrame, min_docs: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, text, gone): the row as it was and the positions of its lines that go."""
+    base = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row_hash", F.xxhash64("doc_id", "text"))
     exploded = base.select("doc_id", "row_hash", F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("pos", "key")).filter(F.length("key") >= min_chars)
     h1, h2 = two_hashes(F.col("key"))
     lines = cut(exploded.select("doc_id", "row_hash", "pos", h1.alias("h1"), h2.alias("h2")), "lines")
@@ -48,7 +48,23 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     hits = join_unique(lines, frequent, ["h1", "h2"], "n_lines", lines.count())
     gone = hits.groupBy("doc_id", "row_hash").agg(F.collect_set("pos").alias("gone"))
     rows = base.alias("b").join(gone.alias("g"), F.col("b.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("b.row_hash") == F.col("g.row_hash")), "left")
-    none = F.array().cast("array<int>")
-    rows = rows.select(F.col("b.doc_id").alias("doc_id"), F.col("b.text").alias("text"), F.coalesce("g.gone", none).alias("gone"))
-    kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.filter(lines_of(F.col("text")), lambda _, i: ~F.array_contains("gone", i)), "\n"))
-    return rows.select("doc_id", F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    return rows.select("b.row", "b.doc_id", "b.text", F.coalesce("g.gone", F.array().cast("array<int>")).alias("gone"))
+
+
+def _kept_text() -> Column:
+    rest = F.filter(lines_of(F.col("text")), lambda _, i: ~F.array_contains("gone", i))
+    return F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(rest, "\n"))
+
+
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_lines, n_dropped, kept_text."""
+    rows = _marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), min_docs, min_chars, "doc_id", "text")
+    return rows.select("doc_id", F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), _kept_text().alias("kept_text"))
+
+
+def without_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the frequent lines gone from their texts and all other columns as they were. Texts without such lines,
+    null ones too, stay as they are."""
+    rows = _marked(docs, min_docs, min_chars, id_col, text_col)
+    text = F.when(F.size("gone") == 0, F.col("row")[text_col]).otherwise(_kept_text())
+    return rows.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

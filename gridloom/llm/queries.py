@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe_table, exact_dedup, language_id, license_scan, line_dedup, nearest, packing, token_counts, toxicity
+from gridloom.llm import bpe_table, exact_dedup, language_id, license_scan, line_dedup, near_dedup, nearest, packing, token_counts, toxicity
 from gridloom.llm.shared import documents
 
 
@@ -16,6 +16,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "n_texts", "kept")
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
 
@@ -51,6 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_near_dedup": op2_near_dedup,
     "op3_nearest": op3_nearest,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language_id": op5_language_id,

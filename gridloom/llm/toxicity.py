@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.shared import cut
-from gridloom.llm.words import balanced
 
 # Signs and the letters they imitate.
 IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou", "#": "h"}
@@ -164,7 +163,7 @@ class Restorer:
                 got = viterbi(token, self.bits) if any(c.isalpha() for c in token) else token
                 if len(self.known) < CACHE and len(token) < 100:
                     self.known[token] = got
-            if got != token:
+            if apart or got != token:
                 out.append(got)
         return out
 
@@ -282,31 +281,37 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS, id_col: st
     return Model(bits, {candidates[g]: w for g, w in limits.items()}, min(base, 0.49))
 
 
+class Scorer:
+    """Scores whole texts in a task."""
+
+    def __init__(self, model: Model):
+        self.model, self.restorer, self.weight = model, Restorer(model.bits), {}
+
+    def of(self, word: str) -> float:
+        w = self.weight.get(word)
+        if w is None:
+            limits = self.model.limits
+            w = max([limits.get(g, 0.0) for g in grams_of(word)], default=0.0)
+            if len(self.weight) < CACHE:
+                self.weight[word] = w
+        return w
+
+    def score(self, text: str) -> tuple[float, int]:
+        """(score, number of restored words)"""
+        words, n = all_words(text, self.restorer)
+        return max(self.model.base, max(map(self.of, words), default=0.0)), n
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, n_restored."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches):
-        m = held.value
-        restorer, weight = Restorer(m.bits), {}
-
-        def of(word: str) -> float:
-            w = weight.get(word)
-            if w is None:
-                w = max([m.limits.get(g, 0.0) for g in grams_of(word)], default=0.0)
-                if len(weight) < CACHE:
-                    weight[word] = w
-            return w
-
-        pairs = (pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([b.column(0), b.column(2)], ["i", "h"]), b.column(1)], ["id", "text"]) for b in batches)
-        for ids, texts in balanced(pairs):
-            scores, restored = [], []
-            for t in texts:
-                words, n = all_words(t, restorer)
-                scores.append(max(m.base, max(map(of, words), default=0.0)))
-                restored.append(n)
+        scorer = Scorer(held.value)
+        for b in batches:
+            out = [scorer.score(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x["i"] for x in ids], pa.int64()), pa.array([x["h"] for x in ids], pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(restored, pa.int32())],
+                [b.column(0), b.column(2), pa.array([s for s, _ in out], pa.float64()), pa.array([int(s >= 0.5) for s, _ in out], pa.int32()), pa.array([n for _, n in out], pa.int32())],
                 ["doc_id", "held_out", "score", "predicted", "n_restored"],
             )
 
@@ -314,5 +319,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(scan, SCHEMA)
 
 
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below 0.5, all columns as they were. Nothing is shuffled."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def scan(batches):
+        scorer = Scorer(held.value)
+        for b in batches:
+            yield b.filter(pa.array([scorer.score(t or "")[0] < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def score(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
     return predict(docs, fit(docs, labels, **columns), **columns)
