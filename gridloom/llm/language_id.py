@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from gridloom.llm.words import balanced
 
@@ -40,13 +39,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, text) of the documents learned from. Ids and languages alone decide, so this reads no text twice."""
-    hashed = F.xxhash64(F.col("doc_id"))
+    """(lang, text) of the documents learned from: those whose id's hash lies in the lowest per_lang / n part of its
+    range, for a language with n documents. Counts by language decide the part, so no language is sorted."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ranked = rows.select("lang", hashed.alias("h")).withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= per_lang)
-    last = ranked.groupBy("lang").agg(F.max("h").alias("last"))  # a row per language
-    return rows.join(F.broadcast(last), "lang").filter(hashed <= F.col("last")).select("lang", "text")
+    share = rows.groupBy("lang").agg((F.lit(per_lang) / F.count(F.lit(1))).alias("share"))  # a row per language
+    place = F.xxhash64("doc_id") / 2.0**64 + 0.5
+    return rows.join(F.broadcast(share), "lang").filter(place <= F.col("share")).select("lang", "text")
 
 
 def gram_counts(rows: DataFrame, order: int) -> DataFrame:
