@@ -1,21 +1,24 @@
 """BPE encoding through a table of distinct words, and decoding through an id-to-piece join.
 
-1. Split: each task splits its documents into words and numbers the distinct words of a block of documents. A block
-   leaves as one row, with the documents' words by number (compressed), and one row per distinct word.
-2. Encode: the word rows are dealt out by word and sorted, so each distinct word of the whole input meets in one place
-   and is encoded once. A word has at most one row per block, so no word is hot, however common it is.
+1. Split: each task splits its documents into words and numbers the distinct words of a block of documents, the most
+   common first. A block leaves as one row with the documents' words by number, and one row for each of `parts` parts
+   of the word range (by the word's checksum) with the block's distinct words in it. Both are compressed.
+2. Encode: the word rows are dealt out by part, so all that is said of a word meets in one place, where it is encoded
+   once for the whole input. A block names a word once, so no word is hot, however common it is.
 3. Join back: ids return to their block by word number and are put in the documents' places by position.
 4. Decode: ids are joined to the vocabulary's pieces, whose size the tokenizer file fixes.
 
-Texts move only as word numbers. Defined results: a null text is the empty text, with no ids and the empty decoded
-text. Null and repeated ids pass through, one row per input row; an empty input gives an empty result. Other columns
-are not read. Words that span a block's size limit do not exist: a document is never split over blocks.
+Texts move only as word numbers. A task holds a block of documents, or the distinct words of one part; `parts` should
+follow the corpus (about a million distinct words a part). Defined results: a null text is the empty text, with no ids
+and the empty decoded text. Null and repeated ids pass through, one row per input row; an empty input gives an empty
+result. Other columns are not read. A document is never split over blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +31,10 @@ from gridloom.llm.shared import cut
 from gridloom.llm.words import NOT_PLAIN, WORD, balanced, chunks, tokenizer
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 24 << 20
-SPLIT = "block long, word string, num int, docs binary"
-IDS = "block long, num int, ids binary"
+BLOCK_BYTES = 48 << 20
+PARTS = 64
+SPLIT = "block long, part int, words binary, nums binary, docs binary"
+IDS = "block long, nums binary, sizes binary, ids binary"
 
 
 class Splitter:
@@ -70,68 +74,121 @@ class Block:
         self.positions.append(at)
         self.held += size
 
-    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+    def rows(self, block: int, parts: int) -> Iterator[pa.RecordBatch]:
+        words = list(self.number)
+        positions = np.concatenate(self.positions) if self.positions else np.zeros(0, np.uint32)
+        order = np.argsort(-np.bincount(positions, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), "<u4")
+        rank[order] = np.arange(len(words))
         table = pa.table({"doc_id": pa.array(self.ids, pa.int64()), "n": pa.array(self.sizes, pa.int64())})
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table)
-        head = sink.getvalue().to_pybytes()
+        head = packed(sink.getvalue().to_pybytes())
         # bytes of the numbers by significance: the high ones are mostly zero, so they compress well
-        body = np.concatenate(self.positions or [np.zeros(0, np.uint32)]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-        docs = len(head).to_bytes(8, "little") + head + pa.compress(body, "zstd", asbytes=True) + len(body).to_bytes(8, "little")
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([None], pa.string()), pa.array([None], pa.int32()), pa.array([docs], pa.binary())], ["block", "word", "num", "docs"])
-        words = list(self.number)
-        for k in range(0, len(words), 50_000):
-            part = words[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string()), pa.array(range(k, k + len(part)), pa.int32()), pa.nulls(len(part), pa.binary())], ["block", "word", "num", "docs"]
-            )
+        body = packed(rank[positions].view(np.uint8).reshape(-1, 4).T.tobytes())
+        yield batch(SPLIT, [(block, None, None, None, len(head).to_bytes(8, "little") + head + body)])
+        by_part: list[list[str]] = [[] for _ in range(parts)]
+        for w in words:
+            by_part[zlib.crc32(w.encode()) % parts].append(w)
+        number = self.number
+        for part, own in enumerate(by_part):
+            if own:
+                own.sort()
+                nums = rank[[number[w] for w in own]]
+                yield batch(SPLIT, [(block, part, packed("\n".join(own).encode()), packed(nums.view(np.uint8).reshape(-1, 4).T.tobytes()), None)])
+
+
+def packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 6).compress(data, asbytes=True)
+
 
+def unpacked(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
 
-def unpacked(docs: bytes) -> tuple[list, list[int], np.ndarray]:
+
+def numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unpacked(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def documents_of(docs: bytes) -> tuple[list, list[int], np.ndarray]:
     n = int.from_bytes(docs[:8], "little")
-    table = pa.ipc.open_stream(docs[8 : 8 + n]).read_all()
-    body = pa.decompress(docs[8 + n : -8], int.from_bytes(docs[-8:], "little"), "zstd")
-    positions = np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-    return table["doc_id"].to_pylist(), table["n"].to_pylist(), positions
+    table = pa.ipc.open_stream(unpacked(docs[8 : 8 + n])).read_all()
+    return table["doc_id"].to_pylist(), table["n"].to_pylist(), numbers(docs[8 + n :])
+
+
+def batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], [n for n, _ in fields])
 
 
-def split_words(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
+def split_words(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, parts: int = PARTS) -> DataFrame:
     def scan(batches):
         splitter, block, n = Splitter(tokenizer_path), Block(), TaskContext.get().partitionId() << 32
         for ids, texts in balanced(batches):
             for doc_id, text in zip(ids, texts, strict=True):
                 block.add(doc_id, splitter.words(text), len(text))
             if block.held >= BLOCK_BYTES:
-                yield from block.rows(n)
+                yield from block.rows(n, parts)
                 block, n = Block(), n + 1
         if block.ids:
-            yield from block.rows(n)
+            yield from block.rows(n, parts)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(scan, SPLIT)
 
 
-def encode_words(words: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Ids of each row's word. Rows come sorted by word within their partition; each run of equal words is one call's word."""
+class WordTable:
+    """Ids of words, without the tokenizer's normaliser: words are normalised already."""
 
-    def scan(batches):
+    def __init__(self, path: str):
         from tokenizers import normalizers
 
-        tok = tokenizer(tokenizer_path)
-        tok.normalizer = normalizers.Sequence([])
-        before, ids = None, b""
+        self.tok = tokenizer(path)
+        self.tok.normalizer = normalizers.Sequence([])
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends[[i for w, i in self.tok.get_vocab().items() if w.endswith("</w>")]] = True
+
+    def encode(self, words: list[str]) -> list[np.ndarray]:
+        out = []
+        for k in range(0, len(words), 20_000):
+            some = words[k : k + 20_000]
+            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                out += np.split(ids, cuts[:-1])
+            else:  # a special token, or a word without a marked end
+                out += [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
+        return out
+
+
+def encode_words(words: DataFrame, tokenizer_path: str) -> DataFrame:
+    """The ids of the words of each row, for its block. Rows come sorted by part within their partition."""
+
+    def scan(batches):
+        table = WordTable(tokenizer_path)
+
+        def coded(rows):
+            lists = [unpacked(w).decode().split("\n") for _, w, _ in rows]
+            distinct = sorted(set().union(*lists))
+            ids = dict(zip(distinct, table.encode(distinct)))
+            for (block, _, nums), own in zip(rows, lists):
+                got = [ids[w] for w in own]
+                sizes = np.fromiter(map(len, got), "<u4", len(got))
+                yield batch(IDS, [(block, nums, packed(sizes.view(np.uint8).reshape(-1, 4).T.tobytes()), packed(np.concatenate(got).view(np.uint8).reshape(-1, 4).T.tobytes()))])
+
+        part, rows = None, []
         for b in batches:
-            word = b.column(1).to_pylist()
-            new = [w for w, v in zip(word, [before, *word]) if w != v]
-            coded = (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False))
-            out = []
-            for w in word:
-                if w != before:
-                    before, ids = w, next(coded)
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], ["block", "num", "ids"])
+            for block, p, w, nums in zip(*(c.to_pylist() for c in b.columns)):
+                if p != part and rows:
+                    yield from coded(rows)
+                    rows = []
+                part = p
+                rows.append((block, w, nums))
+        if rows:
+            yield from coded(rows)
 
-    return words.select("block", "word", "num").repartition("word").sortWithinPartitions("word").mapInArrow(scan, IDS)
+    return words.select("block", "part", "words", "nums").repartition("part").sortWithinPartitions("part").mapInArrow(scan, IDS)
 
 
 def assemble(split: DataFrame, ids: DataFrame, tokenizer_path: str, schema: str, result) -> DataFrame:
@@ -142,15 +199,18 @@ def assemble(split: DataFrame, ids: DataFrame, tokenizer_path: str, schema: str,
         tok = tokenizer(tokenizer_path)
         piece = [tok.id_to_token(i) for i in range(tok.get_vocab_size())]
         del key
-        text = [""] * right.num_rows
-        decoded = [""] * right.num_rows
-        for num, data in zip(right["num"].to_pylist(), right["ids"].to_pylist()):
-            got = np.frombuffer(data, "<u4").tolist()
-            text[num] = " ".join(map(str, got))
-            decoded[num] = " ".join([piece[i] for i in got])
+        text: dict[int, str] = {}
+        decoded: dict[int, str] = {}
+        for nums, sizes, ids in zip(right["nums"].to_pylist(), right["sizes"].to_pylist(), right["ids"].to_pylist()):
+            at, got = 0, numbers(ids).tolist()
+            for num, n in zip(numbers(nums).tolist(), numbers(sizes).tolist()):
+                own = got[at : at + n]
+                at += n
+                text[num] = " ".join(map(str, own))
+                decoded[num] = " ".join([piece[i] for i in own])
         tables = []
         for docs in left["docs"].to_pylist():
-            names, sizes, positions = unpacked(docs)
+            names, sizes, positions = documents_of(docs)
             at, part_ids, part_encoded, part_decoded = 0, [], [], []
             for name, n in zip(names, sizes):
                 own = positions[at : at + n].tolist()
@@ -169,8 +229,8 @@ def assemble(split: DataFrame, ids: DataFrame, tokenizer_path: str, schema: str,
 
 def _run(docs: DataFrame, tokenizer_path: str, schema: str, result, id_col: str, text_col: str) -> DataFrame:
     split = cut(split_words(docs, tokenizer_path, id_col, text_col), "bpe-words")
-    ids = encode_words(split.filter(F.col("word").isNotNull()), tokenizer_path)
-    return assemble(split.filter(F.col("word").isNull()).select("block", "docs"), ids, tokenizer_path, schema, result)
+    ids = encode_words(split.filter(F.col("part").isNotNull()), tokenizer_path)
+    return assemble(split.filter(F.col("part").isNull()).select("block", "docs"), ids, tokenizer_path, schema, result)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
