@@ -275,15 +275,16 @@ def exact_knn(spark, sf_dir):
     return search.knn(v.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), v, 10).select("query_id", "id", "rank", "score")
 
 
-@query("sea05_hybrid_fusion", f"""WITH {_KNN}, l AS (SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY abs(a.label - b.label), b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
+@query("sea05_hybrid_fusion", f"""WITH {_KNN}, l AS (SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) AS rank FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0),
 u AS (SELECT query_id, id, round(sum(1.0 / (20 + rank)), 6)::DOUBLE AS score FROM (SELECT query_id, id, rank FROM k WHERE rank <= 20 UNION ALL SELECT * FROM l WHERE rank <= 20) GROUP BY ALL), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM u)
 SELECT query_id, id, score FROM f WHERE rank <= 10""")
 def hybrid_fusion(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
     q = e.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "v", F.col("label").alias("asked"))
     near = search.knn(q.select("query_id", "v"), e.select("id", "v"), 20)
-    # the second list orders all rows by label distance for the stated query set
-    by_label = search.top_k(q.select("query_id", "asked", F.lit(1).alias("j")).join(e.select("id", "label", F.lit(1).alias("j")), "j").select("query_id", "id", (-F.abs(F.col("asked") - F.col("label"))).alias("score")), 20)
+    # the second list: the first rows with the query's label, cut to 20 a label before the join
+    of_label = e.withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy("id"))).filter("rank <= 20").select("label", "id", "rank")
+    by_label = q.select("query_id", F.col("asked").alias("label")).join(of_label, "label").select("query_id", "id", "rank")
     return search.fuse([near, by_label], 10).select("query_id", "id", "score")
 
 
