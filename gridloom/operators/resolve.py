@@ -10,19 +10,19 @@ from gridloom.functions.text import similarity
 
 def bigrams(name):
     n = F.length(name)
-    return F.when(n < 5, F.array(name)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(name, i, F.lit(2)))))
+    return F.when(n < 2, F.array(name)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(name, i, F.lit(2)))))
 
 
 def rare_bigrams(names: DataFrame, key: str) -> DataFrame:
     """(key, norm, gram): the rarest bigrams of each name, as many as any name that is similar enough must share one of.
 
     Similar at 0.88 means an edit distance of at most 0.24 n for n characters, and an edit removes two bigrams at most,
-    so of m distinct bigrams one among the int(0.48 n) + 1 rarest is shared.
+    so with 0.785 as the least ratio of lengths, one among the int(0.62 length) + 1 rarest bigrams is shared.
     """
     grams = names.select(key, "norm", F.explode(bigrams(F.col("norm"))).alias("gram"))
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     ranked = grams.join(counts, "gram").groupBy(key, "norm").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
-    keep = F.when(F.length("norm") < 5, 1).otherwise(F.floor(0.62 * F.length("norm")).cast("int") + 1)
+    keep = F.floor(0.62 * F.length("norm")).cast("int") + 1
     return ranked.select(key, "norm", F.explode(F.slice("g", F.lit(1), keep)).alias("x")).select(key, "norm", "x.gram")
 
 
