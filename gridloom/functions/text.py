@@ -65,7 +65,7 @@ def uuid5(name: Column, namespace: uuid.UUID = uuid.NAMESPACE_DNS) -> Column:
 
 
 def split_list(value: Column) -> Column:
-    return F.filter(F.transform(F.split(value, "[,\n]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(value, "[,\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def edge_type(name: Column) -> Column:

@@ -11,10 +11,14 @@ from pyspark.sql import Window as W
 from gridloom.plans.lineage import cut
 
 
-def closure(edges: DataFrame, max_depth: int = 10) -> DataFrame:
-    """concept_id, ancestor_id, depth (fewest), relation_path, last_relation: one row per pair, first path by text."""
+def closure(edges: DataFrame, max_depth: int = 10, only: DataFrame | None = None) -> DataFrame:
+    """concept_id, ancestor_id, depth (fewest), relation_path, last_relation: one row per pair, first path by text.
+
+    only: the concepts (concept_id) whose ancestors are wanted.
+    """
     e = cut(edges.select("child_id", "parent_id", "relation").distinct())
     level = e.select(F.col("child_id").alias("concept_id"), F.col("parent_id").alias("ancestor_id"), F.col("relation").alias("relation_path")).filter("concept_id <> ancestor_id")
+    level = level if only is None else level.join(only, "concept_id", "left_semi")
     level = cut(level.groupBy("concept_id", "ancestor_id").agg(F.min("relation_path").alias("relation_path")).withColumn("depth", F.lit(1)))
     levels, seen = [level], level.select("concept_id", "ancestor_id")
     for depth in range(2, max_depth + 1):
@@ -41,6 +45,22 @@ def siblings(edges: DataFrame, limit: int = 20) -> DataFrame:
     return pairs.withColumn("position", F.row_number().over(W.partitionBy("child_id").orderBy("sibling_id"))).filter(F.col("position") <= limit)
 
 
+def affected(ancestors: DataFrame, changed: DataFrame) -> DataFrame:
+    """Concepts whose ancestors change when the edges of the changed ones do: these and all below them."""
+    below = ancestors.join(changed.select(F.col("concept_id").alias("ancestor_id")), "ancestor_id", "left_semi").select("concept_id")
+    return changed.select("concept_id").union(below).distinct()
+
+
+def refreshed(ancestors: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """ancestors (as of before) after the edges of the changed concepts did: only affected concepts are walked again.
+
+    The edges above an affected concept are reached from it, so the walk starts at these concepts alone.
+    """
+    todo = cut(affected(ancestors, changed))
+    stays = ancestors.join(todo, "concept_id", "left_anti")
+    return stays.unionByName(closure(edges, only=todo).select(*ancestors.columns))
+
+
 def search_fields(ancestors: DataFrame) -> DataFrame:
     """Per concept: ancestor ids nearest first, and the greatest depth."""
     return ancestors.groupBy("concept_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "ancestor_id"))), lambda x: x["ancestor_id"]).alias("ancestor_ids"), F.max("depth").alias("hierarchy_depth"))
@@ -62,11 +82,13 @@ def without_cycles(candidates: DataFrame, edges: DataFrame, max_depth: int = 10)
 
 
 def replacements(links: DataFrame) -> DataFrame:
-    """(id, final_id) from (id, next_id): pointer jumping, so a chain of n links takes log n rounds. Cycles stay where they are."""
-    now = cut(links.select("id", F.col("next_id").alias("final_id")))
-    while True:
-        nxt = now.alias("a").join(now.alias("b"), F.col("a.final_id") == F.col("b.id"), "left").select(F.col("a.id").alias("id"), F.coalesce("b.final_id", "a.final_id").alias("final_id"), (F.col("b.final_id").isNotNull() & (F.col("b.final_id") != F.col("a.id"))).alias("moved"))
-        moved = cut(nxt)
-        if not moved.filter("moved").limit(1).count():
-            return moved.select("id", "final_id")
-        now = moved.select("id", "final_id").filter("id <> final_id")
+    """(id, final_id) from (id, next_id): pointer jumping, so a chain of n links takes log n rounds.
+
+    An id whose chain runs into a cycle has no last one and keeps itself; links without a target are left out.
+    """
+    now = cut(links.select("id", F.col("next_id").alias("final_id")).filter("id <> final_id"))
+    for _ in range(now.count().bit_length() + 1):
+        now = cut(now.alias("a").join(now.alias("b"), F.col("a.final_id") == F.col("b.id"), "left").select(F.col("a.id").alias("id"), F.coalesce("b.final_id", "a.final_id").alias("final_id"), F.col("b.final_id").isNotNull().alias("moved")))
+        if not now.filter("moved").limit(1).count():
+            break
+    return now.select("id", F.when(F.col("moved"), F.col("id")).otherwise(F.col("final_id")).alias("final_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 ENVELOPE = "id string, key string, kind string, retry_count int, ts timestamp, payload map<string,string>, _corrupt string"
 # Seconds before each retry, and retries before the dead letter.
@@ -27,6 +28,20 @@ def route(messages: DataFrame) -> DataFrame:
         F.when(again, F.col("ts") + F.make_dt_interval(secs=delay)).alias("not_before"))
 
 
+def dead_letters(messages: DataFrame) -> DataFrame:
+    """Failed messages past their retries, with the error, topic and count added to the payload."""
+    failed = messages.filter((F.col("kind") == "failed") & (F.col("retry_count") >= MAX_RETRIES))
+    note = F.map_concat(F.coalesce("payload", F.create_map().cast("map<string,string>")), F.create_map(F.lit("_topic"), F.col("topic"), F.lit("_error"), F.col("error"), F.lit("_retries"), F.col("retry_count").cast("string")))
+    return failed.select("id", "key", note.alias("payload"))
+
+
+def out_of_order(messages: DataFrame) -> DataFrame:
+    """Messages with their number within their key in time order, and whether they came after a later one (by seq)."""
+    w = W.partitionBy("key")
+    latest = F.max("ts").over(w.orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
+    return messages.withColumns({"number": F.row_number().over(w.orderBy("ts", "seq")), "late": F.coalesce(F.col("ts") < latest, F.lit(False))})
+
+
 def throughput(messages: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     m = messages.withWatermark("ts", late) if messages.isStreaming else messages
     out = m.groupBy(F.window("ts", window).alias("w"), "kind").agg(F.count(F.lit(1)).alias("n"))
