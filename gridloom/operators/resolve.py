@@ -2,41 +2,115 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gridloom.functions.text import similarity
+from gridloom.plans.lineage import cut
 
 
-def bigrams(name):
+def bigrams(name, short: int = 0):
+    """Distinct bigrams; names of at most `short` characters have their characters too."""
     n = F.length(name)
-    return F.when(n < 2, F.array(name)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(name, i, F.lit(2)))))
+    part = lambda least, size: F.transform(F.sequence(F.lit(1), n - least), lambda i: F.substring(name, i, F.lit(size)))
+    both = F.when(n <= short, F.array_union(part(1, 2), part(0, 1))).otherwise(part(1, 2))
+    return F.when(n < 2, F.array(name)).otherwise(F.array_distinct(both))
 
 
-def rare_bigrams(names: DataFrame, key: str) -> DataFrame:
-    """(key, norm, gram): the rarest bigrams of each name, as many as any name that is similar enough must share one of.
+def _lost(threshold: float) -> tuple[float, int]:
+    """The share of a name's n characters that bounds how many of its bigrams a similar name lacks, and the length up to
+    which it may lack all.
 
-    Similar at 0.88 means an edit distance of at most 0.24 n for n characters, and an edit removes two bigrams at most,
-    so with 0.785 as the least ratio of lengths, one among the int(0.62 length) + 1 rarest bigrams is shared.
+    An alignment that leaves u characters of the name and v of the other unmatched costs 2 u + v bigrams at most, and
+    (2 - t) u + t v <= 2 (1 - t) n at similarity t.
     """
-    grams = names.select(key, "norm", F.explode(bigrams(F.col("norm"))).alias("gram"))
+    if threshold <= 2 / 3:
+        raise ValueError("threshold must be above 2/3")
+    share = max(4 * (1 - threshold) / (2 - threshold), 2 * (1 - threshold) / threshold)
+    return share, int(1 / (1 - share) + 1e-6)
+
+
+def rare_bigrams(names: DataFrame, key: str, threshold: float = 0.88) -> DataFrame:
+    """(key, norm, gram): the rarest bigrams of each name, as many as any name that is similar enough must share one of."""
+    share, short = _lost(threshold)
+    grams = names.select(key, "norm", F.explode(bigrams(F.col("norm"), short)).alias("gram"))
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     ranked = grams.join(counts, "gram").groupBy(key, "norm").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
-    keep = F.floor(0.62 * F.length("norm")).cast("int") + 1
+    keep = F.when(F.length("norm") <= short, F.size("g")).otherwise(F.floor(share * F.length("norm") + 1e-9).cast("int") + 1)
     return ranked.select(key, "norm", F.explode(F.slice("g", F.lit(1), keep)).alias("x")).select(key, "norm", "x.gram")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.88) -> DataFrame:
-    """(left_id, right_id, left_norm, right_norm, score) with score >= threshold. Inputs: id, norm."""
-    l = rare_bigrams(left.select(F.col("id").alias("left_id"), "norm"), "left_id").withColumnRenamed("norm", "left_norm")  # noqa: E741
-    r = right.select(F.col("id").alias("right_id"), F.col("norm").alias("right_norm"), F.explode(bigrams(F.col("norm"))).alias("gram"))
+    """(left_id, right_id, left_norm, right_norm, score) with score >= threshold, which must be above 2/3. Inputs: id, norm.
+
+    Null names have no pair."""
+    l = rare_bigrams(left.select(F.col("id").alias("left_id"), "norm"), "left_id", threshold).withColumnRenamed("norm", "left_norm")  # noqa: E741
+    reach = math.ceil(_lost(threshold)[1] * (2 - threshold) / threshold)
+    r = right.select(F.col("id").alias("right_id"), F.col("norm").alias("right_norm"), F.explode(bigrams(F.col("norm"), reach if _lost(threshold)[1] > 1 else 0)).alias("gram"))
+    apart = math.ceil(round(100 * (1 - threshold), 6))
     total = F.length("left_norm") + F.length("right_norm")
-    near = (F.least(F.length("left_norm"), F.length("right_norm")) * 2 >= F.lit(threshold) * total) & (F.abs(F.length("left_norm") - F.length("right_norm")) <= F.ceil(0.12 * total))
+    near = (F.least(F.length("left_norm"), F.length("right_norm")) * 2 >= F.lit(threshold) * total) & (F.abs(F.length("left_norm") - F.length("right_norm")) <= F.ceil(F.lit(apart / 100) * total))
     pairs = l.join(r, "gram").filter(near).select("left_id", "right_id", "left_norm", "right_norm").distinct()
-    close = F.expr("levenshtein(left_norm, right_norm, cast((12 * (length(left_norm) + length(right_norm))) div 100 as int)) >= 0")
+    close = F.expr(f"levenshtein(left_norm, right_norm, cast(({apart} * (length(left_norm) + length(right_norm))) div 100 as int)) >= 0")
     return pairs.filter(close).withColumn("score", similarity(F.col("left_norm"), F.col("right_norm"))).filter(F.col("score") >= threshold)
 
 
+def clusters(links: DataFrame) -> DataFrame:
+    """(id, cluster) for the ends of links (a, b): the smallest id of their connected component.
+
+    Each round moves links to the smallest neighbour, first from larger ends and then from smaller ones, until every
+    component is a star around its smallest id.
+    """
+    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = cut(both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        edges = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            ends = edges.select(F.col("a").alias("id"), F.col("b").alias("cluster"))
+            return ends.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("cluster")).distinct())
+        before = now
+
+
+def duplicates(names: DataFrame, threshold: float = 0.88) -> DataFrame:
+    """id, norm, cluster: the smallest id among the names that chains of similar names join. Input: id (unique), norm."""
+    pairs = similar_pairs(names, names, threshold).filter("left_id <> right_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+    return names.select("id", "norm").join(clusters(pairs), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+
+
+def first_of_similar(rows: DataFrame, threshold: float = 0.88) -> DataFrame:
+    """seq, id, norm of the rows that stay, if in order of seq each row goes that is equal or similar to an earlier one
+    that stays. Input: seq (unique), id, norm; rows with a null norm go."""
+    one = rows.filter("norm IS NOT NULL").groupBy("norm").agg(F.min(F.struct("seq", "id")).alias("o")).select("o.seq", "o.id", "norm")
+    ids = one.select(F.col("seq").alias("id"), "norm")
+    pairs = cut(similar_pairs(ids, ids, threshold).filter("right_id < left_id").select(F.col("left_id").alias("later"), F.col("right_id").alias("earlier")))
+    while not pairs.isEmpty():
+        # a row without an earlier one stays, so rows similar to it go, and no longer count against others
+        stay = pairs.select("earlier").distinct().join(pairs.select(F.col("later").alias("earlier")).distinct(), "earlier", "left_anti")
+        gone = cut(pairs.join(stay, "earlier", "left_semi").select("later").distinct())
+        one = one.join(gone.withColumnRenamed("later", "seq"), "seq", "left_anti")
+        pairs = cut(pairs.join(gone, "later", "left_anti").join(gone.withColumnRenamed("later", "earlier"), "earlier", "left_anti"))
+    return one.select("seq", "id", "norm")
+
+
+def suggestions(asked: DataFrame, known: DataFrame, limit: int = 5, threshold: float = 0.75) -> DataFrame:
+    """norm, position, concept_id, score: for each asked norm that is not known, up to `limit` concepts by similarity,
+    ties to the smaller id. Inputs: norm; norm, concept_id."""
+    new = asked.select("norm").distinct().join(known.select("norm").distinct(), "norm", "left_anti")
+    pairs = similar_pairs(new.select(F.col("norm").alias("id"), "norm"), known.select(F.col("concept_id").alias("id"), "norm").distinct(), threshold)
+    best = pairs.groupBy(F.col("left_norm").alias("norm"), F.col("right_id").alias("concept_id")).agg(F.max("score").alias("score"))
+    ranked = best.withColumn("position", F.row_number().over(W.partitionBy("norm").orderBy(F.desc("score"), "concept_id")))
+    return ranked.filter(F.col("position") <= limit).select("norm", "position", "concept_id", "score")
+
+
 def registry(rows: DataFrame) -> DataFrame:
     """norm, concept_id, reg_seq from norm, concept_id, seq: the last id, in the place of the first."""
     return rows.groupBy("norm").agg(F.max(F.struct("seq", "concept_id"))["concept_id"].alias("concept_id"), F.min("seq").alias("reg_seq"))
