@@ -156,6 +156,14 @@ def mitigations(entities: DataFrame, nodes: DataFrame, edges: DataFrame, departm
     ])
 
 
+def first_mitigations(impacted: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:
+    """Options for the first `limit` entities of each origin that are CRITICAL, then HIGH, by hop and name."""
+    w = W.partitionBy("origin").orderBy(F.col("tier") != "CRITICAL", "hop", "node")
+    first = impacted.filter(F.col("tier").isin("CRITICAL", "HIGH")).withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
+    first = cut(first.select("origin", "node", "position"))
+    return first.join(mitigations(first, nodes, edges), "node").select("origin", "node", "position", "option_type", "source", "recovery_hours", "confidence")
+
+
 def has_backup(options: DataFrame) -> DataFrame:
     return options.groupBy("node").agg(F.bool_or(F.col("option_type").isin("redundant_asset", "backup_location")).alias("has_backup"), F.count(F.lit(1)).alias("n_options"))
 
