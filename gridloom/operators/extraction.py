@@ -20,7 +20,8 @@ def parsed(raw: DataFrame, id_col: str, column: str = "value") -> DataFrame:
 
 def counts(extractions: DataFrame, id_col: str) -> DataFrame:
     """Per chunk: concepts with a name, relations, mappings."""
-    named = F.filter("concepts", lambda c: F.coalesce(c["name"], c["name_he"], c["canonical_name"], F.get(c["terms"], F.lit(0))).isNotNull())
+    filled = lambda c: F.when(F.trim(c) != "", c)
+    named = F.filter("concepts", lambda c: F.coalesce(filled(c["name"]), filled(c["name_he"]), filled(c["canonical_name"]), F.get(c["terms"], F.lit(0))).isNotNull())
     return extractions.select(id_col, F.size(named).alias("n_concepts"), F.size("relationships").alias("n_relations"), F.size("data_mappings").alias("n_mappings"))
 
 
