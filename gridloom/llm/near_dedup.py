@@ -7,9 +7,13 @@ order. Two texts are linked if, in an alignment, M shingles match in order and M
 runs in a band, which is widened up to the width beyond which 0.8 cannot be reached. A class is a connected component
 of links. Texts with the same words are one node from the start.
 
-In each bucket of equal sketches every member is a candidate pair with the bucket's first and last member by digest,
-never with all others, so a group of n copies has at most 2 n SKETCHES candidates. At similarity 0.8 a pair shares a
-sketch with probability of about 0.8**PICKS = 0.41, so it has no bucket in common with probability 3e-6.
+In each bucket of equal sketches every member is a candidate pair with the bucket's ends, at first its first and last
+member by digest. Buckets whose other members are not yet all of one class go on in rounds: the members with the most and
+the fewest links are the new ends, more of them in each round, and meet every member that has not been an end and is of
+another class. A bucket is done when the members that were no end are of one class, so no link within a bucket is missed,
+while n copies of one text make about 2 n SKETCHES candidates. Only members that are unlike one another take all pairs.
+At similarity 0.8 a pair shares a sketch with probability of about 0.8**PICKS = 0.41, so it has no bucket in common with
+probability 3e-6.
 
 Defined results: a null text is the empty text. Texts without a word are equal if identical. A null id counts as larger
 than any other: a document with a null id belongs to the class of its words, but texts that only null ids have are not
@@ -44,6 +48,8 @@ FLIP = _RNG.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
 #: Numbers in the largest array of hash values; longer texts take several rounds of hash functions.
 ROOM = 1 << 21
 KEEP = 300_000
+#: Most parts of a bucket that give an end of either kind in a round; larger buckets take more rounds.
+MOST_SLOTS = 1024
 
 
 class Hasher:
@@ -201,14 +207,62 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(scan, "a binary, b binary")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b): members of a bucket with its first and last node."""
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(key, node, first, last, n): the members of each bucket of n > 1 nodes with its first and last node."""
     members = nodes.select("node", F.explode("sketches").alias("key"))
     ends = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     ends = cut(ends, "buckets")
-    found = join_unique(members, ends, ["key"], "n", max(1, nodes.count() * SKETCHES))
-    pairs = found.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("first", "last"))).alias("b")).filter("a <> b")
-    return pairs.distinct()
+    return join_unique(members, ends, ["key"], "n", max(1, nodes.count() * SKETCHES))
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b): members of a bucket with its first and last node."""
+    pairs = members.select(F.col("node").alias("a"), "last", F.explode(F.array_distinct(F.array("first", "last"))).alias("b"))
+    return pairs.filter("a <> b AND a <> last").select("a", "b").distinct()
+
+
+def new_candidates(members: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (key, node, root, ends, is_end) of another class than the end b, that are not in tested."""
+    pairs = members.select(F.col("node").alias("a"), "root", "is_end", F.explode("ends").alias("end"))
+    pairs = pairs.filter("root <> end.root AND (NOT is_end OR a < end.node)").select("a", F.col("end.node").alias("b"))
+    pairs = pairs.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).dropDuplicates(["low", "high"])
+    return pairs.join(tested.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), ["low", "high"], "left_anti").select("a", "b")
+
+
+def with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root, degree) of the nodes that have links."""
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+    degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    return cut(degrees.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "linked")
+
+
+def linked(members: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of the nodes with a link to another in their bucket. pairs: the candidates of the first round."""
+    links = cut(verified(pairs.select("a", "b"), texts), "verified")
+    roots, tested, slots = components(links), pairs, 1
+    state = with_links(roots, links)
+    left = members.filter("n > 3 AND node <> first AND node <> last").select("key", "node")
+    while True:
+        left = left.join(state, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        left = cut(left, "members-left")
+        several = cut(left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", "n"), "open-buckets")
+        if several.isEmpty():
+            return roots
+        total = left.count()
+        left = cut(join_unique(left, several, ["key"], "n", total), "open-members")
+        rank = F.struct("degree", "node", "root")
+        ends = left.groupBy("key", F.pmod(F.xxhash64("node", "key"), F.lit(slots)).alias("slot")).agg(F.max(rank).alias("most"), F.min(rank).alias("least"), F.first("n").alias("n"))
+        ends = ends.select("key", "n", F.explode(F.array_distinct(F.array("most", "least"))).alias("end"))
+        ends = cut(ends.groupBy("key").agg(F.collect_list("end").alias("ends"), F.first("n").alias("n")), "new-ends")
+        met = join_unique(left.drop("n"), ends, ["key"], "n", total).withColumn("is_end", F.exists("ends", lambda e: e["node"] == F.col("node")))
+        pairs = cut(new_candidates(met, tested), "candidates")
+        found = cut(verified(pairs, texts), "verified")
+        left = met.filter("NOT is_end").select("key", "node")
+        tested, slots = tested.unionByName(pairs), min(4 * slots, MOST_SLOTS)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+            state = with_links(roots, links)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,13 +295,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     rows = cut(signatures(docs, id_col, text_col), "signatures")
     nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sketches").alias("sketches")), "nodes")
-    pairs = cut(candidates(nodes.filter("n_shingles > 0 AND rep IS NOT NULL")), "candidates")
+    members = cut(buckets(nodes.filter("n_shingles > 0 AND rep IS NOT NULL")), "members")
+    pairs = cut(candidates(members), "candidates")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     reps = nodes.select("node", "rep").join(needed, "node")
     plain = docs.select(F.col(id_col).cast("long").alias("rep"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = cut(_of_node(plain.join(reps, "rep").select("node", "text")), "candidate-texts")
-    links = cut(verified(pairs.select("a", "b"), texts), "verified")
-    roots = components(links)
+    roots = linked(members, pairs, texts)
     each = nodes.select("node", "rep", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = each.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("first"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
     unique = cut(each.join(by_root, "root").select("node", "n", F.col("first.rep").alias("class_id"), "class_size", "n_texts", (F.col("first.node") == F.col("node")).alias("stays")), "classes")

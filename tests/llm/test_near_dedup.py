@@ -104,3 +104,35 @@ def test_one_of_each_keeps_rows_and_columns(spark):
     rows = [(r.doc_id, r.text) for r in out.collect()]
     assert len(rows) == len(set(rows)) and (7, "same text") in rows and all(i != 8 for i, _ in rows)
     assert len(rows) == len(CASES) - 4  # copies of 7, and the null text with the empty one
+
+
+def test_copies_of_a_template_are_one_class(spark):
+    """Copies are near the template only, not one another, and the template is hardly ever a bucket's end."""
+    rows = []
+    for seed, n in ((1, 50), (2, 300), (3, 1000)):
+        rng = random.Random(seed)
+        base = [f"w{seed}y{k}" for k in range(200)]
+        texts = [" ".join(base)]
+        for c in range(n):
+            t = list(base)
+            for part in range(3):
+                t[rng.randrange(5 + 65 * part, 60 + 65 * part)] = f"x{c}y{part}"
+            texts.append(" ".join(t))
+        s = [nd.shingles(nd.Hasher().hashes(t.split())) for t in texts]
+        assert all(nd.similar(s[0], x) for x in s[1:]) and not nd.similar(s[1], s[2])
+        rows += [(10_000 * seed + k, t, "", "", 0) for k, t in enumerate(texts)]
+    got = nd.classes(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(r.class_id, r.class_size) for r in got} == {(10_000, 51), (20_000, 301), (30_000, 1001)}
+
+
+def test_members_of_a_bucket_all_meet(spark):
+    """Two classes and texts like no other in the same buckets, against all pairs."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for c in range(60):
+        t = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6])):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(t))
+    check(spark.createDataFrame([(k, t, "", "", 0) for k, t in enumerate(texts)], DOCS))
