@@ -1,9 +1,9 @@
 """Toxicity of documents behind a noisy channel.
 
-A character trigram model is counted over all texts. Words that may be disguised (digits or signs among letters,
-letters drawn out, letters set apart) are character lattices: each sign stands for itself or the letters it imitates,
-a run of a letter for one or two of it, a gap between single letters for nothing. A Viterbi search picks the most
-likely reading under the model. The text with its restored words is then scored.
+A character trigram model is counted over all texts. Words that may be disguised (signs beside letters, letters twice or
+more in a row, single letters set apart by anything) are character lattices: each sign stands for itself, the letters it
+imitates or nothing, a run of a letter for one or two of it, a gap between single letters for nothing. A Viterbi search
+picks the most likely reading under the model. The text with its restored words is then scored.
 
 The score is a decision list: each five-character gram of a word (with blanks at the word's ends) has the lower limit
 of the share of toxic documents among the labelled documents that contain it; a document scores the highest limit of
@@ -32,8 +32,13 @@ IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäæçèéêëíîïñòóôöùúûüœ"
 SIGNS = re.escape("".join(IMITATES))
 LETTER = "a-zß-öø-ÿœ"
-#: Places where a word may be disguised.
-SUSPECT = re.compile(rf"[{LETTER}][{SIGNS}]+[{LETTER}]|(?<!\S)[{SIGNS}]+[{LETTER}]{{2}}|([{LETTER}])\1\1|(?<!\S)[{LETTER}{SIGNS}](?:[ ._-][{LETTER}{SIGNS}]){{2,}}(?!\S)")
+#: Places where a word may be disguised: single letters (or signs) set apart, a sign beside a letter, a run of a letter.
+SUSPECT = re.compile(
+    rf"(?P<apart>(?<![{LETTER}])[{LETTER}](?:[^{LETTER}\s]+[{LETTER}]){{2,}}(?![{LETTER}])|(?<!\S)[{LETTER}{SIGNS}](?:[^\w{SIGNS}]+[{LETTER}{SIGNS}]|_+[{LETTER}{SIGNS}]){{2,}}(?![\w{SIGNS}]))"
+    rf"|[{LETTER}][{SIGNS}]|[{SIGNS}][{LETTER}]|([{LETTER}])\2"
+)
+THRICE = re.compile(r"(.)\1\1", re.S)
+ITEM = re.compile(rf"[{LETTER}{SIGNS}]")
 WORD = re.compile(rf"[{LETTER}]{{2,}}")
 GRAM = 5
 SAMPLE_DOCS = 15_000
@@ -46,6 +51,11 @@ CACHE = 300_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_restored int"
 #: Bits that a reading costs: a letter for its sign, a shortened run.
 SIGN_COST, RUN_COST = 1.0, 0.5
+#: Bits for a sign that is itself, a sign that is nothing and one of two letters that is nothing: at least what the
+#: letter that is saved would take, so that common words with two of a letter stay as they are.
+ITSELF_COST, NOTHING_COST, TWICE_COST = 4.0, 8.0, 6.0
+#: How many times the bits a letter that the same word takes with two of a letter, if one of them is a disguise.
+CLEARLY = 1.35
 N = len(LETTERS) + 2  # 0: outside a word; last: any other letter
 CODE = np.full(1 << 16, 0, np.int64)
 for _c in range(1 << 16):
@@ -98,14 +108,19 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     for m in re.finditer(r"(.)\1*", token, re.S):
         c, n = m[1], len(m[0])
         if c in IMITATES:
-            out += [[(x, SIGN_COST) for x in IMITATES[c]]] * min(n, 2)
+            out += [[*((x, SIGN_COST) for x in IMITATES[c]), (c, ITSELF_COST), ("", NOTHING_COST)]] * min(n, 2)
         elif n == 1:
             out.append([(c, 0.0)])
         else:
-            out.append([(c, RUN_COST), (c + c, 0.0 if n == 2 else RUN_COST)])
+            out.append([(c, TWICE_COST), (c + c, 0.0)] if n == 2 else [(c, RUN_COST), (c + c, RUN_COST)])
     return out
 
 
+def set_apart(text: str) -> list[str]:
+    """Letters set apart: with the signs among them, and without these, which may be what sets them apart."""
+    return sorted({"".join(ITEM.findall(text)), "".join(c for c in text if c.isalpha())})
+
+
 def viterbi(token: str, bits: np.ndarray) -> str:
     """The reading with the fewest bits; states are the last two letters."""
     steps = lattice(token)
@@ -132,6 +147,11 @@ def viterbi(token: str, bits: np.ndarray) -> str:
     return "".join(reversed(out)).strip()
 
 
+def bits_a_letter(word: str, bits: np.ndarray) -> float:
+    c = codes(f"  {word} ")
+    return float(bits[c[:-2], c[1:-1], c[2:]].mean())
+
+
 @dataclass
 class Model:
     bits: np.ndarray
@@ -145,25 +165,32 @@ class Restorer:
     def __init__(self, bits: np.ndarray):
         self.bits, self.known = bits, {}
 
+    def restored(self, token: str) -> str:
+        got = self.known.get(token)
+        if got is None:
+            got = viterbi(token, self.bits) if any(c.isalpha() for c in token) else token
+            if token.isalpha() and not THRICE.search(token) and bits_a_letter(token, self.bits) < CLEARLY * bits_a_letter(got, self.bits):
+                got = token  # two of a letter are common; the shorter word has to be clearly the likelier one
+            if len(self.known) < CACHE and len(token) < 100:
+                self.known[token] = got
+        return got
+
     def words(self, text: str) -> list[str]:
         out, after = [], -1
         for m in SUSPECT.finditer(text):
             if m.start() < after:
                 continue
             a, b = m.span()
-            apart = text[a:b].count(" ") + text[a:b].count(".") + text[a:b].count("-") + text[a:b].count("_") >= 2 and len(m[0]) % 2 == 1 and all(not c.isalpha() for c in m[0][1::2])
+            apart = m["apart"]
             while not apart and a and not text[a - 1].isspace():
                 a -= 1
             while not apart and b < len(text) and not text[b].isspace():
                 b += 1
             after = b
-            token = text[a:b:2] if apart else text[a:b].strip(".,;:?!\"'()")
-            got = self.known.get(token)
-            if got is None:
-                got = viterbi(token, self.bits) if any(c.isalpha() for c in token) else token
-                if len(self.known) < CACHE and len(token) < 100:
-                    self.known[token] = got
-            if apart or got != token:
+            token = text[a:b].lstrip(".,;:?\"')(").rstrip(".,;:?!\"'()")
+            if apart:
+                out += {self.restored(t): 0 for t in set_apart(m["apart"])}
+            elif SUSPECT.search(token) and (got := self.restored(token)) != token:
                 out.append(got)
         return out
 

@@ -102,6 +102,22 @@ def test_viterbi_restores_disguised_words():
     assert r.words("call 555 on 45.114.23.72 or see the book") == []
 
 
+def test_every_kind_of_disguise_is_restored():
+    counts = np.zeros((toxicity.N,) * 3)
+    for word, n in {"idiot": 50, "stupid": 50, "ass": 50, "the": 200, "book": 100, "letter": 100, "see": 100}.items():
+        c = toxicity.codes(f"  {word} ")
+        for x in zip(c, c[1:], c[2:]):
+            counts[x] += n
+    r = toxicity.Restorer(toxicity.trigram_bits(counts))
+    for word in ("1diot", "!diot", "id1ot", "idi0t", "idio7", "idiiot", "i/d/i/o/t", "i*d*i*o*t", "i  d  i  o  t", "i.d.1.o.t", "i--d--i--o--t", "id*iot"):
+        assert "idiot" in r.words(f"the {word}, book"), word
+    for word in ("stuupid", "s7upid", "5tupid", "stupi|d"):
+        assert r.words(f"the {word} book!") == ["stupid"], word
+    for word in ("a$$", "a55", "@$s", "@ss"):
+        assert r.words(f"({word}) the") == ["ass"], word
+    assert r.words("(see the letter!) 1, 2, 3 the book") == []
+
+
 def test_toxicity_special_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (7, 0, 0), (8, None, 1), (None, 1, 1), (1, 0, 1)], "doc_id long, toxic int, text int")
     rows = toxicity.score(cases(spark), labels).collect()
