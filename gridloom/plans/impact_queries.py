@@ -131,9 +131,9 @@ def has_backup(spark, sf_dir):
     return impact.has_backup(_options(spark, sf_dir))
 
 
-def incidents(spark, sf_dir):
-    """One per 25th error event."""
-    e = table(spark, sf_dir, "events").filter("event_type = 'error' AND event_id % 25 = 0")
+def incidents(spark, sf_dir, condition="true"):
+    """One per error event that meets the condition."""
+    e = table(spark, sf_dir, "events").filter(f"event_type = 'error' AND ({condition})")
     return e.select(F.col("event_id").alias("incident_id"), F.to_date("ts").alias("incident_date"), F.array(F.concat(F.lit("Loc-"), F.col("user_id") % 25)).alias("location_refs"), F.array(F.concat(F.lit("SYS-"), F.col("event_id") % 200)).alias("entity_refs"))
 
 
@@ -142,6 +142,13 @@ n AS (SELECT 'LOC-' || n_nationkey AS name FROM nation),
 h AS (SELECT name, incident_id, incident_date, row_number() OVER (PARTITION BY name ORDER BY incident_date DESC NULLS LAST, incident_id) AS position FROM n JOIN i ON lower(name) IN (a, b) WHERE incident_date >= DATE '2024-01-05')
 SELECT * FROM h WHERE position <= 10""")
 def history(spark, sf_dir):
+    names = _from(spark, sf_dir, "LOCATION").withColumnRenamed("origin", "name")
+    return impact.history(incidents(spark, sf_dir, "event_id % 25 = 0"), names, "2024-01-05")
+
+
+@query("gra19_history_all_events")
+def history_of_all(spark, sf_dir):
+    """As gra19_history, with every error event as an incident."""
     names = _from(spark, sf_dir, "LOCATION").withColumnRenamed("origin", "name")
     return impact.history(incidents(spark, sf_dir), names, "2024-01-05")
 
