@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 
@@ -8,7 +9,8 @@ import pytest
 from gridloom.llm import license_scan, nearest
 from tests.llm.helpers import CASES, cases, empty
 
-FIXTURE = "/root/testdata/sf0.001"
+DATA = os.environ.get("TEST_DATA_DIR", "/root/testdata")
+FIXTURE = f"{DATA}/sf0.001"
 
 
 def brute_licenses(text):
@@ -71,10 +73,11 @@ def recall(got, want):
     return hits / sum(map(len, want.values()))
 
 
-@pytest.mark.parametrize("cell_rows", [200, 8192])
-def test_nearest_recall(spark, monkeypatch, cell_rows):
-    monkeypatch.setattr(nearest, "CELL_ROWS", cell_rows)
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+@pytest.mark.parametrize("leaf_rows, max_leaves", [(200, 8192), (2048, 8192), (100, 4)])
+def test_nearest_recall(spark, monkeypatch, leaf_rows, max_leaves):
+    monkeypatch.setattr(nearest, "LEAF_ROWS", leaf_rows)
+    monkeypatch.setattr(nearest, "MAX_LEAVES", max_leaves)
+    df = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet")
     want = brute_nearest([(r.vec_id, r.embedding) for r in df.collect()])
     assert recall(nearest.nearest(df).collect(), want) >= 0.95
 
@@ -90,3 +93,37 @@ def test_nearest_special_rows(spark):
     assert set(got) == {0, 50, 100, 150} and 100 not in got[100]
     assert nearest.nearest(df.limit(0)).count() == 0
     assert nearest.nearest(spark.createDataFrame([(0, same), (50, [2.0, 1.0])], "vec_id long, embedding array<float>")).count() == 2
+
+
+def test_search_leaves_out_far_vectors(spark):
+    """Clustered vectors: most leaves are not visited, and hardly any vector beyond the cluster is verified."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((120, 64))
+    v = centres[rng.integers(0, 120, 12_000)] + 0.15 * rng.standard_normal((12_000, 64))
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")
+    want = brute_nearest(list(enumerate(v.tolist())))
+    assert recall(nearest.nearest(df).collect(), want) >= 0.9
+    visited, verified = nearest.shares(df)
+    assert verified < 0.1 and verified <= visited < 0.9
+
+
+def test_equal_vectors_tie_to_smaller_ids(spark):
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((40, 64)).astype(np.float32)
+    rows = [(k, v[k % 40].tolist()) for k in range(400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(i), x) for i, x in rows], "vec_id long, embedding array<float>")
+    got = {}
+    for r in nearest.nearest(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == 8
+    assert all(got[q] == [i for i in range(q % 40, 400, 40) if i != q][:5] for q in got)
+
+
+def test_double_vectors_are_not_narrowed(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((100, 8))
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")
+    for r in nearest.nearest(df).collect():
+        a, b = v[r.query_id], v[r.vec_id]
+        assert abs(r.score - a @ b / math.sqrt(a @ a) / math.sqrt(b @ b)) < 1e-14
