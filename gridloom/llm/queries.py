@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +23,7 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}").add(documents(spark, sf_dir))
+    return exact_dedup.dedup(documents(spark, sf_dir))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,48 @@ def test_exact_dedup_against_brute_force(spark):
     assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
 
 
+def test_dedup_in_batches_against_brute_force(spark):
+    sha = lambda t: hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode()).hexdigest()
+    data = [(i, t) for i, t, *_ in CASES] + [(k, f"t{k % 7}") for k in range(100, 160)] + [(None, "only null"), (None, None)]
+    groups = defaultdict(list)
+    for i, t in data:
+        groups[sha(t)].append(i)
+    keep = {h: min((i for i in g if i is not None), default=None) for h, g in groups.items()}
+    want = sorted(((i, keep[sha(t)], len(groups[sha(t)]), i == keep[sha(t)], sha(t)) for i, t in data), key=str)
+    tables = len(spark.catalog.listTables())
+    for batches in (1, 2, 5):
+        got = exact_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string"), batches).collect()
+        assert sorted(map(tuple, got), key=str) == want
+    assert len(spark.catalog.listTables()) == tables
+    assert exact_dedup.dedup(empty(spark)).count() == 0
+
+
+def test_a_batch_that_runs_again_gives_the_same(spark):
+    index = exact_dedup.DigestIndex(spark, "ix_again", 4)
+    index.add(spark.createDataFrame([(1, "a b", "", "", 0)], DOCS), "first")
+    second = spark.createDataFrame([(3, "a  b", "", "", 0), (4, "d", "", "", 0)], DOCS)
+    once, again = (sorted(map(tuple, index.add(second, "second").collect())) for _ in range(2))
+    assert once == again and [r[3] for r in again] == [False, True]
+    assert index.read().count() == 2
+
+
+def test_anti_join_is_a_merge_without_shuffle_of_the_index(spark):
+    index = exact_dedup.DigestIndex(spark, "ix_merge", 4)
+    index.add(spark.createDataFrame([(1, "a b", "", "", 0)], DOCS))
+    groups = exact_dedup.grouped(exact_dedup.digests(spark.createDataFrame([(2, "c", "", "", 0)], DOCS)))
+    plan = index.unseen(groups, "x")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan
+    side = plan[plan.index("LeftAnti"):]
+    assert side.count("Exchange") == 1  # the new data only
+
+
+def test_long_text_loses_its_lines(spark):
+    lines = [f"own {k}" if k % 2 else "common" for k in range(200_000)]
+    data = [(0, "\n".join(lines))] + [(k, "common") for k in range(1, 12)]
+    got = {r.doc_id: r for r in line_dedup.drop_frequent_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[0].kept_text == "\n".join(lines[1::2]) and got[0].n_dropped == 100_000 and got[1].kept_text == ""
+
+
 def test_index_persists_and_drops_known_texts(spark):
     index = exact_dedup.DigestIndex(spark, "ix_persist", 4)
     index.add(spark.createDataFrame([(1, "a b", "", "", 0), (2, "c", "", "", 0)], DOCS))
