@@ -1,11 +1,14 @@
-"""Hierarchical packing of documents into sequences of at most `window` tokens.
+"""Hierarchical packing of documents into sequences of several context sizes, the tiers.
 
 Each task encodes its documents and fills a pool of bounded size. A document's full windows become sequences of
-their own; its rest is routed to a tier, the smallest context size that holds it. The tiers are packed from the
-longest to the shortest, each piece into the window whose gap it fits best, so shorter tiers fill the gaps of longer
-windows. What gaps are left are filled by cutting pieces of the emptiest windows. One window per pool stays open and
-goes to the next pool; a task's last one is dealt into sequences of power-of-two lengths, which need no padding. The
-sequences of a pool are dealt to step groups of equal numbers, balanced by attention cost (the squared piece lengths).
+their own; its rest is routed to the shortest tier that holds it. Tiers are packed from the longest to the shortest: the
+pieces of a tier open windows of its own length, longest first and each where it fits best, and the gaps that are
+left in these windows are filled with the longest pieces of shorter tiers that fit. Windows that still have gaps are filled
+by cutting pieces of the tier's emptiest windows; what these windows lose last goes on to the next tier. So every
+sequence is exactly as long as its tier, a power of two, and needs no padding, and a short document stays in a short
+context unless it fills a gap. The pieces left of the shortest tier go to the next pool; a task's last ones are dealt
+into sequences of power-of-two lengths. The sequences of each tier are dealt to step groups of equal numbers, balanced by
+attention cost (the squared piece lengths).
 
 Nothing is shuffled and no key decides where a document goes, so no source or group of copies can be hot; a task
 holds one pool. Sequence ids are the partition's number times 2**33 plus a count, so a task that runs again gives
@@ -53,28 +56,53 @@ def tier_of(length: int, tiers: tuple[int, ...]) -> int:
     return next(t for t in tiers if t >= length)
 
 
-def fill_windows(pieces: list[Piece], window: int, tiers: tuple[int, ...]) -> list[list[Piece]]:
-    """Best fit, tier by tier from the longest. gaps: bit g is set while a window with g free tokens exists."""
+def best_fit(pieces: list[Piece], window: int, packs: list[list[Piece]] = (), grow: bool = True) -> tuple[list[list[Piece]], list[Piece]]:
+    """Put pieces, longest first, each into the pack whose gap it fits best; a piece that fits none opens a pack, or is
+    returned if `grow` is false. Bit g of `gaps` is set while a pack with g free tokens exists."""
     by_gap: list[list[list[Piece]]] = [[] for _ in range(window + 1)]
-    gaps = 0
+    gaps, left = 0, []
+    for pack in packs:
+        gap = window - sum(p.length for p in pack)
+        by_gap[gap].append(pack)
+        gaps |= 1 << gap
+    for p in sorted(pieces, key=lambda p: -p.length):
+        fits = gaps >> p.length
+        if fits:
+            gap = p.length + (fits & -fits).bit_length() - 1
+            pack = by_gap[gap].pop()
+            if not by_gap[gap]:
+                gaps &= ~(1 << gap)
+        elif grow:
+            gap, pack = window, []
+        else:
+            left.append(p)
+            continue
+        pack.append(p)
+        by_gap[gap - p.length].append(pack)
+        gaps |= 1 << (gap - p.length)
+    return [pack for packs in by_gap for pack in packs], left
+
+
+def pack_tiers(pieces: list[Piece], tiers: tuple[int, ...]) -> tuple[dict[int, list[list[Piece]]], list[Piece]]:
+    """Full windows of each tier, and the pieces left of the shortest tier."""
     routed: dict[int, list[Piece]] = {t: [] for t in tiers}
     for p in pieces:
         routed[tier_of(p.length, tiers)].append(p)
-    for t in reversed(tiers):
-        for p in sorted(routed[t], key=lambda p: -p.length):
-            fits = gaps >> p.length
-            if fits:
-                gap = p.length + (fits & -fits).bit_length() - 1
-                pack = by_gap[gap].pop()
-                if not by_gap[gap]:
-                    gaps &= ~(1 << gap)
-            else:
-                gap, pack = window, []
-            pack.append(p)
-            by_gap[gap - p.length].append(pack)
-            if gap > p.length:
-                gaps |= 1 << (gap - p.length)
-    return [pack for packs in by_gap for pack in packs]
+    out, left = {}, []
+    for k in range(len(tiers) - 1, -1, -1):
+        tier = tiers[k]
+        packs, _ = best_fit(routed[tier], tier)
+        for t in reversed(tiers[:k]):
+            packs, routed[t] = best_fit(routed[t], tier, packs, grow=False)
+        out[tier], left = close_gaps(packs, tier)
+        if k:
+            for p in left:  # of fewer than `tier` tokens in all
+                while p.length > tiers[k - 1]:
+                    p, rest = p.split(tiers[k - 1])
+                    routed[tiers[k - 1]].append(p)
+                    p = rest
+                routed[tier_of(p.length, tiers)].append(p)
+    return out, left
 
 
 def close_gaps(packs: list[list[Piece]], window: int) -> tuple[list[list[Piece]], list[Piece]]:
@@ -134,8 +162,8 @@ def step_groups(packs: list[list[Piece]], first: int) -> list[int]:
 class Packer:
     """Pool of one task. Emits rows of SCHEMA as Arrow batches."""
 
-    def __init__(self, window: int, tiers: tuple[int, ...], base: int):
-        self.window, self.tiers, self.next, self.group = window, tiers, base, base
+    def __init__(self, tiers: tuple[int, ...], base: int):
+        self.window, self.tiers, self.next, self.group = tiers[-1], tiers, base, base
         self.full: list[list[Piece]] = []
         self.rests: list[Piece] = []
         self.held = 0
@@ -148,36 +176,37 @@ class Packer:
         self.held += len(ids)
 
     def flush(self, final: bool = False) -> pa.RecordBatch:
-        packed, left = close_gaps(fill_windows(self.rests, self.window, self.tiers), self.window)
-        packs, self.full, self.rests, self.held = self.full + packed, [], [], 0
+        by_tier, left = pack_tiers(self.rests, self.tiers)
+        by_tier[self.window] += self.full
+        self.full, self.rests, self.held = [], left, sum(p.length for p in left)
         if final:
-            packs += powers_of_two(left, self.window)
-        else:
-            self.rests, self.held = left, sum(p.length for p in left)
-        groups = step_groups(packs, self.group)
-        self.group += -(-len(packs) // STEP)
+            for pack in powers_of_two(left, self.window):
+                by_tier.setdefault(sum(p.length for p in pack), []).append(pack)
         rows = []
-        for pack, group in zip(packs, groups):
-            at, size = 0, sum(p.length for p in pack)
-            for p in pack:
-                crc = zlib.crc32(p.ids[p.start : p.start + p.length].astype("<u4").tobytes())
-                rows.append((p.doc_id, p.start, p.length, crc, len(p.ids), self.next, at, size, tier_of(p.length, self.tiers), group))
-                at += p.length
-            self.next += 1
+        for tier in sorted(by_tier, reverse=True):
+            groups = step_groups(by_tier[tier], self.group)
+            self.group += -(-len(groups) // STEP)
+            for pack, group in zip(by_tier[tier], groups):
+                at = 0
+                for p in pack:
+                    crc = zlib.crc32(p.ids[p.start : p.start + p.length].astype("<u4").tobytes())
+                    rows.append((p.doc_id, p.start, p.length, crc, len(p.ids), self.next, at, tier, tier_of(p.length, self.tiers), group))
+                    at += p.length
+                self.next += 1
         kinds = [pa.int64()] * 7 + [pa.int32()] * 2 + [pa.int64()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece; `window` is the sequence's own length, `tier` the context size that the piece is routed to."""
-    if window != tiers[-1] or any(t & (t - 1) for t in tiers):
-        raise ValueError("tiers are powers of two and end with the window")
+def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece; `window` is the sequence's own length, `tier` the shortest context size that holds the piece."""
+    if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers)):
+        raise ValueError("tiers are rising powers of two")
 
     def scan(batches):
         table = WordIds(tokenizer_path)
         end = np.array([END], table.dtype).tobytes()
-        packer = Packer(window, tiers, TaskContext.get().partitionId() << 33)
+        packer = Packer(tiers, TaskContext.get().partitionId() << 33)
         for ids, texts in balanced(batches):
             for doc_id, data in zip(ids, table.encode(texts), strict=True):
                 packer.add(doc_id, np.frombuffer(data + end, table.dtype))

@@ -83,3 +83,59 @@ def test_packing_keeps_each_token_once(spark, monkeypatch, name, pool):
         steps[r.step_group].add(r.sequence_id)
     assert max(map(len, steps.values())) <= packing.STEP
     assert packing.pack_documents(empty(spark), WORD).count() == 0
+
+
+def some_pieces(seed, n):
+    rng = np.random.default_rng(seed)
+    lengths = np.minimum(2048, np.maximum(1, rng.lognormal(5.5, 1.1, n).astype(int)))
+    return [packing.Piece(k, np.zeros(x, np.uint16), 0, int(x)) for k, x in enumerate(lengths)]
+
+
+def packed(pieces, tiers):
+    by_tier, left = packing.pack_tiers(pieces, tiers)
+    for tier, packs in by_tier.items():
+        assert all(sum(p.length for p in pack) == tier for pack in packs)
+    assert sum(p.length for p in left) < tiers[0]
+    got = sorted((p.doc_id, p.start, p.length) for packs in [*by_tier.values(), [left]] for pack in packs for p in pack)
+    at = {p.doc_id: 0 for p in pieces}
+    for doc, start, length in got:
+        assert start == at[doc] and length > 0
+        at[doc] += length
+    assert at == {p.doc_id: p.length for p in pieces}
+    return by_tier
+
+
+def test_tiers_change_the_packing():
+    by_tier = packed(some_pieces(1, 3000), packing.TIERS)
+    assert all(len(by_tier[t]) > 20 for t in packing.TIERS)
+    one = packed(some_pieces(1, 3000), (2048,))
+    assert len(one[2048]) > len(by_tier[2048])
+    # long windows hold long pieces and, in their gaps, pieces of shorter tiers; most pieces are never cut
+    kinds = {packing.tier_of(p.length, packing.TIERS) for pack in by_tier[2048] for p in pack}
+    assert kinds == set(packing.TIERS)
+    assert sum(len(pack) for packs in by_tier.values() for pack in packs) < 1.35 * 3000
+    assert sum(len(pack) for pack in by_tier[256]) / len(by_tier[256]) < 5
+
+
+def test_best_fit_equals_plain_search():
+    pieces = some_pieces(2, 300)
+    got, _ = packing.best_fit(pieces, 2048)
+    plain = []
+    for p in sorted(pieces, key=lambda p: -p.length):
+        room = [x for x in plain if sum(x) + p.length <= 2048]
+        if room:
+            max(room, key=sum).append(p.length)
+        else:
+            plain.append([p.length])
+    assert sorted(sum(p.length for p in pack) for pack in got) == sorted(map(sum, plain))
+
+
+def test_step_groups_are_of_one_tier_and_balanced(spark):
+    rows = packing.pack_documents(spark.read.parquet(FIXTURE).coalesce(1), WORD).collect()
+    tiers, cost = defaultdict(set), defaultdict(int)
+    for r in rows:
+        tiers[r.step_group].add(r.window)
+        cost[r.window, r.step_group] += r.length**2
+    assert all(len(t) == 1 for t in tiers.values())
+    own = [c for (w, _), c in cost.items() if w == 2048]
+    assert max(own) < 2 * min(own) or len(own) < 3
