@@ -3,9 +3,11 @@
 Blocks are the lines and the blank-line paragraphs of a text; a template is a set of words. A block meets a template if
 it contains at least `threshold` of the template's words. The words of all templates are ordered by their frequency
 over all texts, rarest first (ties by word). A block that meets a template of n words has at least m = ceil(threshold
-n) of them, so it has one of the first n - m + 1 (prefix filter), it has m words at all (length filter), and where its
-first shared word is at position i, n - i >= m (positional filter). An index from prefix words to (template, position)
-gives candidates, which are counted exactly. Only templates are indexed; what is broadcast is as large as they are.
+n) of them, so it has one of the first n - m + 1 (prefix filter) and it has m words at all (length filter). The block's
+words that templates have are put in the same order: where the first word that both have is number i of the template
+and number j of the block's b words, they share at most 1 + min(n - i - 1, b - j - 1), which has to reach m (positional
+filter). An index from prefix words to (template, position) gives candidates, which are counted exactly. Only templates
+are indexed; what is broadcast is as large as they are.
 
 Besides, places where the words of a base phrase stand in a row are reported.
 
@@ -83,26 +85,38 @@ class Index:
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[str, int], threshold: float):
         self.templates = []
         self.prefix: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        vocabulary = {w for _, text in templates for w in text.split()}
+        self.rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
         for k, (label, text) in enumerate(templates):
-            tokens = sorted(set(text.split()), key=lambda w: (frequency.get(w, 0), w))
+            tokens = sorted(set(text.split()), key=self.rank.__getitem__)
             need = math.ceil(threshold * len(tokens) - 1e-9)
             self.templates.append((label, frozenset(tokens), need))
             for i, w in enumerate(tokens[: len(tokens) - need + 1]):
                 self.prefix[w].append((k, i))
         self.first = frozenset(self.prefix)
 
+    def candidates(self, block: set[str]) -> list[int]:
+        """Templates that pass all three filters."""
+        own = sorted(self.rank.keys() & block, key=self.rank.__getitem__)
+        out, seen = [], set()
+        for j, w in enumerate(own):
+            for k, i in self.prefix.get(w, ()):
+                if k in seen:
+                    continue
+                seen.add(k)  # w is the first word in order that both have
+                _, tokens, need = self.templates[k]
+                if len(own) >= need and 1 + min(len(tokens) - i - 1, len(own) - j - 1) >= need:
+                    out.append(k)
+        return out
+
     def matches(self, block: set[str]) -> dict[int, float]:
         """Containment of each template that the block meets."""
-        out, seen = {}, set()
-        for w in sorted(block & self.first):
-            for k, i in self.prefix[w]:
-                _, tokens, need = self.templates[k]
-                if k in seen or len(block) < need or len(tokens) - i < need:
-                    continue
-                seen.add(k)
-                shared = len(tokens & block)
-                if shared >= need:
-                    out[k] = shared / len(tokens)
+        out = {}
+        for k in self.candidates(block):
+            _, tokens, need = self.templates[k]
+            shared = len(tokens & block)
+            if shared >= need:
+                out[k] = shared / len(tokens)
         return out
 
     def scan(self, text: str) -> dict[int, float]:

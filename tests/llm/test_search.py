@@ -50,6 +50,22 @@ def test_licenses_against_brute_force(spark, name):
         assert license_scan.scan_licenses(empty(spark)).count() == 0 and len(got) == len(CASES)
 
 
+def test_positional_filter_rejects_and_loses_nothing():
+    rng = random.Random(4)
+    index = license_scan.Index(license_scan.TEMPLATES, {"the": 50, "of": 40, "and": 30, "this": 20, "license": 10}, 0.8)
+    words = sorted(index.rank)
+    rejected = 0
+    for _ in range(3000):
+        _, text = rng.choice(license_scan.TEMPLATES)
+        block = {w for w in text.split() if rng.random() < 0.85} | set(rng.sample(words, 5))
+        passed = set(index.candidates(block))
+        for k, (_, tokens, need) in enumerate(index.templates):
+            prefix = sorted(tokens, key=index.rank.__getitem__)[: len(tokens) - need + 1]
+            assert k in passed or len(tokens & block) < need
+            rejected += k not in passed and bool(block & set(prefix)) and len(block) >= need
+    assert rejected > 100
+
+
 def brute_nearest(rows, k=5):
     good = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     out = {}
