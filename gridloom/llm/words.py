@@ -12,14 +12,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow.compute as pc
 
 # Letters and further characters of the plain range.
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿŒœ"
 NOT_PLAIN = re.compile("[^\t-\r\x20-\x7eÀ-ÿŒœ–—‘’“”…€]")
 #: The word pattern of a lower-casing tokenizer with word ends, on lower-cased plain text.
 WORD = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[0-9]|[^\s0-9{LETTER}]+")
-#: The word pattern of a byte-level tokenizer with leading blanks, on plain text.
-PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
 #: A single blank between two other characters: no word of either pattern crosses its left side.
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters after which a long text is cut at the next safe place.
@@ -39,13 +38,19 @@ def chunks(text: str, size: int = LONG) -> Iterator[str]:
 
 
 def balanced(batches, size: int = BATCH_BYTES) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of Arrow batches with columns id and text, regrouped by bytes; null texts are empty."""
+    """(ids, texts) of Arrow batches with columns id and text, regrouped by bytes of UTF-8; null texts are empty. Only
+    the rows of one group are Python objects at a time."""
     ids, texts, held = [], [], 0
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t or "")
-            held += len(t or "")
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, done = 0, 0
+        while at < b.num_rows:
+            stop = min(int(np.searchsorted(ends, done + size - held)) + 1, b.num_rows)
+            part = b.slice(at, stop - at)
+            ids += part.column(0).to_pylist()
+            texts += [t or "" for t in part.column(1).to_pylist()]
+            held += int(ends[stop - 1]) - done
+            at, done = stop, int(ends[stop - 1])
             if held >= size:
                 yield ids, texts
                 ids, texts, held = [], [], 0
@@ -138,39 +143,3 @@ class WordIds(_Table):
             got = b"".join(map(get, w))
             out[k] = got if out[k] is None else out[k] + got
         return out
-
-
-class PieceCounts(_Table):
-    """Numbers of tokens of whole texts, for a byte-level tokenizer with leading blanks."""
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.line_end = self.tok.token_to_id("Ċ")
-
-    def values(self, pieces: list[str]) -> list[int]:
-        solid = [p for p in pieces if not p.isspace()]
-        ids = np.array(self.tok.encode("\n".join(solid), add_special_tokens=False).ids)
-        at = np.flatnonzero(ids == self.line_end)
-        if len(at) + 1 != len(solid) and solid:
-            counts = {p: self.whole(p) for p in solid}
-        else:
-            counts = dict(zip(solid, np.diff([-1, *at, len(ids)]) - 1))
-        return [int(counts[p]) if p in counts else self.whole(p) for p in pieces]
-
-    def whole(self, text: str) -> int:
-        return len(self.tok.encode(text, add_special_tokens=False).ids)
-
-    def count(self, texts: list[str]) -> list[int]:
-        out = [0] * len(texts)
-        todo, words = [], []
-        for k, t in enumerate(texts):
-            if self.plain(t):
-                for part in chunks(t):
-                    todo.append(k)
-                    words.append(PIECE.findall(part))
-            else:
-                out[k] = sum(map(self.whole, chunks(t)))
-        get = self.lookup(words).__getitem__
-        for k, w in zip(todo, words):
-            out[k] += sum(map(get, w))
-        return out

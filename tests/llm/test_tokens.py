@@ -4,10 +4,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from gridloom.llm import bpe_table, packing, token_counts
+from gridloom.llm import bpe_table, packing, token_counts, words
 from tests.llm.helpers import CASES, cases, empty
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -139,3 +140,21 @@ def test_step_groups_are_of_one_tier_and_balanced(spark):
     assert all(len(t) == 1 for t in tiers.values())
     own = [c for (w, _), c in cost.items() if w == 2048]
     assert max(own) < 2 * min(own) or len(own) < 3
+
+
+def test_batches_are_balanced_by_bytes():
+    texts = ["ä" * 300, None, "x" * 5000, "", "y" * 100] * 40
+    table = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], ["id", "text"])
+    groups = list(words.balanced([table, table.slice(0, 0), table], 2000))
+    assert [i for ids, _ in groups for i in ids] == [*range(200)] * 2
+    assert [t for _, ts in groups for t in ts] == [t or "" for t in texts] * 2
+    sizes = [[len(t.encode()) for t in ts] for _, ts in groups]
+    assert all(sum(s) >= 2000 and sum(s[:-1]) < 2000 for s in sizes[:-1])
+
+
+def test_long_texts_are_cut_where_no_token_crosses(monkeypatch):
+    tok = words.tokenizer(BYTE)
+    text = "".join(f"it's  {k} wörds,\n\tof <|endoftext|> text " for k in range(2000))
+    monkeypatch.setattr(words.chunks, "__defaults__", (500,))
+    assert len(list(words.chunks(text))) > 50
+    assert token_counts.lengths(tok, [text, "", "a b"]) == [len(tok.encode(t, add_special_tokens=False).ids) for t in (text, "", "a b")]
