@@ -1,24 +1,24 @@
 """Near-duplicate detection by order MinHash, verified by banded alignment.
 
-A text is its sequence of five-word shingles (a shorter text is one shingle). Shingles are labelled with their
-occurrence number, so repeats differ. Each of SKETCHES hash functions picks the PICKS labelled shingles with the
+A text is its sequence of words and of five-word shingles (a shorter text is one shingle). Shingles are labelled with
+their occurrence number, so repeats differ. Each of SKETCHES hash functions picks the PICKS labelled shingles with the
 smallest values and keeps them in text order: two texts share the sketch only if they share the shingles and their
-order. Two texts are linked if, in an alignment, M shingles match in order and M / (|A| + |B| - M) >= 0.8; the alignment
-runs in a band, which is widened up to the width beyond which 0.8 cannot be reached. A class is a connected component
-of links. Texts with the same words are one node from the start.
+order, so sketches are sensitive to edit similarity. Two texts are linked if an alignment matches at least SIMILARITY of
+the words of the longer one, in order. Texts that share 0.8 of their five-word shingles in order always do. The
+alignment runs in a band, which is widened up to the width beyond which SIMILARITY cannot be reached. A class is a
+connected component of links. Texts with the same words are one node from the start.
 
 In each bucket of equal sketches every member is a candidate pair with the bucket's ends, at first its first and last
 member by digest. Buckets whose other members are not yet all of one class go on in rounds: the members with the most and
 the fewest links are the new ends, more of them in each round, and meet every member that has not been an end and is of
 another class. A bucket is done when the members that were no end are of one class, so no link within a bucket is missed,
 while n copies of one text make about 2 n SKETCHES candidates. Only members that are unlike one another take all pairs.
-At similarity 0.8 a pair shares a sketch with probability of about 0.8**PICKS = 0.41, so it has no bucket in common with
-probability 3e-6.
+A pair that shares the part J of its shingles shares a sketch with probability of about J**PICKS, so it has no bucket in
+common with probability 3e-6 at J = 0.8, 1 % at 0.65 and 20 % at 0.5 (one word in ten changed, each far from the others).
 
 Defined results: a null text is the empty text. Texts without a word are equal if identical. A null id counts as larger
-than any other: a document with a null id belongs to the class of its words, but texts that only null ids have are not
-compared further, and their class id is null. Repeated rows are members like any other. An empty input gives an empty
-result. Other columns are not read.
+than any other: a class with null ids only has the class id null. Repeated rows are members like any other. An empty
+input gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ from gridloom.llm.shared import cut, join_unique
 from gridloom.llm.words import balanced
 
 SHINGLE = 5
-SIMILARITY = 0.8
+#: Least share of the longer text's words that match in order.
+SIMILARITY = 0.85
 SKETCHES = 24
 PICKS = 4
 WORD = re.compile(r"\w+")
@@ -48,6 +49,8 @@ FLIP = _RNG.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
 #: Numbers in the largest array of hash values; longer texts take several rounds of hash functions.
 ROOM = 1 << 21
 KEEP = 300_000
+#: Rows of the alignment table between two shifts of the band.
+BAND_ROWS = 2048
 #: Most parts of a bucket that give an end of either kind in a round; larger buckets take more rounds.
 MOST_SLOTS = 1024
 
@@ -143,27 +146,44 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(scan, SIGNATURE)
 
 
-def band_lcs(a: np.ndarray, b: np.ndarray, width: int) -> int:
-    """Longest common subsequence whose matches stay within `width` of the diagonals between the two corners."""
+def band_lcs(a: np.ndarray, b: np.ndarray, width: int, need: int = 0) -> int:
+    """Longest common subsequence whose matches stay within `width` of the diagonals between the two corners.
+
+    A row of the table is a bit vector (bit j is 0 where the row grows at b[j]), held as an integer. Blocks of
+    BAND_ROWS rows see only the columns of their part of the band, so the work is rows times band / 64. Returns -1 as
+    soon as `need` is out of reach."""
     n, m = len(a), len(b)
-    reach = width + abs(m - n)
-    best = np.zeros(m + 1, np.int32)
-    for i in range(1, n + 1):
-        s, e = max(1, i - reach), min(m, i + reach)
-        if s > e:
+    low, high = min(0, m - n) - width, max(0, m - n) + width  # column minus row within the band
+    row = (1 << m) - 1
+    for i in range(0, n, BAND_ROWS):
+        part = a[i : i + BAND_ROWS].tolist()
+        first, last = max(0, i + low), min(m, i + len(part) + high)
+        if first >= last:
             continue
-        row = np.maximum(best[s : e + 1], best[s - 1 : e] + (b[s - 1 : e] == a[i - 1]))
-        row[0] = max(row[0], best[s - 1])
-        best[s : e + 1] = np.maximum.accumulate(row)
-    return int(best[m])
+        places: dict[int, int] = {}
+        for j, x in enumerate(b[first:last].tolist()):
+            places[x] = places.get(x, 0) | 1 << j
+        inside = (1 << (last - first)) - 1
+        v = (row >> first) & inside
+        for k, x in enumerate(part, i):
+            hit = places.get(x)
+            if hit:
+                far = max(0, k + low - first)
+                hit &= (1 << max(0, k + high + 1 - first)) - 1
+                hit = hit >> far << far
+                u = v & hit
+                v = ((v + u) | (v - u)) & inside
+        row = (row >> last << last) | (v << first) | (row & ((1 << first) - 1))
+        if need and m - row.bit_count() + n - i - len(part) < need:
+            return -1
+    return m - row.bit_count()
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether at least `least` of the shingles of two texts match in order."""
-    total = len(a) + len(b)
+    """Whether at least `least` of the words of the longer text match in order. a, b: word hashes."""
     if not len(a) or not len(b):
         return False
-    need = int(np.ceil(least / (1 + least) * total - 1e-9))
+    need = int(np.ceil(least * max(len(a), len(b)) - 1e-9))
     if min(len(a), len(b)) < need:
         return False
     # what both have at their start and at their end is part of a best alignment
@@ -179,13 +199,13 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     if (Counter(a.tolist()) & Counter(b.tolist())).total() < need:
         return False
     widest = len(a) + len(b) - 2 * need
-    width = 16
+    width = 32
     while True:
-        if band_lcs(a, b, min(width, widest)) >= need:
+        if band_lcs(a, b, min(width, widest), need if width >= widest else 0) >= need:
             return True
         if width >= widest:
             return False
-        width *= 4
+        width *= 8
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -198,8 +218,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             out_a, out_b = [], []
             for a, b, ta, tb in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if last[0] != b:
-                    last = (b, shingles(hasher.hashes(hasher.words(tb))))
-                if similar(shingles(hasher.hashes(hasher.words(ta))), last[1]):
+                    last = (b, hasher.hashes(hasher.words(tb)))
+                if similar(hasher.hashes(hasher.words(ta)), last[1]):
                     out_a.append(a)
                     out_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
@@ -294,13 +314,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     that id, those with the class's first text of that id).
     """
     rows = cut(signatures(docs, id_col, text_col), "signatures")
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sketches").alias("sketches")), "nodes")
-    members = cut(buckets(nodes.filter("n_shingles > 0 AND rep IS NOT NULL")), "members")
+    nodes = cut(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sketches").alias("sketches")).select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "n", "n_shingles", "sketches"), "nodes")
+    members = cut(buckets(nodes.filter("n_shingles > 0")), "members")
     pairs = cut(candidates(members), "candidates")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    reps = nodes.select("node", "rep").join(needed, "node")
-    plain = docs.select(F.col(id_col).cast("long").alias("rep"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = cut(_of_node(plain.join(reps, "rep").select("node", "text")), "candidate-texts")
+    reps = nodes.select("node", "rep", "rep_hash").join(needed, "node")
+    texts = cut(_texts_of(docs, reps, id_col, text_col), "candidate-texts")
     roots = linked(members, pairs, texts)
     each = nodes.select("node", "rep", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = each.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("first"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
@@ -309,16 +328,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.select("doc_id", "text_hash", "class_id", "class_size", "n_texts", (F.col("stays") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
 
 
-def _of_node(texts: DataFrame) -> DataFrame:
-    """One row per node: rows whose text is not the node's (their id is repeated) go."""
-
-    def scan(batches):
-        hasher = Hasher()
-        for b in batches:
-            keep = [node_of(hasher.words(t), t) == n for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield b.filter(pa.array(keep, pa.bool_()))
+def _texts_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text): the text of each node's first document. reps: (node, rep, rep_hash).
 
-    return texts.mapInArrow(scan, "node binary, text string").dropDuplicates(["node"])
+    Rows without an id are reduced to one per text first, so that no join has more rows than distinct texts and ids."""
+    plain = docs.select(F.col(id_col).cast("long").alias("rep"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("rep_hash", F.xxhash64("text"))
+    named = plain.filter("rep IS NOT NULL").join(reps.filter("rep IS NOT NULL"), ["rep", "rep_hash"]).select("node", "text")
+    nameless = reps.filter("rep IS NULL").select("node", "rep_hash")
+    unnamed = plain.filter("rep IS NULL").groupBy("rep_hash").agg(F.first("text").alias("text")).join(nameless, "rep_hash").select("node", "text")
+    return named.unionByName(unnamed).dropDuplicates(["node"])
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
