@@ -40,6 +40,24 @@ def test_bpe_ids_and_empty(spark):
     assert bpe_table.encode_documents(empty(spark), WORD).count() == 0
 
 
+def test_decode_of_ids_equals_library(spark):
+    tok = Tokenizer.from_file(WORD)
+    rows = [(k, tok.encode(t or "", add_special_tokens=False).ids) for k, (_, t, *_) in enumerate(CASES)] + [(99, [0, 49406, 49407, 5])]
+    got = {r.word: (r.ids, r.decoded) for r in bpe_table.decode(spark.createDataFrame(rows, "word int, ids array<int>"), WORD).collect()}
+    assert got == {k: (ids, tok.decode(ids, skip_special_tokens=False)) for k, ids in rows}
+
+
+@pytest.mark.parametrize("block", [2_000, bpe_table.BLOCK_BYTES])
+def test_each_distinct_word_is_encoded_once(spark, monkeypatch, block):
+    monkeypatch.setattr(bpe_table, "BLOCK_BYTES", block)
+    split = bpe_table.split_words(cases(spark).coalesce(2), WORD, "doc_id", "text")
+    words = split.selectExpr("explode(words) AS word")
+    assert bpe_table.encode_words(words, WORD).count() == words.distinct().count()
+    got = {tuple(r) for r in bpe_table.encode_digests(cases(spark).coalesce(2), WORD).collect()}
+    monkeypatch.undo()
+    assert got == {tuple(r) for r in bpe_table.encode_digests(cases(spark), WORD).collect()}
+
+
 @pytest.mark.parametrize("name", ["cases", "fixture"])
 def test_token_counts_equal_library(spark, name):
     df = cases(spark) if name == "cases" else spark.read.parquet(FIXTURE)
