@@ -223,12 +223,15 @@ def balanced_with_flag(batches):
 
 
 def without_unknown(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose predicted language is not `und`, all columns as they were. Nothing is shuffled."""
+    """The rows of docs whose predicted language is not `und`, all columns as they were; if nothing could be learned,
+    those with a letter. Nothing is shuffled."""
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def scan(batches):
         for b in batches:
-            yield b.filter(pa.array([label != "und" for label, _, _ in labelled(held.value, [t or "" for t in b.column(at).to_pylist()])], pa.bool_()))
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            known = [label != "und" for label, _, _ in labelled(held.value, texts)] if held.value else [LETTER.search(t) is not None for t in texts]
+            yield b.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)
 

@@ -44,8 +44,6 @@ GRAM = 5
 SAMPLE_DOCS = 15_000
 #: Standard deviations below the observed share at which the limit lies.
 Z2 = 4.0
-#: Grams that the model keeps: those with the highest limits.
-MAX_GRAMS = 20_000
 MIN_LIMIT = 0.3
 CACHE = 300_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_restored int"
@@ -296,12 +294,13 @@ def decision_list(rows: list[tuple[bool, list[int]]], n_candidates: int) -> tupl
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """What comes to the driver: N**3 counts, MAX_GRAMS candidates and the candidates of the sample's documents."""
+    """What comes to the driver: N**3 counts, the grams of the bounded sample that reach MIN_LIMIT, and these grams of
+    each of the sample's documents."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     bits = trigram_bits(character_counts(rows.select("text")))
     chosen = cut(labelled_sample(rows, labels, limit), "toxicity-sample")
     low = lower_limit(F.col("toxic"), F.col("toxic") + F.col("clean"))
-    top = gram_table(chosen, bits).withColumn("low", low).filter(F.col("low") >= MIN_LIMIT).orderBy(F.col("low").desc(), "gram").limit(MAX_GRAMS).collect()
+    top = gram_table(chosen, bits).withColumn("low", low).filter(F.col("low") >= MIN_LIMIT).orderBy(F.col("low").desc(), "gram").select("gram").collect()
     candidates = [r.gram for r in top]
     seen = [(r.toxic, r.grams) for r in evidence(chosen, bits, candidates).toLocalIterator()]
     limits, base = decision_list(seen, len(candidates))

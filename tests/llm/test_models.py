@@ -124,3 +124,34 @@ def test_toxicity_special_rows(spark):
     assert len(rows) == len(CASES) and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.score(empty(spark), labels).count() == 0
     assert toxicity.score(cases(spark), labels.limit(0)).filter("predicted = 1").count() == 0
+
+
+def test_scores_equal_a_plain_decision_list(spark):
+    """Every word read by a full search over all its readings, every gram looked up in the list: no tasks, no caches."""
+    d = f"{FIXTURE}"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").limit(300), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.predict(docs, model).collect()}
+    for r in docs.collect():
+        words = toxicity.all_words(r.text or "", toxicity.Restorer(model.bits))[0]
+        best = max([model.limits.get(f" {w} "[k : k + toxicity.GRAM], 0.0) for w in words for k in range(len(w) - 2)], default=0.0)
+        want = max(best, model.base)
+        assert got[r.doc_id] == (want, int(want >= 0.5))
+
+
+def test_viterbi_equals_search_over_all_readings():
+    import itertools
+
+    rng = np.random.default_rng(1)
+    bits = toxicity.trigram_bits(rng.integers(0, 50, (toxicity.N,) * 3).astype(float))
+    for token in ("1d10t", "a$$", "st00pid", "booook", "@ss", "l0ser"):
+        steps = toxicity.lattice(token)
+        best = None
+        for reading in itertools.product(*steps):
+            word = "".join(x for x, _ in reading)
+            c = toxicity.codes(f"  {word} ")
+            cost = sum(e for _, e in reading) + float(bits[c[:-2], c[1:-1], c[2:]].sum())
+            best = min(best or (cost, word), (cost, word))
+        got = toxicity.viterbi(token, bits)
+        c = toxicity.codes(f"  {got} ")
+        assert got == best[1] or abs(best[0] - min(sum(e for _, e in r) + float(bits[c[:-2], c[1:-1], c[2:]].sum()) for r in itertools.product(*steps) if "".join(x for x, _ in r) == got)) < 1e-3
