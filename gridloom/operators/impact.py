@@ -1,8 +1,11 @@
 """Dependency impact: who is reached from an entity that fails, how badly, and what mitigates it.
 
 nodes: node, entity_type, status, criticality, client_tier, sla_hours, ... ; edges: src, dst, edge_type, criticality,
-mitigated. Traversals keep a frontier per origin and join it with the edges once per hop. Candidates are reduced to one
-row per (origin, node) by an aggregate, which combines before the shuffle, so hubs with many edges cost their edges once.
+mitigated. Traversals keep a frontier per origin and join it with the edges once per hop; a frontier that is small on disk
+is broadcast by Spark, so the edges stay where they are. Candidates are reduced to one row per (origin, node) by an
+aggregate, which combines before the shuffle, so hubs with many edges cost their edges once, and only then meet the
+nodes seen before, which are dealt by the same keys. A row holds its parent; paths are put together at the end, if asked
+for. `links` prepares edges once for many traversals.
 """
 
 from __future__ import annotations
@@ -26,39 +29,59 @@ def criticality_rank(level: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])[level], F.lit(2))
 
 
-def traverse(origins: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, max_depth: int = 5, edge_types: list[str] | None = IMPACT_EDGES, halt: bool = True, reverse: bool = False) -> DataFrame:
-    """Nodes reached from each origin: origin, node, hop (fewest), path, edge_path, edge_criticality, edge_mitigated, any_mitigated.
+def links(edges: DataFrame, edge_types: list[str] | None = IMPACT_EDGES) -> DataFrame:
+    """src, dst, edge_type, rank, mitigated of the edges that carry impact, in order of src."""
+    e = edges if edge_types is None else edges.filter(F.col("edge_type").isin(edge_types))
+    e = e.select("src", "dst", "edge_type", criticality_rank(F.col("criticality")).alias("rank"), F.coalesce("mitigated", F.lit(False)).alias("mitigated"))
+    return e.repartition("src").sortWithinPartitions("src")
+
+
+def hops(origins: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, max_depth: int = 5, edge_types: list[str] | None = IMPACT_EDGES, halt: bool = True, reverse: bool = False) -> list[DataFrame]:
+    """One table per hop of the nodes first reached there: origin, node, parent, edge_type, rank, mitigated, any_mitigated.
 
-    halt: a PROJECT that is PLANNED or SUSPENDED is reached but not left, unless it is the origin. Among ways of equal
-    length the one with the most critical last edge is taken, then an unmitigated one, then the first path by text.
+    origins: origin and, where the traversal does not start at the node of that name, node. edges: as they come, or
+    prepared by `links`. halt: a PROJECT that is PLANNED or SUSPENDED is reached but not left,
+    unless it is the origin. Among ways of equal length the one with the most critical last edge is taken, then an
+    unmitigated one, then the first parent and edge type by name.
     """
     if not 1 <= max_depth <= 10:
         raise ValueError("max_depth is 1 to 10")
-    e = edges if edge_types is None else edges.filter(F.col("edge_type").isin(edge_types))
+    e = edges if "rank" in edges.columns else cut(links(edges, edge_types))
     if reverse:
         e = e.withColumns({"src": F.col("dst"), "dst": F.col("src")})
-    e = e.select("src", "dst", "edge_type", criticality_rank(F.col("criticality")).alias("rank"), F.coalesce("mitigated", F.lit(False)).alias("mitigated"))
     halted = None
     if halt and nodes is not None:
-        halted = nodes.filter((F.col("entity_type") == "PROJECT") & F.col("status").isin(HALTING)).select("node")
-    e = e.groupBy("src", "dst").agg(F.min(F.struct("rank", "mitigated", "edge_type")).alias("edge"))
-    e = cut(e)
-    frontier = origins.select("origin", F.col("origin").alias("node"), F.array("origin").alias("path"), F.array().cast("array<string>").alias("edge_path"), F.lit(False).alias("any_mitigated")).distinct()
-    hops, seen = [], cut(frontier.select("origin", "node"))
+        halted = cut(nodes.filter((F.col("entity_type") == "PROJECT") & F.col("status").isin(HALTING)).select("node"))
+    start = F.col("node" if "node" in origins.columns else "origin")
+    frontier = cut(origins.select("origin", start.alias("node"), F.lit(False).alias("any_mitigated")).distinct())
+    out, seen = [], frontier.select("origin", "node")
     for hop in range(1, max_depth + 1):
         left = frontier if hop == 1 or halted is None else frontier.join(halted, "node", "left_anti")
-        step = left.join(e, F.col("node") == F.col("src")).select(
-            "origin", F.col("dst").alias("node"),
-            F.struct("edge.rank", "edge.mitigated", F.concat("path", F.array("dst")).alias("path"), F.concat("edge_path", F.array("edge.edge_type")).alias("edge_path"), (F.col("any_mitigated") | F.col("edge.mitigated")).alias("any_mitigated")).alias("way"))
-        best = step.join(seen, ["origin", "node"], "left_anti").groupBy("origin", "node").agg(F.min("way").alias("way"))
-        frontier = cut(best.select("origin", "node", F.lit(hop).alias("hop"), F.col("way.path").alias("path"), F.col("way.edge_path").alias("edge_path"), F.col("way.any_mitigated").alias("any_mitigated"), F.col("way.rank").alias("rank"), F.col("way.mitigated").alias("edge_mitigated")))
-        hops.append(frontier)
-        if frontier.isEmpty():
-            break
+        way = F.min(F.struct("rank", "mitigated", F.col("node").alias("parent"), "edge_type", (F.col("any_mitigated") | F.col("mitigated")).alias("any_mitigated")))
+        best = left.select("origin", "node", "any_mitigated").join(e, F.col("node") == F.col("src")).groupBy("origin", "dst").agg(way.alias("way")).select("origin", F.col("dst").alias("node"), "way.*")
+        frontier = cut(best.join(seen, ["origin", "node"], "left_anti"))
+        out.append(frontier)
+        if hop == max_depth or frontier.isEmpty():
+            return out
         seen = seen.unionByName(frontier.select("origin", "node"))
+
+
+def traverse(origins: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, max_depth: int = 5, edge_types: list[str] | None = IMPACT_EDGES, halt: bool = True, reverse: bool = False, paths: bool = True) -> DataFrame:
+    """Nodes reached from each origin: origin, node, hop (fewest), edge_criticality, edge_mitigated, any_mitigated, and with
+    `paths` also path and edge_path. See `hops` for the other arguments."""
     names = F.array(*[F.lit(k) for k in RANK])
-    out = reduce(DataFrame.unionByName, hops)
-    return out.select("origin", "node", "hop", "path", "edge_path", F.element_at(names, F.col("rank") + 1).alias("edge_criticality"), "edge_mitigated", "any_mitigated")
+    found, before = [], None
+    for hop, rows in enumerate(hops(origins, edges, nodes, max_depth, edge_types, halt, reverse), 1):
+        if paths:
+            if before is None:
+                rows = rows.withColumns({"path": F.array("parent", "node"), "edge_path": F.array("edge_type")})
+            else:
+                way = before.select("origin", F.col("node").alias("parent"), F.col("path").alias("path_before"), F.col("edge_path").alias("edge_path_before"))
+                rows = rows.join(way, ["origin", "parent"]).withColumns({"path": F.array_append("path_before", F.col("node")), "edge_path": F.array_append("edge_path_before", F.col("edge_type"))})
+            before = rows
+        shown = ["path", "edge_path"] if paths else []
+        found.append(rows.select("origin", "node", F.lit(hop).alias("hop"), *shown, F.element_at(names, F.col("rank") + 1).alias("edge_criticality"), F.col("mitigated").alias("edge_mitigated"), "any_mitigated"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def tier(status: Column, edge_criticality: Column, mitigated: Column, client_tier: Column, sla_hours: Column) -> Column:
@@ -73,15 +96,31 @@ def tier(status: Column, edge_criticality: Column, mitigated: Column, client_tie
     )
 
 
-def propagate(triggers: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 5, along_path: bool = False, simulation: bool = False) -> DataFrame:
-    """Impacted entities of each trigger (column origin) with tier. along_path: any mitigated edge on the way counts."""
-    known = triggers.join(nodes.select(F.col("node").alias("origin")), "origin", "left_semi")
-    reached = traverse(known, edges, nodes, max_depth).join(nodes, "node", "left")
+def entity_ids(names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(name, node): the nodes whose id, name or Hebrew name is the given name in any case; nodes need not have names."""
+    keys = [c for c in ("node", "name", "name_he") if c in nodes.columns]
+    known = nodes.select(F.col("node").alias("found"), F.explode(F.array_distinct(F.array(*[F.lower(c) for c in keys]))).alias("key"))
+    return names.select("name", F.lower("name").alias("key")).distinct().join(known, "key").select("name", F.col("found").alias("node")).distinct()
+
+
+def propagate(triggers: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 5, along_path: bool = False, simulation: bool = False, paths: bool = True, limit: int | None = None) -> DataFrame:
+    """Impacted entities of each trigger (column origin, a name in any case) with tier.
+
+    along_path: any mitigated edge on the way counts. limit: at most so many entities per trigger, by hop, then the
+    most critical ones, then name."""
+    known = entity_ids(triggers.select(F.col("origin").alias("name")), nodes).select(F.col("name").alias("origin"), "node")
+    reached = traverse(known, edges, nodes, max_depth, paths=paths).join(nodes, "node", "left")
     mitigated = F.col("any_mitigated") if along_path else F.col("edge_mitigated")
     status = F.coalesce("status", F.lit("ACTIVE"))
-    return reached.select(
-        "origin", "node", "entity_type", "hop", F.array_join("path", " > ").alias("path"), F.array_join("edge_path", " > ").alias("edge_path"), "edge_criticality", mitigated.alias("mitigated"), status.alias("status"),
-        tier(status, F.col("edge_criticality"), mitigated, F.col("client_tier"), F.col("sla_hours")).alias("tier"), F.lit(simulation).alias("simulation"))
+    shown = [F.array_join(c, " > ").alias(c) for c in ("path", "edge_path")] if paths else []
+    level = [criticality_rank(F.col("criticality")).alias("level")] if limit else []
+    out = reached.select(
+        "origin", "node", "entity_type", "hop", *shown, "edge_criticality", mitigated.alias("mitigated"), status.alias("status"),
+        tier(status, F.col("edge_criticality"), mitigated, F.col("client_tier"), F.col("sla_hours")).alias("tier"), F.lit(simulation).alias("simulation"), *level)
+    if not limit:
+        return out
+    w = W.partitionBy("origin").orderBy("hop", "level", "node")
+    return out.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit).drop("level", "position")
 
 
 def roll_up(triggers: DataFrame, impacted: DataFrame, max_depth: int) -> DataFrame:
@@ -94,7 +133,7 @@ def roll_up(triggers: DataFrame, impacted: DataFrame, max_depth: int) -> DataFra
 
 def dependents(targets: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
     """Who depends on each target, nearest first."""
-    return traverse(targets, edges, None, max_depth, halt=False, reverse=True).join(nodes.select("node", "entity_type"), "node", "left").select("origin", "node", "entity_type", "hop")
+    return traverse(targets, edges, None, max_depth, halt=False, reverse=True, paths=False).join(nodes.select("node", "entity_type"), "node", "left").select("origin", "node", "entity_type", "hop")
 
 
 def dependent_kinds(found: DataFrame) -> DataFrame:
@@ -104,7 +143,7 @@ def dependent_kinds(found: DataFrame) -> DataFrame:
 
 def downstream_counts(origins: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:
     """Distinct nodes that each origin reaches, itself excluded; 0 where there are none."""
-    reached = traverse(origins, edges, None, max_depth, halt=False).groupBy("origin").agg(F.count(F.lit(1)).alias("downstream"))
+    reached = traverse(origins, edges, None, max_depth, halt=False, paths=False).groupBy("origin").agg(F.count(F.lit(1)).alias("downstream"))
     return origins.select("origin").distinct().join(reached, "origin", "left").na.fill(0, ["downstream"])
 
 
@@ -115,17 +154,26 @@ def single_points(nodes: DataFrame, counts: DataFrame) -> DataFrame:
     return n.select("node", "entity_type", "downstream", ((F.col("downstream") > 0) & ~safe).alias("is_spof"))
 
 
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with their position in the given order. Each sorted partition counts its rows; the counts, one per partition,
+    tell where the next one begins, so no task holds more than its range."""
+    in_order = cut(rows.sort(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    sizes = in_order.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = sizes.select("part", "first", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return in_order.join(F.broadcast(before), "part").withColumn("position", (F.col("at") - F.col("first") + F.col("before") + 1).cast("int")).drop("part", "at", "first", "before")
+
+
 def compare(locations: DataFrame, nodes: DataFrame, edges: DataFrame, metric: str = "total_downstream", max_depth: int = 5) -> DataFrame:
     """Downstream totals of each location, ranked by a metric, ties by name. Short and long metric names are accepted."""
     metric = {"critical_project_count": "critical_projects", "tier1_client_count": "tier1_clients"}.get(metric, metric)
-    d = traverse(locations, edges, None, max_depth, halt=False).join(nodes, "node", "left")
+    d = traverse(locations, edges, None, max_depth, halt=False, paths=False).join(nodes, "node", "left")
     some = lambda c, name: F.sum(F.when(c, 1).otherwise(0)).alias(name)
     safe = F.col("has_backup") | F.col("has_failover") | F.col("backup_location").isNotNull()
     sums = d.groupBy("origin").agg(
         F.count(F.lit(1)).alias("total_downstream"), some((F.col("entity_type") == "PROJECT") & (F.col("criticality") == "CRITICAL"), "critical_projects"),
         some(F.col("client_tier") == "TIER_1", "tier1_clients"), some((F.col("entity_type") == "SYSTEM") & ~safe, "unprotected_systems"))
     all_of = locations.select("origin").distinct().join(sums, "origin", "left").na.fill(0)
-    return all_of.withColumn("position", F.row_number().over(W.orderBy(F.desc(metric), "origin")))  # one row per location
+    return numbered(all_of, F.desc(metric), F.asc("origin"))
 
 
 def coverage(nodes: DataFrame, edges: DataFrame, ready_at: float = 0.85) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import extraction, impact, search
 from gridloom.plans.impact_queries import _OPTIONS, _TIERS, VIEWS, _from, _reach
 from gridloom.plans.registry import query
-from gridloom.plans.views import edges, nodes, table
+from gridloom.plans.views import edges, links, nodes, table
 
 
 def _extractions(spark, sf_dir):
@@ -48,4 +48,4 @@ def index_terms(spark, sf_dir):
 SELECT origin, node, position, option_type, source, recovery_hours, confidence FROM five JOIN o USING (node)""")
 def mitigations_of_worst(spark, sf_dir):
     n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
-    return impact.first_mitigations(impact.propagate(_from(spark, sf_dir, "LOCATION", "key = 7"), n, e, 5), n, e)
+    return impact.first_mitigations(impact.propagate(_from(spark, sf_dir, "LOCATION", "key = 7"), n, links(spark, sf_dir), 5, paths=False), n, e)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import impact
 from gridloom.plans.registry import query
-from gridloom.plans.views import EDGES_SQL, NODES_SQL, edges, nodes, table
+from gridloom.plans.views import EDGES_SQL, NODES_SQL, edges, links, nodes, table
 
 VIEWS = f"WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}"
 _RANK = "CASE criticality WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'LOW' THEN 3 WHEN 'NEGLIGIBLE' THEN 4 ELSE 2 END"
@@ -39,11 +39,33 @@ tiers AS (SELECT w.origin, w.node, n.entity_type, w.hop, (w.r % 2 = 1) AS mitiga
 
 @query("gra01_propagate_location", _reach("SELECT 'LOC-7' AS origin, 'LOC-7' AS node, 0 AS hop", 5, True) + _TIERS + "SELECT origin, node, entity_type, hop, edge_criticality, mitigated, tier FROM tiers")
 def propagate_location(spark, sf_dir):
-    hit = impact.propagate(_from(spark, sf_dir, "LOCATION", "key = 7"), nodes(spark, sf_dir), edges(spark, sf_dir), 5)
+    hit = impact.propagate(_from(spark, sf_dir, "LOCATION", "key = 7"), nodes(spark, sf_dir), links(spark, sf_dir), 5, paths=False)
     return hit.select("origin", "node", "entity_type", "hop", "edge_criticality", "mitigated", "tier")
 
 
-_WITH_UNKNOWN = f"{_ALL_LOC}"
+def _ways(origins: str, depth: int) -> str:
+    """CTEs h0 .. h<depth>: per hop the nodes first reached there, with the way that `impact.hops` takes."""
+    types = ", ".join(f"'{t}'" for t in impact.IMPACT_EDGES)
+    out = f"""{VIEWS}, halted AS MATERIALIZED (SELECT node FROM nodes WHERE entity_type = 'PROJECT' AND status IN ('PLANNED', 'SUSPENDED')),
+e AS MATERIALIZED (SELECT src AS s, dst AS d, min({{'r': {_RANK} * 2 + mitigated::INT, 't': edge_type}}) AS w FROM edges WHERE edge_type IN ({types}) GROUP BY ALL),
+h0 AS ({origins})"""
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT origin, node FROM h{j}" for j in range(k))
+        stop = "" if k == 1 else "WHERE f.node NOT IN (SELECT node FROM halted)"
+        out += f""",
+b{k} AS (SELECT f.origin, e.d AS node, min({{'r': e.w.r, 'p': f.node, 't': e.w.t}}) AS w FROM h{k - 1} f JOIN e ON e.s = f.node {stop} GROUP BY ALL),
+h{k} AS MATERIALIZED (SELECT b.origin, b.node, {k} AS hop, b.w.r AS r, p.path || ' > ' || b.node AS path, p.edge_path || CASE WHEN p.edge_path = '' THEN '' ELSE ' > ' END || b.w.t AS edge_path
+ FROM b{k} b JOIN h{k - 1} p ON p.origin = b.origin AND p.node = b.w.p WHERE (b.origin, b.node) NOT IN (SELECT (origin, node) FROM ({seen})))"""
+    every = " UNION ALL ".join(f"SELECT * FROM h{k}" for k in range(1, depth + 1))
+    return f"{out}, ways AS ({every})"
+
+
+@query("gra01_propagate_all_locations", _ways("SELECT node AS origin, node, 0 AS hop, NULL::INT AS r, node AS path, '' AS edge_path FROM nodes WHERE entity_type = 'LOCATION'", 5) + """
+SELECT w.origin, w.node, n.entity_type, w.hop, w.path, w.edge_path, w.r % 2 = 1 AS mitigated FROM ways w LEFT JOIN nodes n ON n.node = w.node""")
+def propagate_locations(spark, sf_dir):
+    """Every location as a trigger, with the ways."""
+    hit = impact.propagate(_from(spark, sf_dir, "LOCATION"), nodes(spark, sf_dir), links(spark, sf_dir), 5)
+    return hit.select("origin", "node", "entity_type", "hop", "path", "edge_path", "mitigated")
 
 
 @query("gra07_roll_up_all_locations", _reach(_ALL_LOC, 4, True) + _TIERS + """, t AS (SELECT node AS origin FROM nodes WHERE entity_type = 'LOCATION' UNION ALL SELECT 'LOC-unknown')
@@ -51,13 +73,13 @@ SELECT t.origin, count(*) FILTER (tier = 'CRITICAL') AS n_critical, count(*) FIL
 FROM t LEFT JOIN tiers USING (origin) GROUP BY t.origin""")
 def roll_up_all_locations(spark, sf_dir):
     triggers = _from(spark, sf_dir, "LOCATION").union(spark.createDataFrame([("LOC-unknown",)], "origin string"))
-    hit = impact.propagate(triggers, nodes(spark, sf_dir), edges(spark, sf_dir), 4)
+    hit = impact.propagate(triggers, nodes(spark, sf_dir), links(spark, sf_dir), 4, paths=False)
     return impact.roll_up(triggers, hit, 4)
 
 
 @query("gra09_dependents_of_clients", _reach("SELECT node AS origin, node, 0 AS hop FROM nodes WHERE entity_type = 'CLIENT'", 3, False, True) + "SELECT r.origin, r.node, n.entity_type, r.hop FROM reach r LEFT JOIN nodes n ON n.node = r.node")
 def dependents_of_clients(spark, sf_dir):
-    return impact.dependents(_from(spark, sf_dir, "CLIENT"), nodes(spark, sf_dir), edges(spark, sf_dir), 3)
+    return impact.dependents(_from(spark, sf_dir, "CLIENT"), nodes(spark, sf_dir), links(spark, sf_dir), 3)
 
 
 @query("gra10_dependent_kinds", _reach("SELECT node AS origin, node, 0 AS hop FROM nodes WHERE entity_type = 'CLIENT'", 3, False, True) + "SELECT r.origin, count(*) AS n_dependents, count(DISTINCT n.entity_type) > 1 AS spans_types FROM reach r LEFT JOIN nodes n ON n.node = r.node GROUP BY r.origin")
@@ -72,12 +94,12 @@ _COMPARE = _reach(_ALL_LOC, 5, False) + """, c AS (SELECT l.node AS origin, coun
 
 @query("gra11_compare_locations", _COMPARE + "SELECT *, row_number() OVER (ORDER BY critical_projects DESC, origin) AS position FROM c")
 def compare_locations(spark, sf_dir):
-    return impact.compare(_from(spark, sf_dir, "LOCATION"), nodes(spark, sf_dir), edges(spark, sf_dir), "critical_project_count")
+    return impact.compare(_from(spark, sf_dir, "LOCATION"), nodes(spark, sf_dir), links(spark, sf_dir), "critical_project_count")
 
 
 @query("gra25_heat_map", _COMPARE + "SELECT origin, metric, value FROM (UNPIVOT (SELECT origin, critical_projects, tier1_clients, unprotected_systems FROM c) ON critical_projects, tier1_clients, unprotected_systems INTO NAME metric VALUE value)")
 def heat_map(spark, sf_dir):
-    c = impact.compare(_from(spark, sf_dir, "LOCATION"), nodes(spark, sf_dir), edges(spark, sf_dir))
+    c = impact.compare(_from(spark, sf_dir, "LOCATION"), nodes(spark, sf_dir), links(spark, sf_dir))
     return c.unpivot(["origin"], ["critical_projects", "tier1_clients", "unprotected_systems"], "metric", "value")
 
 
@@ -88,7 +110,7 @@ _COUNTS = _reach("SELECT node AS origin, node, 0 AS hop FROM nodes WHERE entity_
 def _spof(spark, sf_dir):
     n = nodes(spark, sf_dir)
     at = n.filter("entity_type IN ('LOCATION', 'DEPARTMENT')").select(F.col("node").alias("origin"))
-    return impact.single_points(n, impact.downstream_counts(at, edges(spark, sf_dir), 4))
+    return impact.single_points(n, impact.downstream_counts(at, links(spark, sf_dir), 4))
 
 
 @query("gra14_single_points_of_failure", _COUNTS + "SELECT node, entity_type, downstream, is_spof FROM d")
@@ -137,18 +159,18 @@ def incidents(spark, sf_dir, condition="true"):
     return e.select(F.col("event_id").alias("incident_id"), F.to_date("ts").alias("incident_date"), F.array(F.concat(F.lit("Loc-"), F.col("user_id") % 25)).alias("location_refs"), F.array(F.concat(F.lit("SYS-"), F.col("event_id") % 200)).alias("entity_refs"))
 
 
-@query("gra19_history", """WITH i AS (SELECT event_id AS incident_id, ts::DATE AS incident_date, lower('Loc-' || (user_id % 25)) AS a, lower('SYS-' || (event_id % 200)) AS b FROM events WHERE event_type = 'error' AND event_id % 25 = 0),
+@query("gra19_history", """WITH i AS (SELECT event_id AS incident_id, ts::DATE AS incident_date, lower('Loc-' || (user_id % 25)) AS a, lower('SYS-' || (event_id % 200)) AS b FROM events WHERE event_type = 'error'),
 n AS (SELECT 'LOC-' || n_nationkey AS name FROM nation),
 h AS (SELECT name, incident_id, incident_date, row_number() OVER (PARTITION BY name ORDER BY incident_date DESC NULLS LAST, incident_id) AS position FROM n JOIN i ON lower(name) IN (a, b) WHERE incident_date >= DATE '2024-01-05')
 SELECT * FROM h WHERE position <= 10""")
 def history(spark, sf_dir):
     names = _from(spark, sf_dir, "LOCATION").withColumnRenamed("origin", "name")
-    return impact.history(incidents(spark, sf_dir, "event_id % 25 = 0"), names, "2024-01-05")
+    return impact.history(incidents(spark, sf_dir), names, "2024-01-05")
 
 
 @query("gra19_history_all_events")
 def history_of_all(spark, sf_dir):
-    """As gra19_history, with every error event as an incident."""
+    """gra19_history under the name that round 1 gave it."""
     names = _from(spark, sf_dir, "LOCATION").withColumnRenamed("origin", "name")
     return impact.history(incidents(spark, sf_dir), names, "2024-01-05")
 
@@ -158,19 +180,19 @@ _MULTI = _reach("SELECT node AS origin, node, 0 AS hop FROM nodes WHERE entity_t
 
 @query("gra21_combined_scenario", _MULTI + "SELECT count(*) AS sum_of_parts, count(DISTINCT node) AS total, true AS simulation FROM reach")
 def combined_scenario(spark, sf_dir):
-    hit = impact.propagate(_from(spark, sf_dir, "LOCATION", "key IN (3, 7, 11)"), nodes(spark, sf_dir), edges(spark, sf_dir), 5, simulation=True)
+    hit = impact.propagate(_from(spark, sf_dir, "LOCATION", "key IN (3, 7, 11)"), nodes(spark, sf_dir), links(spark, sf_dir), 5, simulation=True, paths=False)
     return hit.agg(F.count(F.lit(1)).alias("sum_of_parts"), F.count_distinct("node").alias("total"), F.bool_and("simulation").alias("simulation"))
 
 
 @query("gra24_layers", _MULTI + "SELECT origin, hop, entity_type, count(*) AS n FROM reach LEFT JOIN nodes USING (node) GROUP BY ALL")
 def layers(spark, sf_dir):
-    hit = impact.propagate(_from(spark, sf_dir, "LOCATION", "key IN (3, 7, 11)"), nodes(spark, sf_dir), edges(spark, sf_dir), 5)
+    hit = impact.propagate(_from(spark, sf_dir, "LOCATION", "key IN (3, 7, 11)"), nodes(spark, sf_dir), links(spark, sf_dir), 5, paths=False)
     return hit.groupBy("origin", "hop", "entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("gra23_shortest_paths", _reach("SELECT node AS origin, node, 0 AS hop FROM nodes WHERE entity_type = 'DEPARTMENT'", 3, False) + "SELECT origin, node, hop FROM reach WHERE node LIKE 'CLIENT-%'")
 def shortest_paths(spark, sf_dir):
-    hit = impact.traverse(_from(spark, sf_dir, "DEPARTMENT"), edges(spark, sf_dir), None, 3, halt=False).filter("node LIKE 'CLIENT-%'")
+    hit = impact.traverse(_from(spark, sf_dir, "DEPARTMENT"), links(spark, sf_dir), None, 3, halt=False).filter("node LIKE 'CLIENT-%'")
     return hit.filter(F.size("path") == F.col("hop") + 1).select("origin", "node", "hop")
 
 
@@ -192,4 +214,4 @@ def grounding(spark, sf_dir):
 
 @query("gra29_report_lines")
 def report_lines(spark, sf_dir):
-    return impact.report_lines(impact.propagate(_from(spark, sf_dir, "LOCATION", "key IN (3, 7)"), nodes(spark, sf_dir), edges(spark, sf_dir), 2))
+    return impact.report_lines(impact.propagate(_from(spark, sf_dir, "LOCATION", "key IN (3, 7)"), nodes(spark, sf_dir), links(spark, sf_dir), 2))

@@ -1,21 +1,47 @@
-"""Cutting lineage in loops: a checkpoint in the folder that the session names."""
+"""Cutting lineage: tables in the folder that the session names, which survive lost executors."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Tables that are derived once a session: (application, name) -> path.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def folder(spark: SparkSession) -> str:
+    """The session's part of spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{base.rstrip('/')}/gridloom-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and stored in spark.checkpoint.dir, which survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = os.path.join(tempfile.gettempdir(), "checkpoints")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """df, computed once, written as Parquet and read back. Its size on disk tells Spark whether to broadcast it."""
+    path = f"{folder(df.sparkSession)}/core-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(spark: SparkSession, name: str, derive) -> DataFrame:
+    """The table that derive() makes, kept for the session: later calls with the same name read what the first one wrote."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STORED:
+        path = f"{folder(spark)}/stored-{uuid.uuid4().hex}"
+        derive().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that this session's queries have written. No result that is not yet collected may be used after it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _STORED if k[0] == spark.sparkContext.applicationId]:
+        del _STORED[key]

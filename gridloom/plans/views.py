@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators import impact
+from gridloom.plans.lineage import stored
+
 # Order priority to edge criticality.
 PRIORITY = {"1-URGENT": "CRITICAL", "2-HIGH": "HIGH", "3-MEDIUM": "MEDIUM", "5-LOW": "LOW", "4-NOT SPECIFIED": "NEGLIGIBLE"}
 _CRIT = "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PRIORITY.items()) + " END"
@@ -57,6 +60,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.unionByName(runs).unionByName(serves).unionByName(uses).unionByName(feeds).unionByName(backup)
 
 
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that carry impact, prepared for traversals once a session: the graph as it is kept."""
+    return stored(spark, f"links {sf_dir}", lambda: impact.links(edges(spark, sf_dir)))
+
+
 NODES_SQL = f"""nodes AS (
  SELECT 'LOC-' || n_nationkey AS node, 'LOCATION' AS entity_type, n_nationkey::BIGINT AS key, 'ACTIVE' AS status, 'MEDIUM' AS criticality, NULL::VARCHAR AS client_tier, NULL::INT AS sla_hours, r_name AS region,
   CASE WHEN n_nationkey % 3 = 0 THEN 'LOC-' || ((n_nationkey + 1) % 25) END AS backup_location, false AS remote, false AS has_backup, false AS has_failover, NULL::INT AS failover_hours FROM nation JOIN region ON n_regionkey = r_regionkey

@@ -31,6 +31,48 @@ def test_tiers_of_a_location(spark):
     assert both == 0
 
 
+def test_ways_against_brute_force(spark):
+    """Every shortest way in plain Python; of them the one that the docstring of hops names."""
+    rng = random.Random(8)
+    names = [f"n{k}" for k in range(40)]
+    edges = [(rng.choice(names), rng.choice(names), rng.choice(["FEEDS", "USES"]), rng.choice(list(impact.RANK)), rng.random() < 0.5) for _ in range(150)]
+    n, e = graph(spark, [(x, "SYSTEM", "ACTIVE") for x in names], edges)
+    want = {}
+    for o in names[:8]:
+        best = {o: ((o,), (), None, False)}
+        frontier = [o]
+        for _ in range(5):
+            ways = {}
+            for s, d, t, c, m in edges:
+                if s in frontier and d not in best:
+                    ways.setdefault(d, []).append((impact.RANK[c], m, s, t))
+            for d, found in ways.items():
+                rank, m, s, t = min(found)
+                best[d] = ((*best[s][0], d), (*best[s][1], t), m, best[s][3] or m)
+            frontier = list(ways)
+        want |= {(o, d): w for d, w in best.items() if d != o}
+    got = impact.traverse(origins(spark, *names[:8]), e, n, 5).collect()
+    assert {(r.origin, r.node): (tuple(r.path), tuple(r.edge_path), r.edge_mitigated, r.any_mitigated) for r in got} == want
+    plain = impact.traverse(origins(spark, *names[:8]), impact.links(e), n, 5, paths=False)
+    assert {(r.origin, r.node) for r in plain.collect()} == set(want) and "path" not in plain.columns
+
+
+def test_names_in_any_case_and_limit(spark):
+    nodes, edges = graph(spark, [(x, "SYSTEM", "ACTIVE") for x in ("Base", "b", "c", "d")], [("Base", x, "FEEDS", "LOW", False) for x in "bcd"])
+    nodes = nodes.withColumn("name_he", F.when(F.col("node") == "Base", "בסיס"))
+    for name in ("base", "BASE", "בסיס"):
+        assert {(r.origin, r.node) for r in impact.propagate(origins(spark, name), nodes, edges).collect()} == {(name, x) for x in "bcd"}
+    assert [r.node for r in impact.propagate(origins(spark, "base"), nodes, edges, limit=2).orderBy("node").collect()] == ["b", "c"]
+    assert impact.propagate(origins(spark, "nothing"), nodes, edges).count() == 0
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS x", "id % 3 AS y").repartition(4)
+    got = impact.numbered(df, F.desc("y"), F.asc("x")).collect()
+    want = sorted(got, key=lambda r: (-r.y, r.x))
+    assert [r.position for r in want] == list(range(1, 1001))
+
+
 def test_unknown_trigger_and_depth(spark):
     nodes, edges = graph(spark, [(x, "SYSTEM", "ACTIVE") for x in "abcdefg"], [(a, b, "FEEDS", "LOW", False) for a, b in zip("abcdef", "bcdefg")])
     t = origins(spark, "a", "nowhere")
