@@ -1,22 +1,25 @@
 """BPE encoding through a table of distinct words, and decoding through an id-to-piece join.
 
 1. Split: each task splits its documents into words and numbers the distinct words of a block of documents, the most
-   common first. A block is one row: its distinct words in order, and its documents' words by number, compressed.
-2. Encode: the blocks' words are exploded and made distinct, and each is encoded once for the whole input. A block names
-   a word once, so no word is hot, however common it is.
-3. Decode: the ids of the distinct words are exploded and joined to the vocabulary's pieces, whose number the tokenizer
-   file fixes, so they are broadcast; pieces are put together by position.
-4. Join back: words meet their blocks by a join on the word; ids and pieces return to the documents' places by position.
-
-Texts move only as word numbers. A task holds one block of documents. Defined results: a null text is the empty text,
-with no ids and the empty decoded text. Null and repeated ids pass through, one row per input row; an empty input gives
-an empty result. Other columns are not read. A document is never split over blocks.
+   common first. A block leaves as one row with the documents' words by number, and one row for each part of the word
+   range (by the word's checksum) with the block's distinct words in it. Both are compressed.
+2. Encode: the word rows are dealt out by part, so all that is said of a word meets in one place, where it is encoded
+   once for the whole input. A block names a word once, so no word is hot, however common it is. The number of parts
+   follows the size of the texts.
+3. Join back: ids return to their block by word number and are put in the documents' places by position.
+4. Decode: each block is joined to the vocabulary's pieces in order of id, whose number the tokenizer file fixes, so they
+   are broadcast; the ids of the block's words select their pieces. `decode` is the same join for any table of ids.
+
+Texts move only as word numbers. A task holds a block of documents, or the distinct words of one part. Defined results: a
+null text is the empty text, with no ids and the empty decoded text. Null and repeated ids pass through, one row per input
+row; an empty input gives an empty result. Other columns are not read. A document is never split over blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,10 @@ from gridloom.llm.words import NOT_PLAIN, WORD, balanced, chunks, tokenizer
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 48 << 20
-SPLIT = "block long, words array<string>, docs binary"
+#: Bytes of text whose distinct words make a part, and the fewest parts.
+PART_BYTES, LEAST_PARTS = 128 << 20, 32
+SPLIT = "block long, part int, words binary, nums binary, docs binary"
+IDS = "block long, nums binary, sizes binary, ids binary"
 
 
 class Splitter:
@@ -70,9 +76,9 @@ class Block:
         self.positions.append(at)
         self.held += size
 
-    def row(self, block: int) -> pa.RecordBatch:
+    def rows(self, block: int, parts: int) -> Iterator[pa.RecordBatch]:
         words = list(self.number)
-        positions = np.concatenate(self.positions)
+        positions = np.concatenate(self.positions) if self.positions else np.zeros(0, np.uint32)
         order = np.argsort(-np.bincount(positions, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), "<u4")
         rank[order] = np.arange(len(words))
@@ -83,8 +89,16 @@ class Block:
         head = packed(sink.getvalue().to_pybytes())
         # bytes of the numbers by significance: the high ones are mostly zero, so they compress well
         body = packed(rank[positions].view(np.uint8).reshape(-1, 4).T.tobytes())
-        columns = [pa.array([block], pa.int64()), pa.array([[words[k] for k in order]], pa.list_(pa.string())), pa.array([len(head).to_bytes(8, "little") + head + body], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["block", "words", "docs"])
+        yield batch(SPLIT, [(block, None, None, None, len(head).to_bytes(8, "little") + head + body)])
+        by_part: list[list[str]] = [[] for _ in range(parts)]
+        for w in words:
+            by_part[zlib.crc32(w.encode()) % parts].append(w)
+        number = self.number
+        for part, own in enumerate(by_part):
+            if own:
+                own.sort()
+                nums = rank[[number[w] for w in own]]
+                yield batch(SPLIT, [(block, part, packed("\n".join(own).encode()), packed(nums.view(np.uint8).reshape(-1, 4).T.tobytes()), None)])
 
 
 def packed(data: bytes) -> bytes:
@@ -105,17 +119,23 @@ def documents_of(docs: bytes) -> tuple[list, list[int], np.ndarray]:
     return table["doc_id"].to_pylist(), table["n"].to_pylist(), numbers(docs[8 + n :])
 
 
-def split_words(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
+def batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], [n for n, _ in fields])
+
+
+def split_words(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, parts: int) -> DataFrame:
     def scan(batches):
         splitter, block, n = Splitter(tokenizer_path), Block(), TaskContext.get().partitionId() << 32
         for ids, texts in balanced(batches):
             for doc_id, text in zip(ids, texts, strict=True):
                 block.add(doc_id, splitter.words(text), len(text))
             if block.held >= BLOCK_BYTES:
-                yield block.row(n)
+                yield from block.rows(n, parts)
                 block, n = Block(), n + 1
         if block.ids:
-            yield block.row(n)
+            yield from block.rows(n, parts)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(scan, SPLIT)
 
@@ -144,18 +164,33 @@ class WordTable:
         return out
 
 
-def encode_words(words: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(word, ids) of each distinct word."""
+def encode_words(words: DataFrame, tokenizer_path: str, parts: int) -> DataFrame:
+    """The ids of the words of each row, for its block. Rows come sorted by part within their partition."""
 
     def scan(batches):
         table = WordTable(tokenizer_path)
+
+        def coded(rows):
+            lists = [unpacked(w).decode().split("\n") for _, w, _ in rows]
+            distinct = sorted(set().union(*lists))
+            ids = dict(zip(distinct, table.encode(distinct)))
+            for (block, _, nums), own in zip(rows, lists):
+                got = [ids[w] for w in own]
+                sizes, flat = np.fromiter(map(len, got), "<u4", len(got)), np.concatenate(got)
+                yield batch(IDS, [(block, nums, packed(sizes.view(np.uint8).reshape(-1, 4).T.tobytes()), packed(flat.view(np.uint8).reshape(-1, 4).T.tobytes()))])
+
+        part, rows = None, []
         for b in batches:
-            if b.num_rows:
-                ids = table.encode(b.column(0).to_pylist())
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))], ["word", "ids"])
+            for block, p, w, nums in zip(*(c.to_pylist() for c in b.columns)):
+                if p != part and rows:
+                    yield from coded(rows)
+                    rows = []
+                part = p
+                rows.append((block, w, nums))
+        if rows:
+            yield from coded(rows)
 
-    return words.select("word").distinct().mapInArrow(scan, "word string, ids array<int>")
+    return words.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(scan, IDS)
 
 
 def vocabulary(spark: SparkSession, tokenizer_path: str) -> DataFrame:
@@ -174,13 +209,21 @@ def decode(rows: DataFrame, tokenizer_path: str, key: str = "word") -> DataFrame
     return found.unionByName(none)
 
 
-def assemble(split: DataFrame, words: DataFrame, schema: str, result) -> DataFrame:
+def assemble(split: DataFrame, ids: DataFrame, schema: str, result) -> DataFrame:
     """result(doc_ids, encoded, decoded) makes an Arrow table of `schema` from lists: ids of each document's words as
-    decimal text, and their pieces, each joined by one space. words: (of_block, num, ids as text, decoded)."""
+    decimal text, and their pieces, each joined by one space. split: document rows with the vocabulary's pieces."""
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        text = dict(zip(right["num"].to_pylist(), right["ids"].to_pylist()))
-        decoded = dict(zip(right["num"].to_pylist(), right["decoded"].to_pylist()))
+        piece = left["pieces"][0].as_py()
+        text: dict[int, str] = {}
+        decoded: dict[int, str] = {}
+        for nums, sizes, ids in zip(right["nums"].to_pylist(), right["sizes"].to_pylist(), right["ids"].to_pylist()):
+            at, got = 0, numbers(ids).tolist()
+            for num, n in zip(numbers(nums).tolist(), numbers(sizes).tolist()):
+                own = got[at : at + n]
+                at += n
+                text[num] = " ".join(map(str, own))
+                decoded[num] = " ".join([piece[i] for i in own])
         tables = []
         for docs in left["docs"].to_pylist():
             names, sizes, positions = documents_of(docs)
@@ -197,14 +240,18 @@ def assemble(split: DataFrame, words: DataFrame, schema: str, result) -> DataFra
             tables.append(result(part_ids, part_encoded, part_decoded))
         return pa.concat_tables(tables)
 
-    return split.groupBy("block").cogroup(words.groupBy("of_block")).applyInArrow(join, schema)
+    return split.groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(join, schema)
 
 
 def _run(docs: DataFrame, tokenizer_path: str, schema: str, result, id_col: str, text_col: str) -> DataFrame:
-    split = cut(split_words(docs, tokenizer_path, id_col, text_col), "bpe-blocks")
-    words = split.select(F.col("block").alias("of_block"), F.posexplode("words").alias("num", "word"))
-    table = cut(decode(encode_words(words, tokenizer_path), tokenizer_path).select("word", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "decoded"), "bpe-words")
-    return assemble(split.select("block", "docs"), words.join(table, "word").select("of_block", "num", "ids", "decoded"), schema, result)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(LEAST_PARTS, size // PART_BYTES)
+    split = cut(split_words(docs, tokenizer_path, id_col, text_col, parts), "bpe-words")
+    ids = encode_words(split.filter("part IS NOT NULL").select("block", "part", "words", "nums"), tokenizer_path, parts)
+    in_order = F.array_sort(F.collect_list(F.struct("id", "piece")))["piece"]
+    pieces = vocabulary(docs.sparkSession, tokenizer_path).agg(in_order.alias("pieces")).withColumn("all", F.lit(True))
+    blocks = split.filter("part IS NULL").select("block", "docs", F.lit(True).alias("all"))
+    return assemble(blocks.join(F.broadcast(pieces), "all"), ids.withColumnRenamed("block", "of_block"), schema, result)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
