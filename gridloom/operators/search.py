@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from gridloom.plans.lineage import cut
+
 
 def tokens(text: Column, least: int = 1, most: int = 50) -> Column:
     words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+", " ")), " ")
@@ -19,43 +21,83 @@ def prefixes(token: Column, least: int = 2, most: int = 20) -> Column:
     return F.when(n >= least, F.transform(F.sequence(F.lit(least), n), lambda k: F.substring(token, F.lit(1), k))).otherwise(F.array().cast("array<string>"))
 
 
-def postings(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
-    """(field, term, id, tf, len) of docs with an id column."""
-    each = [docs.select("id", F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields]
-    flat = reduce(DataFrame.unionByName, each).select("id", "field", F.size("t").alias("len"), F.explode("t").alias("term"))
-    return flat.groupBy("field", "term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+# Boosts of a concept's fields in lexical search, and the fields of a full-text lookup of concepts and terms.
+CONCEPT_FIELDS = {"name_he": 4.0, "name": 3.0, "aliases": 2.0, "description": 1.0, "description_he": 1.0}
+CONCEPT_FULLTEXT = {"name": 1.0, "description": 1.0, "name_he": 1.0, "description_he": 1.0}
+TERM_FULLTEXT = {"surface_form": 1.0, "normalized_form": 1.0}
+
+
+def field_tokens(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, field, len, t): the tokens of each field that has any; a field may be an array of texts."""
+    as_text = lambda f: F.array_join(f, " ") if docs.schema[f].dataType.typeName() == "array" else F.col(f)
+    each = F.array(*[F.struct(F.lit(f).alias("field"), tokens(as_text(f)).alias("t")) for f in fields])
+    return docs.select("id", F.inline(each)).filter(F.size("t") > 0).select("id", "field", F.size("t").alias("len"), "t")
+
+
+def index_terms(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """(term, occurrences, n_docs): each term's places and documents over all fields."""
+    each = field_tokens(docs, fields).select("id", F.explode("t").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    return each.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("n_docs"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, fields: dict[str, float], k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Top k per query (query_id, text): boosted BM25 summed over fields and terms. Only postings of queried terms are scored."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    p = postings(docs, fields)
-    stats = p.groupBy("field", "id").agg(F.first("len").alias("len")).groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    mine = p.join(asked.select("term").distinct(), "term", "left_semi")
-    df = mine.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    """Top k per query (query_id, text): boosted BM25 summed over fields and terms.
+
+    Texts are split into tokens once. Only tokens that some query asks for are exploded; their counts are dealt by
+    document, so all that a document scores for a query is added up where the document is, and only each task's k best
+    per query are shuffled. Query terms are broadcast by Spark as long as their table is small on disk."""
+    asked = cut(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
+    wanted = cut(asked.select("term").distinct())
+    split = cut(field_tokens(docs, list(fields)))
+    stats = split.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    mine = split.select("id", "field", "len", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("field", "term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    mine = cut(mine)
+    df = cut(mine.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")))
     boost = F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])[F.col("field")]
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = mine.join(df, ["field", "term"]).join(F.broadcast(stats), "field").select("term", "id", (boost * idf * tf).alias("s"))
-    total = asked.join(scored, "term").groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
+    scored = mine.repartition("id").join(df, ["field", "term"]).join(F.broadcast(stats), "field").select("term", "id", (boost * idf * tf).alias("s"))
+    total = scored.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
     return top_k(total, k)
 
 
+def best_hit(names: DataFrame, concepts: DataFrame, fields: dict[str, float] = CONCEPT_FULLTEXT) -> DataFrame:
+    """(name, id, score): the best full-text hit of each name, deprecated concepts left out. concepts: id, status and the
+    fields that they have."""
+    live = concepts.filter("NOT status <=> 'DEPRECATED'")
+    hits = bm25(names.select(F.col("name").alias("query_id"), F.col("name").alias("text")), live, {f: w for f, w in fields.items() if f in concepts.columns}, 1)
+    return hits.select(F.col("query_id").alias("name"), "id", "score")
+
+
+def find(queries: DataFrame, docs: DataFrame, mode: str = "hybrid", k: int = 10, fields: dict[str, float] = CONCEPT_FIELDS) -> DataFrame:
+    """Search in one of three modes: lexical, semantic, or both fused. queries: query_id, text, v; docs: id, v and the fields,
+    filtered before (see `allowed`)."""
+    fields = {f: w for f, w in fields.items() if f in docs.columns}
+    lexical = lambda n: bm25(queries, docs, fields, n)
+    semantic = lambda n: knn(queries.select("query_id", "v"), docs.select("id", "v"), n)
+    if mode == "lexical":
+        return lexical(k)
+    if mode == "semantic":
+        return semantic(k)
+    return fuse([lexical(2 * k), semantic(2 * k)], k)
+
+
 def top_k(scored: DataFrame, k: int, offset: int = 0) -> DataFrame:
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") > offset) & (F.col("rank") <= offset + k))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def knn(queries: DataFrame, docs: DataFrame, k: int = 10, blocks: int = 16) -> DataFrame:
-    """Exact top k by cosine: a stated query set (query_id, v) meets all docs (id, v) block by block; each block keeps k per query."""
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    asked = queries.withColumnRenamed("v", "q").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
-    scored = asked.join(dealt, "block").select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
+def knn(queries: DataFrame, docs: DataFrame, k: int = 10, block_rows: int = 4096) -> DataFrame:
+    """Exact top k by cosine: a stated query set (query_id, v) meets all docs (id, v) block by block, a block of about
+    `block_rows` docs with a block of as many queries, so the number of tasks follows the input. Each block pair keeps k
+    per query. For large query sets take an approximate search; this one checks it."""
+    n_docs, n_queries = (max(1, -(-x.count() // block_rows)) for x in (docs, queries))
+    dealt = lambda id_col, n: F.pmod(F.xxhash64(id_col), F.lit(n))
+    own = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
+    d = docs.select("id", "v", own("v").alias("norm"), dealt("id", n_docs).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("query_block"))
+    q = queries.select("query_id", F.col("v").alias("q"), own("v").alias("q_norm"), dealt("query_id", n_queries).cast("int").alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(n_docs - 1))).alias("block"))
+    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    scored = q.join(d, ["block", "query_block"]).select("query_id", "id", F.round(dot / (F.col("q_norm") * F.col("norm")), 6).alias("score"))
     return top_k(scored, k)
 
 

@@ -41,7 +41,7 @@ def extracted_relations(spark, sf_dir):
 SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY term""")
 def index_terms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return search.postings(docs, {"text": 1.0}).groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("n_docs"))
+    return search.index_terms(docs, ["text"])
 
 
 @query("gra17_mitigations_of_worst", _reach("SELECT 'LOC-7' AS origin, 'LOC-7' AS node, 0 AS hop", 5, True) + _TIERS + _OPTIONS.removeprefix(VIEWS) + """, five AS (SELECT origin, node, row_number() OVER (ORDER BY (tier <> 'CRITICAL')::INT, hop, node) AS position FROM tiers WHERE tier IN ('CRITICAL', 'HIGH') QUALIFY position <= 5)
