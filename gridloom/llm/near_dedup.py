@@ -8,11 +8,11 @@ the words of the longer one, in order. Texts that share 0.8 of their five-word s
 alignment runs in a band, which is widened up to the width beyond which SIMILARITY cannot be reached. A class is a
 connected component of links. Texts with the same words are one node from the start.
 
-In each bucket of equal sketches every member is a candidate pair with the bucket's ends, at first its first and last
-member by digest. Buckets whose other members are not yet all of one class go on in rounds: the members with the most and
-the fewest links are the new ends, more of them in each round, and meet every member that has not been an end and is of
-another class. A bucket is done when the members that were no end are of one class, so no link within a bucket is missed,
-while n copies of one text make about 2 n SKETCHES candidates. Only members that are unlike one another take all pairs.
+In each bucket of equal sketches a member is first paired with one node, the first member by digest of most of its
+buckets. Buckets whose members are not yet all of one class go on in rounds: the members with the most and the fewest
+links are the bucket's ends, more of them in each round, and meet every member that has not been an end and is of another
+class. A bucket is done when the members that were no end are of one class, so no link within a bucket is missed, while
+n copies of one text make about n pairs. Only members that are unlike one another take all pairs.
 A pair that shares the part J of its shingles shares a sketch with probability of about J**PICKS, so it has no bucket in
 common with probability 3e-6 at J = 0.8, 1 % at 0.65 and 20 % at 0.5 (one word in ten changed, each far from the others).
 
@@ -236,17 +236,22 @@ def buckets(nodes: DataFrame) -> DataFrame:
 
 
 def candidates(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b): members of a bucket with its first and last node."""
-    pairs = members.select(F.col("node").alias("a"), "last", F.explode(F.array_distinct(F.array("first", "last"))).alias("b"))
-    return pairs.filter("a <> b AND a <> last").select("a", "b").distinct()
+    """Distinct pairs (a, b) of the first round: all pairs of buckets of two or three; else each node with that first node
+    which most of its buckets begin with, so n copies of one text make n pairs."""
+    small = members.filter("n <= 3").select(F.col("node").alias("a"), "last", F.explode(F.array_distinct(F.array("first", "last"))).alias("b"))
+    small = small.filter("a <> b AND a <> last").select("a", "b")
+    large = members.filter("n > 3 AND node <> first").groupBy("node", "first").agg(F.count(F.lit(1)).alias("shared"))
+    large = large.groupBy("node").agg(F.max(F.struct("shared", "first")).alias("most")).select(F.col("node").alias("a"), F.col("most.first").alias("b"))
+    return small.unionByName(large).distinct()
 
 
 def new_candidates(members: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (key, node, root, ends, is_end) of another class than the end b, that are not in tested."""
+    """Pairs (a, b) of members (key, node, root, ends, is_end) of another class than the end b, that are not in tested, with
+    the classes root_a and root_b."""
     pairs = members.select(F.col("node").alias("a"), "root", "is_end", F.explode("ends").alias("end"))
-    pairs = pairs.filter("root <> end.root AND (NOT is_end OR a < end.node)").select("a", F.col("end.node").alias("b"))
+    pairs = pairs.filter("root <> end.root AND (NOT is_end OR a < end.node)").select("a", F.col("end.node").alias("b"), F.col("root").alias("root_a"), F.col("end.root").alias("root_b"))
     pairs = pairs.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).dropDuplicates(["low", "high"])
-    return pairs.join(tested.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), ["low", "high"], "left_anti").select("a", "b")
+    return pairs.join(tested.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), ["low", "high"], "left_anti").drop("low", "high")
 
 
 def with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -257,11 +262,13 @@ def with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked(members: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of the nodes with a link to another in their bucket. pairs: the candidates of the first round."""
+    """(node, root) of the nodes with a link to another in their bucket. pairs: the candidates of the first round.
+
+    A pair that is left untested joins two nodes of one class."""
     links = cut(verified(pairs.select("a", "b"), texts), "verified")
     roots, tested, slots = components(links), pairs, 1
     state = with_links(roots, links)
-    left = members.filter("n > 3 AND node <> first AND node <> last").select("key", "node")
+    left = members.filter("n > 3").select("key", "node")
     while True:
         left = left.join(state, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
         left = cut(left, "members-left")
@@ -276,13 +283,24 @@ def linked(members: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         ends = cut(ends.groupBy("key").agg(F.collect_list("end").alias("ends"), F.first("n").alias("n")), "new-ends")
         met = join_unique(left.drop("n"), ends, ["key"], "n", total).withColumn("is_end", F.exists("ends", lambda e: e["node"] == F.col("node")))
         pairs = cut(new_candidates(met, tested), "candidates")
-        found = cut(verified(pairs, texts), "verified")
-        left = met.filter("NOT is_end").select("key", "node")
-        tested, slots = tested.unionByName(pairs), min(4 * slots, MOST_SLOTS)
+        # one pair of each node and class first: where it is a link, the node's other pairs with that class need no test
+        one = cut(pairs.groupBy("a", "root_b").agg(F.min("b").alias("b")).select("a", "b"), "candidates")
+        found = cut(verified(one, texts), "verified")
+        rest = pairs.join(one, ["a", "b"], "left_anti")
         if not found.isEmpty():
             links = links.unionByName(found)
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-            state = with_links(roots, links)
+            for end in ("a", "b"):
+                rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"new_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"new_{end}", f"root_{end}"))
+            rest = rest.filter("root_a <> root_b")
+        rest = cut(rest.select("a", "b"), "candidates")
+        more = cut(verified(rest, texts), "verified")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        left = met.filter("NOT is_end").select("key", "node")
+        tested, slots = tested.unionByName(one).unionByName(rest), min(4 * slots, MOST_SLOTS)
+        state = with_links(roots, links)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -317,7 +335,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nodes = cut(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sketches").alias("sketches")).select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "n", "n_shingles", "sketches"), "nodes")
     members = cut(buckets(nodes.filter("n_shingles > 0")), "members")
     pairs = cut(candidates(members), "candidates")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    needed = members.select("node").distinct()
     reps = nodes.select("node", "rep", "rep_hash").join(needed, "node")
     texts = cut(_texts_of(docs, reps, id_col, text_col), "candidate-texts")
     roots = linked(members, pairs, texts)
