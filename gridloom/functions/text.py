@@ -64,6 +64,18 @@ def uuid5(name: Column, namespace: uuid.UUID = uuid.NAMESPACE_DNS) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
+def term_id(normal: Column, language: Column) -> Column:
+    return uuid5(F.concat_ws("::", normal, language))
+
+
+def class_id(name: Column) -> Column:
+    return uuid5(F.concat(F.lit("class::"), F.lower(name)))
+
+
+def asset_id(qualified_name: Column) -> Column:
+    return uuid5(qualified_name)
+
+
 def split_list(value: Column) -> Column:
     return F.filter(F.transform(F.split(value, "[,\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
@@ -72,6 +84,25 @@ def edge_type(name: Column) -> Column:
     return F.upper(F.translate(name, " ", "_"))
 
 
+# Labels that an extracted end of an edge may have, and the one that any other label becomes.
+NODE_LABELS, OTHER_LABEL = ["Site", "Facility", "Component", "System", "Department"], "Facility"
+
+
+def node_label(kind: Column) -> Column:
+    """First letter upper case, the rest lower case, if that is a known label."""
+    label = F.concat(F.upper(F.substring(kind, 1, 1)), F.lower(F.substring(kind, 2, 1 << 30)))
+    return F.when(label.isin(NODE_LABELS), label).otherwise(F.lit(OTHER_LABEL))
+
+
+def display(hebrew: Column, base: Column) -> Column:
+    """The Hebrew text if there is any, else the other one."""
+    return F.when(F.length(hebrew) > 0, hebrew).otherwise(base)
+
+
+def short_quote(quote: Column, most: int = 500) -> Column:
+    return F.substring(quote, 1, most)
+
+
 def asset_name(qualified: Column) -> Column:
     return F.element_at(F.split(qualified, "\\."), -1)
 
@@ -92,15 +123,27 @@ def low_confidence(confidence: Column) -> Column:
     return F.coalesce(confidence, F.lit(0.7)) < 0.6
 
 
+# Words that a section header begins or ends with.
+HEADER_WORDS = ["נוהל", "פרק", "סעיף", "חלק", "נספח", "מבוא", "רקע", "הגדרות", "אחריות", "הוראות", "כללי", "מטרה", "הפעלה"]
+
+
 def is_header(line: Column) -> Column:
-    """At most 80 characters and numbered, starting or ending with a keyword, or short capitals with a letter."""
-    t = F.trim(line)
-    numbered = t.rlike(r"^([0-9]+(\.[0-9]+)*|[A-Zא-ת])[.)]\s")
-    keyed = F.lower(t).rlike(r"^(chapter|section|appendix|part)\b") | t.endswith(":")
+    """At most 80 characters once stripped and numbered (digits and a full stop), beginning or ending with a header word,
+    or at most 40 characters with a letter and none that upper case would change."""
+    t = F.trim(line, F.lit(" \t\r\n"))
+    numbered = t.rlike(r"^(\p{Nd}+\.|א\.-ת\.)")
+    keyed = F.lit(False)
+    for w in HEADER_WORDS:
+        keyed = keyed | t.startswith(w) | t.endswith(w)
     capitals = (F.length(t) <= 40) & (t == F.upper(t)) & t.rlike(r"\p{L}")
     return (F.length(t) > 0) & (F.length(t) <= 80) & (numbered | keyed | capitals)
 
 
+def quoted_abbreviations(text: Column) -> Column:
+    """Abbreviations written as Hebrew letters, a quotation mark and letters, in order."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit('([א-ת]+"[א-ת]+)'), F.lit(1))
+
+
 def windows(text: Column, size: int = 1500, overlap: int = 200, least: int = 20) -> Column:
     """Windows of `size` characters, each starting size - overlap after the last, without those too short when stripped."""
     starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(size - overlap)))

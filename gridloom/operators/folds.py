@@ -41,3 +41,53 @@ def validated(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """rows with review_reason: the first check that fails, else null. Nothing is dropped."""
     reason = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])
     return rows.withColumn("review_reason", reason)
+
+
+def relations_by_name(said: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Relations whose ends are base names, exactly: src, dst, type, the highest confidence and the first quote.
+
+    said: from_name, to_name, type, confidence, quote, seq; concepts: concept_id, name."""
+    for end, out in (("from_name", "src"), ("to_name", "dst")):
+        said = said.join(concepts.select(F.col("name").alias(end), F.col("concept_id").alias(out)), end)
+    return fold(said, ["src", "dst", "type"], first=["quote"], highest=["confidence"])
+
+
+def assets(said: DataFrame) -> DataFrame:
+    """One row per qualified name: the first name and type, when it was first and last said. said: qualified_name, name, asset_type, seq."""
+    return fold(said.withColumns({"created": F.col("seq"), "updated": F.col("seq")}), ["qualified_name"], first=["name", "asset_type"], highest=["updated"], earliest=["created"])
+
+
+def asset_links(said: DataFrame, names: DataFrame) -> DataFrame:
+    """MAPS_TO links of concepts, by either name, to assets: the first mapping type, confidence and notes stay.
+
+    said: concept_name, qualified_name, mapping_type, confidence, notes, seq; names: concept_id, name, alt_name."""
+    return fold(by_either_name(said, names, "concept_name"), ["concept_id", "qualified_name"], first=["mapping_type", "confidence", "notes"])
+
+
+def mentions(extracted: DataFrame, ids: Column) -> DataFrame:
+    """MENTIONS_CONCEPT links from the node whose text named further concepts. extracted: src, nodes (array of names)."""
+    return extracted.select("src", F.explode("nodes").alias("name")).select("src", ids.alias("dst"), F.lit("MENTIONS_CONCEPT").alias("edge_type")).distinct()
+
+
+def class_flags(rows: DataFrame) -> DataFrame:
+    """concept_id with its last flags. rows: concept_id, is_class, is_deprecated, superseded_by, seq."""
+    return fold(rows, ["concept_id"], last=["is_class", "is_deprecated", "superseded_by"])
+
+
+DEPENDENCY_FIELDS = ["criticality", "propagation_mode", "mitigated", "recovery_hours"]
+
+
+def dependency_edges(said: DataFrame, types: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(edges, rejected): per (src, dst, edge_type) the last attributes and the first condition, which is set once when the
+    edge is made; rows whose type is not among `types` go to review. said: src, dst, edge_type, the fields, condition, seq."""
+    known = F.coalesce(F.col("edge_type").isin(types), F.lit(False))
+    edges = fold(said.filter(known), ["src", "dst", "edge_type"], first=["condition"], last=DEPENDENCY_FIELDS)
+    return edges, said.filter(~known).withColumn("review_reason", F.lit("edge_type"))
+
+
+def document_rows(chunks: DataFrame) -> DataFrame:
+    """Provenance rows keyed `document::chunk`: the first title and connector, when first and last written.
+
+    chunks: document_id, chunk, title, connector, seq."""
+    keyed = chunks.withColumns({"doc_id": F.concat_ws("::", F.col("document_id").cast("string"), F.col("chunk").cast("string")), "created": F.col("seq"), "updated": F.col("seq")})
+    return fold(keyed, ["doc_id"], first=["title", "connector"], highest=["updated"], earliest=["created"])

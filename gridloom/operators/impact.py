@@ -147,6 +147,18 @@ def downstream_counts(origins: DataFrame, edges: DataFrame, max_depth: int = 10)
     return origins.select("origin").distinct().join(reached, "origin", "left").na.fill(0, ["downstream"])
 
 
+def downstream_estimates(nodes: DataFrame, edges: DataFrame, max_depth: int = 10, lg_k: int = 12) -> DataFrame:
+    """(node, downstream): estimates for all nodes at once, by a sketch of distinct nodes per node that takes up its
+    successors' sketches hop by hop. Sketches have a fixed size, so a hop costs the edges, however many nodes are reached."""
+    e = edges if "rank" in edges.columns else cut(links(edges))
+    own = nodes.groupBy("node").agg(F.hll_sketch_agg(F.col("node"), F.lit(lg_k)).alias("sketch"))
+    sketches, one = cut(own), e.select("src", "dst").distinct()
+    for _ in range(max_depth):
+        taken = one.join(sketches.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "sketch")
+        sketches = cut(sketches.unionByName(taken).groupBy("node").agg(F.hll_union_agg("sketch").alias("sketch")))
+    return sketches.select("node", F.greatest(F.hll_sketch_estimate("sketch") - 1, F.lit(0)).alias("downstream"))
+
+
 def single_points(nodes: DataFrame, counts: DataFrame) -> DataFrame:
     """Nodes with something downstream and neither backup, failover nor backup location."""
     n = nodes.join(counts.withColumnRenamed("origin", "node"), "node")
@@ -204,6 +216,16 @@ def mitigations(entities: DataFrame, nodes: DataFrame, edges: DataFrame, departm
     ])
 
 
+def precedents(entities: DataFrame, incidents: DataFrame, limit: int = 2) -> DataFrame:
+    """Options like those of `mitigations` from the newest incidents of each entity: the first two actions of each of its
+    `limit` newest ones that have actions. incidents: as for `history`, with actions, recovery_hours, confidence, source."""
+    names = entities.select(F.col("node").alias("name")).distinct()
+    told = incidents.select("incident_id", "actions", "recovery_hours", "confidence", "source")
+    hit = history(incidents, names, limit=limit).join(told, "incident_id").filter(F.size("actions") > 0)
+    note = F.concat(F.lit("Historical precedent ("), F.coalesce(F.col("incident_date").cast("string"), F.lit("date unknown")), F.lit("): "), F.array_join(F.slice("actions", 1, 2), "; "))
+    return hit.select(F.col("name").alias("node"), F.lit("historical_precedent").alias("option_type"), "source", F.col("recovery_hours").cast("int").alias("recovery_hours"), "confidence", note.alias("description"))
+
+
 def first_mitigations(impacted: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:
     """Options for the first `limit` entities of each origin that are CRITICAL, then HIGH, by hop and name."""
     w = W.partitionBy("origin").orderBy(F.col("tier") != "CRITICAL", "hop", "node")
@@ -242,3 +264,30 @@ def report_lines(impacted: DataFrame) -> DataFrame:
     line = F.concat(F.lit("- "), F.col("node"), F.lit(" ("), F.col("entity_type"), F.lit(") via "), F.array_join(F.slice(F.split("path", " > "), F.greatest(F.size(F.split("path", " > ")) - 2, F.lit(1)), 3), " > "), F.when(F.col("mitigated"), " [mitigated]").otherwise(""))
     ranked = impacted.select("origin", "tier", F.struct("hop", "node", line.alias("line")).alias("x"))
     return ranked.groupBy("origin", "tier").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"), F.count(F.lit(1)).alias("n"))
+
+
+def report_context(triggers: DataFrame, past: DataFrame, confidence: Column, low_coverage: Column) -> DataFrame:
+    """The last lines of a report per origin: its most recent incident, and how far the graph covers it.
+
+    past: name, title, incident_date, outcome, position (see `history`)."""
+    latest = past.filter("position = 1").select(F.col("name").alias("origin"), "title", "incident_date", "outcome")
+    told = F.concat(F.lit("  Most recent: "), F.coalesce("title", F.lit("unknown")), F.lit(" | "), F.coalesce(F.col("incident_date").cast("string"), F.lit("date unknown")), F.lit("\n  Outcome: "), F.coalesce("outcome", F.lit("not recorded")))
+    out = triggers.select("origin").distinct().join(latest.withColumn("told", told), "origin", "left")
+    none = F.lit("  No closely matching historical incidents found in knowledge base.")
+    covered = F.concat(F.lit("COVERAGE_CONFIDENCE: "), confidence.cast("string"), F.when(F.size(low_coverage) > 0, F.concat(F.lit("\nLOW_COVERAGE_ENTITIES: "), F.array_join(low_coverage, ", "))).otherwise(""))
+    return out.select("origin", F.concat_ws("\n", F.lit("=== HISTORICAL CONTEXT ==="), F.coalesce("told", none), F.lit(""), covered).alias("text"))
+
+
+def report_record(triggers: DataFrame, impacted: DataFrame, disruption: str = "UNAVAILABLE", simulation: bool = False, reason: str = "") -> DataFrame:
+    """The report that needs no model, one per trigger: situation, a list per tier by hop and name, named entities."""
+    at = F.struct("hop", "node")
+    of = lambda t: F.array_sort(F.collect_list(F.when(F.col("tier") == t, at)))["node"]
+    found = impacted.groupBy("origin").agg(of("CRITICAL").alias("critical"), of("HIGH").alias("high"), of("MONITOR").alias("monitor"), F.count(F.lit(1)).alias("total"))
+    none = F.array().cast("array<string>")
+    r = triggers.select("origin").distinct().join(found, "origin", "left").withColumns({c: F.coalesce(c, none) for c in ("critical", "high", "monitor")}).na.fill(0, ["total"])
+    line = lambda c, note: F.transform(c, lambda n: F.concat(n, F.lit(f" — {note}")))
+    return r.select(
+        F.col("origin").alias("location_name"), F.lit(simulation).alias("is_simulation"),
+        F.concat(F.col("origin"), F.lit(f" is unavailable (disruption: {disruption}). "), F.col("total").cast("string"), F.lit(" entities affected. Report generated from structured data — LLM unavailable.")).alias("situation"),
+        line("critical", "CRITICAL impact, no mitigation available").alias("critical_immediate"), line("high", "HIGH impact").alias("high_time_sensitive"), line("monitor", "MONITOR level").alias("monitor_no_action"),
+        F.lit("Historical context unavailable — LLM call failed.").alias("historical_context"), F.lit("LOW").alias("confidence"), F.lit(f"LLM call failed during report generation: {reason}").alias("confidence_reason"), F.concat("critical", "high", "monitor").alias("named_entities"))

@@ -56,8 +56,8 @@ def bm25(queries: DataFrame, docs: DataFrame, fields: dict[str, float], k: int =
     boost = F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])[F.col("field")]
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = mine.repartition("id").join(df, ["field", "term"]).join(F.broadcast(stats), "field").select("term", "id", (boost * idf * tf).alias("s"))
-    total = scored.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
+    scored = mine.repartition("id").join(df, ["field", "term"]).join(F.broadcast(stats), "field").select("term", "id", F.round(1e9 * (boost * idf * tf)).cast("long").alias("s"))  # billionths, whose sum has no order
+    total = scored.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("s") / 1e9, 6).alias("score"))
     return top_k(total, k)
 
 

@@ -45,9 +45,11 @@ def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(fn.clean_text(F.col("text")), 256).alias("clean_sha256"))
 
 
-@query("txt04_section_headers", r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents), t AS (SELECT doc_id, trim(x, ' ') AS t FROM l)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (length(t) > 0 AND length(t) <= 80 AND (regexp_matches(t, '^([0-9]+(\.[0-9]+)*|[A-Zא-ת])[.)]\s') OR regexp_matches(lower(t), '^(chapter|section|appendix|part)\b') OR ends_with(t, ':') OR (length(t) <= 40 AND t = upper(t) AND regexp_matches(t, '\p{L}')))) AS n_headers
-FROM t GROUP BY doc_id""")
+_HEADER = r"""length(t) > 0 AND length(t) <= 80 AND (regexp_matches(t, '^(\p{Nd}+\.|א\.-ת\.)') OR (length(t) <= 40 AND t = upper(t) AND regexp_matches(t, '\p{L}')) OR """ + " OR ".join(f"starts_with(t, '{w}') OR ends_with(t, '{w}')" for w in fn.HEADER_WORDS) + ")"
+
+
+@query("txt04_section_headers", rf"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents), t AS (SELECT doc_id, trim(x, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM l)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER ({_HEADER}) AS n_headers FROM t GROUP BY doc_id""")
 def section_headers(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("x"))
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(fn.is_header(F.col("x")).cast("long")).alias("n_headers"))
@@ -177,7 +179,8 @@ def cycle_guard(spark, sf_dir):
     return hierarchy.without_cycles(k, h).select("child_id", "parent_id")
 
 
-@query("evt07_replacements")
+@query("evt07_replacements", """WITH RECURSIVE c AS (SELECT p_partkey AS id, p_partkey - 1 AS next_id FROM part WHERE p_partkey % 16 > 0),
+w(id, last) AS (SELECT id, next_id FROM c UNION SELECT w.id, c.next_id FROM w JOIN c ON c.id = w.last) SELECT id, last AS final_id FROM w WHERE last NOT IN (SELECT id FROM c)""")
 def replacements(spark, sf_dir):
     chain = table(spark, sf_dir, "part").filter("p_partkey % 16 > 0").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") - 1).alias("next_id"))
     return hierarchy.replacements(chain)
@@ -248,7 +251,7 @@ _BM25 = r"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(list_fil
 t AS (SELECT doc_id AS id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' '), lambda x: length(x) BETWEEN 1 AND 50) AS t FROM documents),
 f AS (SELECT id, len(t) AS len, unnest(t) AS term FROM t), p AS (SELECT term, id, count(*) AS tf, any_value(len) AS len FROM f GROUP BY term, id),
 s AS (SELECT count(*) AS n, avg(len) AS a FROM (SELECT id, any_value(len) AS len FROM p GROUP BY id)), d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-z AS (SELECT query_id, id, round(sum(4 * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a)))), 6) AS score FROM q JOIN p USING (term) JOIN d USING (term), s GROUP BY query_id, id),
+z AS (SELECT query_id, id, round(sum(round(1e9 * (4 * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a)))))::BIGINT) / 1e9, 6) AS score FROM q JOIN p USING (term) JOIN d USING (term), s GROUP BY query_id, id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM z)"""
 
 
