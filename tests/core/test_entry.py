@@ -20,12 +20,20 @@ def test_registered_queries_and_sql():
     assert set(SQL) <= set(QUERIES) and set(QUERIES) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["gra01_propagate_all_locations"])
+NEW = [n for n, f in QUERIES.items() if n in SQL and f.__module__ in ("gridloom.plans.store_queries", "gridloom.plans.schema_queries")]
+
+
+def test_all_modules_are_registered():
+    assert len(NEW) > 25
+
+
+@pytest.mark.parametrize("name", ["gra01_propagate_all_locations", "gra19_history", "evt07_replacements", "txt04_section_headers", *NEW])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
     folder = f"{DATA}/sf0.001"
     con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
     for f in os.listdir(folder):
         if f.endswith(".parquet"):
             con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{folder}/{f}'")
