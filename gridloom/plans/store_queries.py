@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as fn
-from gridloom.operators import folds, impact, search
+from gridloom.operators import folds, impact, profiles, search
 from gridloom.plans import lineage
 from gridloom.plans.impact_queries import VIEWS, _from, _reach, _ways, incidents
+from gridloom.plans.knowledge_queries import _CLOSED, hierarchy_edges
 from gridloom.plans.registry import query
 from gridloom.plans.views import links, nodes, table
 from gridloom.sources import events as store
@@ -212,6 +213,43 @@ def names_in_any_case(spark, sf_dir):
     return impact.entity_ids(said, nodes(spark, sf_dir))
 
 
+_FULL = _CLOSED + """, k AS (SELECT DISTINCT child_id AS concept_id FROM h UNION SELECT parent_id FROM h),
+a AS (SELECT concept_id, string_agg(ancestor_id || ':' || list_extract(string_split(relation_path, '>'), -1), ',' ORDER BY depth, ancestor_id) AS ancestors, string_agg('About ' || ancestor_id, chr(10) ORDER BY depth, ancestor_id) AS context FROM c GROUP BY concept_id),
+b AS (SELECT parent_id AS concept_id, string_agg(child_id, ',' ORDER BY child_id) FILTER (relation = 'SUBCLASS_OF') AS subclasses, string_agg(child_id, ',' ORDER BY child_id) FILTER (relation <> 'SUBCLASS_OF') AS instances FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY child_id) AS n FROM h) WHERE n <= 50 GROUP BY parent_id),
+s AS (SELECT child_id AS concept_id, string_agg(sibling_id, ',' ORDER BY sibling_id) AS siblings FROM (SELECT *, row_number() OVER (PARTITION BY child_id ORDER BY sibling_id) AS n FROM (SELECT DISTINCT x.child_id, y.child_id AS sibling_id FROM h x JOIN h y ON x.parent_id = y.parent_id AND x.child_id <> y.child_id)) WHERE n <= 20 GROUP BY child_id)
+SELECT k.concept_id, coalesce(ancestors, '') AS ancestors, coalesce(subclasses, '') AS subclasses, coalesce(instances, '') AS instances, coalesce(siblings, '') AS siblings, 'en=' || lower(k.concept_id) || ',he=' || k.concept_id AS labels, coalesce(context, '') AS context FROM k LEFT JOIN a USING (concept_id) LEFT JOIN b USING (concept_id) LEFT JOIN s USING (concept_id)"""
+
+
+@query("hie11_full_records", _FULL)
+def full_records(spark, sf_dir):
+    h = hierarchy_edges(spark, sf_dir)
+    known = h.select(F.col("child_id").alias("concept_id")).union(h.select("parent_id")).distinct()
+    about = known.select("concept_id", F.col("concept_id").alias("name"), F.concat(F.lit("About "), "concept_id").alias("description"))
+    labels = known.select("concept_id", F.lit("he").alias("language"), F.col("concept_id").alias("label")).union(known.select("concept_id", F.lit("en"), F.lower("concept_id")))
+    none = known.select("concept_id", F.lit("p").alias("property"), F.lit("v").alias("value")).filter("false")
+    r = profiles.full_records(h, about, labels, none)
+    join = lambda c, f: F.array_join(F.transform(c, f), ",").alias(c)
+    return r.select("concept_id", join("ancestors", lambda x: F.concat_ws(":", x["concept_id"], x["relation"])), *[F.array_join(c, ",").alias(c) for c in ("subclasses", "instances", "siblings")], join("labels", lambda x: F.concat_ws("=", x["language"], x["label"])), "context")
+
+
+@query("lkp09_answers", """WITH asked AS (SELECT DISTINCT 'SUPPLIER#' || lpad((o_orderkey % 150)::VARCHAR, 9, '0') AS term FROM orders UNION SELECT 'also ' || n_nationkey FROM nation), n AS (SELECT lower(s_name) AS k, s_suppkey AS concept_id FROM supplier UNION ALL SELECT 'also ' || s_suppkey, s_suppkey FROM supplier WHERE s_suppkey % 2 = 0),
+m AS (SELECT k, min(concept_id) AS concept_id FROM n GROUP BY k), p AS (SELECT l_suppkey AS concept_id, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS data_assets, count(DISTINCT l_orderkey) AS n_sources FROM lineitem WHERE l_quantity > 48 GROUP BY l_suppkey),
+r AS (SELECT s_suppkey AS concept_id, 'LOC-' || s_nationkey AS related FROM supplier)
+SELECT term, m.concept_id IS NOT NULL AS found, m.concept_id, s_name AS name, CASE WHEN m.concept_id % 2 = 0 THEN 'also ' || m.concept_id ELSE '' END AS aliases, coalesce(related, '') AS related, coalesce(data_assets, '') AS data_assets, coalesce(n_sources, 0) AS sources_count,
+ CASE WHEN m.concept_id IS NOT NULL THEN coalesce(CASE WHEN m.concept_id % 4 > 0 THEN (m.concept_id % 100) / 100.0::DOUBLE END, 0.7) END AS confidence, CASE WHEN m.concept_id IS NOT NULL THEN 'CANDIDATE' END AS status, coalesce(coalesce(CASE WHEN m.concept_id % 4 > 0 THEN (m.concept_id % 100) / 100.0 END, 0.7) < 0.6 AND m.concept_id IS NOT NULL, false) AS low_confidence
+FROM asked LEFT JOIN m ON lower(term) = m.k LEFT JOIN supplier ON s_suppkey = m.concept_id LEFT JOIN p ON p.concept_id = m.concept_id LEFT JOIN r ON r.concept_id = m.concept_id""")
+def answers(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    asked = table(spark, sf_dir, "orders").select(F.concat(F.lit("SUPPLIER#"), F.lpad((F.col("o_orderkey") % 150).cast("string"), 9, "0")).alias("term")).union(table(spark, sf_dir, "nation").select(F.concat(F.lit("also "), F.col("n_nationkey"))))
+    surfaces = s.select(F.col("s_suppkey").alias("concept_id"), F.col("s_name").alias("surface"), F.lit("OFFICIAL").alias("form")).union(s.filter("s_suppkey % 2 = 0").select("s_suppkey", F.concat(F.lit("also "), F.col("s_suppkey")), F.lit("ALIAS")))
+    none = F.lit(None).cast("string")
+    known = s.select(F.col("s_suppkey").alias("concept_id"), F.col("s_name").alias("name"), none.alias("name_he"), none.alias("description"), none.alias("description_he"), F.when(F.col("s_suppkey") % 4 > 0, F.col("s_suppkey") % 100 / 100.0).alias("confidence"), none.alias("status"))
+    line = table(spark, sf_dir, "lineitem").filter("l_quantity > 48")
+    sources = profiles.provenance(line.select(F.col("l_suppkey").alias("concept_id"), F.col("l_orderkey").cast("string").alias("source"), F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("ts")))
+    out = profiles.lookup_answers(asked, surfaces, known, s.select(F.col("s_suppkey").alias("concept_id"), F.concat(F.lit("LOC-"), F.col("s_nationkey")).alias("other")), line.select(F.col("l_suppkey").alias("concept_id"), F.col("l_partkey").cast("string").alias("other")), sources)
+    return out.select("term", "found", "concept_id", "name", *[F.array_join(c, ",").alias(c) for c in ("aliases", "related", "data_assets")], "sources_count", "confidence", "status", "low_confidence")
+
+
 # -- impact ------------------------------------------------------------------------------------------------------
 
 @query("gra13_downstream_counts", _reach("SELECT node AS origin, node, 0 AS hop FROM nodes", 10, False) + ", d AS (SELECT origin, count(*) AS downstream FROM reach GROUP BY origin) SELECT node, coalesce(downstream, 0) AS downstream FROM nodes LEFT JOIN d ON origin = node")
