@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gridloom.llm.shared import cut, join_unique
 from gridloom.llm.words import balanced
@@ -51,6 +52,8 @@ ROOM = 1 << 21
 KEEP = 300_000
 #: Rows of the alignment table between two shifts of the band.
 BAND_ROWS = 2048
+#: Links that one task joins into classes; more links take rounds of joins.
+FEW_LINKS = 200_000
 #: Most parts of a bucket that give an end of either kind in a round; larger buckets take more rounds.
 MOST_SLOTS = 1024
 
@@ -282,35 +285,46 @@ def linked(members: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         ends = ends.select("key", "n", F.explode(F.array_distinct(F.array("most", "least"))).alias("end"))
         ends = cut(ends.groupBy("key").agg(F.collect_list("end").alias("ends"), F.first("n").alias("n")), "new-ends")
         met = join_unique(left.drop("n"), ends, ["key"], "n", total).withColumn("is_end", F.exists("ends", lambda e: e["node"] == F.col("node")))
-        pairs = cut(new_candidates(met, tested), "candidates")
         # one pair of each node and class first: where it is a link, the node's other pairs with that class need no test
-        one = cut(pairs.groupBy("a", "root_b").agg(F.min("b").alias("b")).select("a", "b"), "candidates")
-        found = cut(verified(one, texts), "verified")
-        rest = pairs.join(one, ["a", "b"], "left_anti")
+        first = F.row_number().over(W.partitionBy("a", "root_b").orderBy("b")) == 1
+        pairs = cut(new_candidates(met, tested).withColumn("first", first), "candidates")
+        found = cut(verified(pairs.filter("first").select("a", "b"), texts), "verified")
+        rest = pairs.filter("NOT first")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+            links, roots = links.unionByName(found), joined(roots, found)
             for end in ("a", "b"):
                 rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"new_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"new_{end}", f"root_{end}"))
             rest = rest.filter("root_a <> root_b")
         rest = cut(rest.select("a", "b"), "candidates")
-        more = cut(verified(rest, texts), "verified")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        more = None if rest.isEmpty() else cut(verified(rest, texts), "verified")
+        if more is not None and not more.isEmpty():
+            links, roots = links.unionByName(more), joined(roots, more)
         left = met.filter("NOT is_end").select("key", "node")
-        tested, slots = tested.unionByName(one).unionByName(rest), min(4 * slots, MOST_SLOTS)
+        tested, slots = tested.unionByName(pairs.filter("first").select("a", "b")).unionByName(rest), min(4 * slots, MOST_SLOTS)
         state = with_links(roots, links)
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after further links (a, b): only the classes that a new link joins are worked on."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    new = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).filter("a <> b"))
+    moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("new_root")), "root", "left").select("node", F.coalesce("new_root", "root").alias("root"))
+    # nodes that were a class of their own, or the root of one, have no row in roots
+    return cut(moved.unionByName(new.join(roots.select("node"), "node", "left_anti")), "roots")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for the nodes of links (a, b): the smallest node of their component.
 
-    Large-star and small-star steps in turn: each moves links to the smallest neighbour, so a component becomes a star
+    Up to FEW_LINKS links are worked on in one task. Beyond, large-star and small-star steps in turn: each moves links to the smallest neighbour, so a component becomes a star
     around its smallest node in a few rounds. The links of a node with very many of them stay where they are: its
     smallest neighbour is broadcast to them.
     """
     links = cut(links.select("a", "b").distinct(), "links")
+    if links.count() <= FEW_LINKS:
+        return cut(links.coalesce(1).mapInArrow(_union_find, "node binary, root binary"), "roots")
     before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -325,6 +339,23 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _union_find(batches):
+    parent: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    nodes = [x for x in parent if find(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([find(x) for x in nodes], pa.binary())], ["node", "root"])
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text_hash (xxhash64 of the text), class_id, class_size, n_texts, kept.
 

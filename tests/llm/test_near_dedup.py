@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from gridloom.llm import near_dedup as nd
 from tests.llm.helpers import CASES, DOCS, cases, empty
@@ -114,6 +115,30 @@ def test_very_long_texts_are_aligned():
     assert not nd.similar(a, rng.permutation(a))
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(nd, "FEW_LINKS", few)
+    rng = random.Random(6)
+    key = lambda k: k.to_bytes(2, "big")
+    old = [(rng.randrange(300), rng.randrange(300)) for _ in range(120)]
+    new = [(rng.randrange(300), rng.randrange(300)) for _ in range(60)]
+    old, new = ([(a, b) for a, b in x if a != b] for x in (old, new))
+    root = list(range(300))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in old + new:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {(key(k), key(find(k))) for k in range(300) if find(k) != k}
+    frame = lambda x: spark.createDataFrame([(key(a), key(b)) for a, b in x], "a binary, b binary")
+    got = nd.joined(nd.components(frame(old)), frame(new)).collect()
+    assert {(bytes(r.node), bytes(r.root)) for r in got} == want and len(got) == len(want)
+
+
 def test_order_counts():
     a = np.arange(100, dtype=np.uint64)
     assert not nd.similar(a, np.concatenate([a[50:], a[:50]])) and nd.similar(a, np.delete(a, [5, 60]))
