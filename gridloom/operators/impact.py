@@ -253,6 +253,16 @@ def visible(nodes: DataFrame, edges: DataFrame, keep: Column) -> DataFrame:
     return edges.join(seen.withColumnRenamed("node", "src"), "src", "left_semi").join(seen.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
+def locations(nodes: DataFrame, region: str | None = None, criticality: str | None = None, status: str | None = None) -> DataFrame:
+    """Locations whose region has the given text in any case, of a criticality and a status, as far as these are given."""
+    out = nodes.filter("entity_type = 'LOCATION'")
+    if region is not None:
+        out = out.filter(F.contains(F.lower("region"), F.lit(region.lower())))
+    for column, value in (("criticality", criticality), ("status", status)):
+        out = out if value is None else out.filter(F.col(column) == value)
+    return out
+
+
 def grounding(mentioned: DataFrame, impacted: DataFrame) -> DataFrame:
     """mentioned: report, name. Each name with whether the result holds it."""
     known = impacted.select(F.lower("node").alias("key"), F.lit(True).alias("hit")).distinct()

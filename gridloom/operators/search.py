@@ -107,6 +107,11 @@ def fuse(lists: list[DataFrame], k: int = 10, constant: int = 20) -> DataFrame:
     return top_k(union.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 6).alias("score")), k)
 
 
+def page(scored: DataFrame, id_col: str, offset: int, size: int) -> DataFrame:
+    """A page of results: highest scores first, ties by id."""
+    return scored.orderBy(F.desc("score"), id_col).offset(offset).limit(size)
+
+
 def allowed(docs: DataFrame, types=None, domains=None, statuses=None, least: float | None = None, deprecated: bool = False) -> DataFrame:
     """Filters that hold before scoring."""
     out = docs if deprecated else docs.filter("status <> 'DEPRECATED'")

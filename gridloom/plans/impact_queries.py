@@ -203,7 +203,7 @@ def visible_subgraph(spark, sf_dir):
 
 @query("gra28_location_filter", VIEWS + "SELECT node, region FROM nodes WHERE entity_type = 'LOCATION' AND contains(lower(region), 'a') AND criticality = 'MEDIUM' AND status = 'ACTIVE'")
 def location_filter(spark, sf_dir):
-    return nodes(spark, sf_dir).filter(F.expr("entity_type = 'LOCATION' AND contains(lower(region), 'a') AND criticality = 'MEDIUM' AND status = 'ACTIVE'")).select("node", "region")
+    return impact.locations(nodes(spark, sf_dir), "a", "MEDIUM", "ACTIVE").select("node", "region")
 
 
 @query("gra31_grounding", VIEWS + "SELECT conv_id::VARCHAR AS report, m AS name, lower(m) IN (SELECT lower(node) FROM nodes) AS grounded FROM (SELECT conv_id, unnest(['Loc-' || (conv_id % 40), 'DEPT-' || turn]) AS m FROM conversations)")

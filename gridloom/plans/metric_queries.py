@@ -13,20 +13,18 @@ from gridloom.streaming import messages
 
 @query("agg01_graph_statistics", f"WITH {NODES_SQL} SELECT entity_type, status, count(*) AS n, count(*) FILTER ((key % 100) / 100.0 < 0.6) AS low_confidence FROM nodes GROUP BY GROUPING SETS ((entity_type), (status), ())")
 def graph_statistics(spark, sf_dir):
-    n = nodes(spark, sf_dir).select("entity_type", "status", "key")
-    return n.groupingSets([[F.col("entity_type")], [F.col("status")], []], "entity_type", "status").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("key") % 100) / 100.0 < 0.6).alias("low_confidence"))
+    return metrics.graph_statistics(nodes(spark, sf_dir), (F.col("key") % 100) / 100.0)
 
 
 @query("agg02_job_statistics", "SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'error') AS failed, round(100.0 * count(*) FILTER (event_type <> 'error') / count(*), 4)::DOUBLE AS progress FROM events GROUP BY user_id")
 def job_statistics(spark, sf_dir):
-    done = F.count_if(F.col("event_type") != "error")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("event_type") == "error").alias("failed"), F.round(100.0 * done / F.count(F.lit(1)), 4).alias("progress"))
+    return metrics.job_statistics(table(spark, sf_dir, "events"), "user_id", F.col("event_type") == "error")
 
 
 @query("agg04_consumer_lag", "SELECT l_returnflag AS topic, l_linestatus AS part, sum(e - c)::BIGINT AS lag FROM (SELECT l_returnflag, l_linestatus, max(l_orderkey) AS e, min(l_orderkey) AS c FROM lineitem GROUP BY ALL) GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def consumer_lag(spark, sf_dir):
-    ends = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("topic"), F.col("l_linestatus").alias("part")).agg((F.max("l_orderkey") - F.min("l_orderkey")).alias("lag"))
-    return ends.rollup("topic", "part").agg(F.sum("lag").alias("lag"))
+    ends = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("topic"), F.col("l_linestatus").alias("part")).agg(F.max("l_orderkey").alias("end"), F.min("l_orderkey").alias("committed"))
+    return metrics.consumer_lag(ends)
 
 
 @query("agg07_burn_rate", """WITH n AS (SELECT ts::DATE AS day, count(*) AS n_new FROM events WHERE event_type = 'error' GROUP BY 1), d AS (SELECT ts::DATE AS day, count(*) AS n_done FROM events WHERE event_type = 'purchase' GROUP BY 1)
@@ -44,7 +42,7 @@ def feedback_score(spark, sf_dir):
 
 @query("agg10_review_queue", "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY ALL")
 def review_queue(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"))
+    return metrics.counts_by(table(spark, sf_dir, "orders").withColumnsRenamed({"o_orderstatus": "status", "o_orderpriority": "priority"}), "status", "priority")
 
 
 @query("agg11_extraction_quality", "WITH p AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 25), t AS (SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 150000), b AS (SELECT count(*) AS b FROM p JOIN t USING (k)) SELECT round(b / (SELECT count(*) FROM p), 6) AS precision, round(b / (SELECT count(*) FROM t), 6) AS recall FROM b")
@@ -60,7 +58,8 @@ def state_at(spark, sf_dir):
 
 @query("evt03_unapplied", "SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = e.event_id AND o_orderstatus = 'O')")
 def unapplied(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id").join(table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("event_id")), "event_id", "left_anti")
+    applied = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("event_id"))
+    return metrics.unapplied(table(spark, sf_dir, "events").select("event_id"), applied, "event_id")
 
 
 @query("evt04_change_log", """SELECT user_id, ts, event_id, event_type, lag(event_type) OVER w AS event_type_before, concat_ws(',', CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w THEN 'event_type' END) AS changed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
@@ -70,7 +69,7 @@ def change_log(spark, sf_dir):
 
 @query("evt05_jobs_by_status", "SELECT o_orderpriority AS connector, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL")
 def jobs_by_status(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("connector"), F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return metrics.counts_by(table(spark, sf_dir, "orders").withColumnsRenamed({"o_orderpriority": "connector", "o_orderstatus": "status"}), "connector", "status")
 
 
 def _messages(spark, sf_dir):
@@ -123,5 +122,4 @@ def schema_report(spark, sf_dir):
 
 @query("src18_ingestion_summary", "SELECT source, count(*) AS total, count(*) FILTER (length(coalesce(text, '')) >= 200) AS committed, count(*) FILTER (length(coalesce(text, '')) < 200) AS review FROM documents GROUP BY ROLLUP (source)")
 def ingestion_summary(spark, sf_dir):
-    ok = F.length(F.coalesce("text", F.lit(""))) >= 200
-    return table(spark, sf_dir, "documents").rollup("source").agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("committed"), F.count_if(~ok).alias("review"))
+    return metrics.ingestion_summary(table(spark, sf_dir, "documents"), "source", F.length(F.coalesce("text", F.lit(""))) >= 200)

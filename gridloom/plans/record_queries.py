@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as fn
-from gridloom.operators import folds, hierarchy, metrics, records
+from gridloom.operators import folds, hierarchy, metrics, records, search
 from gridloom.plans.knowledge_queries import _CLOSED, hierarchy_edges
 from gridloom.plans.registry import query
 from gridloom.plans.views import table
@@ -156,7 +156,7 @@ def composite_lookup(spark, sf_dir):
 
 @query("sea08_page", "SELECT o_orderkey, o_totalprice AS score FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
 def page(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("score")).orderBy(F.desc("score"), "o_orderkey").offset(40).limit(20)
+    return search.page(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("score")), "o_orderkey", 40, 20)
 
 
 @query("sea09_missing_vectors", "SELECT DISTINCT sha256(coalesce(text, '')) AS text_hash FROM documents WHERE sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE doc_id % 2 = 0)")
@@ -168,11 +168,7 @@ def missing_vectors(spark, sf_dir):
 @query("agg03_stage_health", """WITH s AS (SELECT event_type AS stage, count(*) AS n, count(*) FILTER ((props->>'$.k')::INT % 5 >= 3) AS dead, greatest(1, date_diff('minute', min(ts), max(ts))) AS minutes FROM events GROUP BY event_type)
 SELECT stage, n, dead, round(n / minutes, 6) AS per_minute, CASE WHEN dead > 0.5 * n THEN 'DOWN' WHEN dead > 0.1 * n THEN 'DEGRADED' ELSE 'HEALTHY' END AS status FROM s""")
 def stage_health(spark, sf_dir):
-    dead = F.get_json_object("props", "$.k").cast("int") % 5 >= 3
-    minutes = (F.unix_timestamp(F.date_trunc("minute", F.max("ts"))) - F.unix_timestamp(F.date_trunc("minute", F.min("ts")))) / 60
-    s = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("n"), F.count_if(dead).alias("dead"), F.greatest(F.lit(1.0), minutes).alias("minutes"))
-    status = F.when(F.col("dead") > 0.5 * F.col("n"), "DOWN").when(F.col("dead") > 0.1 * F.col("n"), "DEGRADED").otherwise("HEALTHY")
-    return s.select("stage", "n", "dead", F.round(F.col("n") / F.col("minutes"), 6).alias("per_minute"), status.alias("status"))
+    return metrics.stage_health(table(spark, sf_dir, "events"), "event_type", "ts", F.get_json_object("props", "$.k").cast("int") % 5 >= 3)
 
 
 @query("agg06_resolution_rate", "WITH k AS (SELECT p_name AS norm FROM part WHERE p_partkey % 3 = 0 GROUP BY p_name) SELECT p_type, count(*) AS extracted, round(count(norm) / count(*), 6) AS rate FROM part LEFT JOIN k ON p_name = norm GROUP BY p_type")
@@ -184,13 +180,13 @@ def resolution_rate(spark, sf_dir):
 
 @query("agg08_match_rate", "SELECT e.event_type, round(avg((o.o_orderkey IS NOT NULL)::INT), 6) AS match_rate FROM events e LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') o ON e.event_id = o.o_orderkey GROUP BY e.event_type")
 def match_rate(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("event_id"), F.lit(1).alias("hit"))
-    return table(spark, sf_dir, "events").select("event_id", "event_type").join(o, "event_id", "left").groupBy("event_type").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("match_rate"))
+    known = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("event_id"))
+    return metrics.match_rate(table(spark, sf_dir, "events"), known, "event_id", "event_type")
 
 
 @query("agg12_judge_score", "SELECT l_returnflag, round(avg(0.6 * l_discount + 0.4 * l_tax), 6) AS score FROM lineitem GROUP BY l_returnflag")
 def judge_score(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg(0.6 * F.col("l_discount") + 0.4 * F.col("l_tax")), 6).alias("score"))
+    return metrics.judge_score(table(spark, sf_dir, "lineitem"), "l_returnflag", {"l_discount": 0.6, "l_tax": 0.4})
 
 
 _DECIDED = """WITH d AS (SELECT s_suppkey AS id, CASE s_suppkey % 10 WHEN 1 THEN 'REJECT' WHEN 7 THEN 'MERGE' WHEN 8 THEN 'MERGE' WHEN 3 THEN 'APPROVE' END AS resolution, s_suppkey + 1 AS target_id FROM supplier WHERE s_suppkey % 10 IN (1, 3, 7, 8)),
