@@ -115,7 +115,9 @@ def dependency_text(spark, sf_dir):
     return shaped.select("s_suppkey", F.concat_ws(" | ", F.map_values("refs")).alias("text"))
 
 
-@query("src13_schema_report")
+@query("src13_schema_report", """WITH s AS (SELECT * FROM documents ORDER BY doc_id LIMIT 20), u AS (SELECT 'text' AS c, text AS v FROM s UNION ALL SELECT 'lang', lang FROM s UNION ALL SELECT 'source', source FROM s UNION ALL SELECT 'n_chars', n_chars::VARCHAR FROM s),
+m AS (SELECT c, avg(length(v)) AS mean, avg((v IS NULL)::INT) > 0.5 AS sparse FROM u GROUP BY c), r AS (SELECT *, CASE WHEN c = 'source' THEN 'LOCATION_ID' WHEN contains(c, 'lang') OR contains(c, 'chars') THEN 'META' WHEN mean > 60 THEN 'FREE_TEXT' WHEN mean < 20 THEN 'META' END AS role FROM m)
+SELECT c AS "column", coalesce(role, 'UNKNOWN') AS role, CASE WHEN c = 'source' THEN 0.98 WHEN role IS NOT NULL THEN 0.85 ELSE 0.4 END::DOUBLE AS confidence, sparse FROM r""")
 def schema_report(spark, sf_dir):
     return rows.schema_report(table(spark, sf_dir, "documents"), {"source": "LOCATION_ID"}, {"lang": "META", "chars": "META"}, order="doc_id")
 
