@@ -1,3 +1,4 @@
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 from gridloom.llm import language_id, toxicity
 from tests.llm.helpers import CASES, cases, empty
 
-FIXTURE = "/root/testdata/sf0.01"
+DATA = os.environ.get("TEST_DATA_DIR", "/root/testdata")
+
+FIXTURE = f"{DATA}/sf0.01"
 
 
 def plain_code_length(trees, langs, text, symbols, order):
@@ -80,7 +83,7 @@ def test_languages_special_rows(spark):
 
 
 def test_toxicity_held_out(spark):
-    d = "/root/testdata/sf0.1"
+    d = f"{DATA}/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     rows = toxicity.score(docs, labels).join(labels, "doc_id").filter("held_out").collect()
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows)

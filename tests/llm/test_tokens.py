@@ -1,3 +1,4 @@
+import os
 import hashlib
 import zlib
 from collections import defaultdict
@@ -11,8 +12,10 @@ from tokenizers import Tokenizer
 from gridloom.llm import bpe_table, packing, token_counts, words
 from tests.llm.helpers import CASES, cases, empty
 
+DATA = os.environ.get("TEST_DATA_DIR", "/root/testdata")
+
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
-FIXTURE = "/root/testdata/sf0.001/documents.parquet"
+FIXTURE = f"{DATA}/sf0.001/documents.parquet"
 
 
 def texts(df):
