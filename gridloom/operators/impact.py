@@ -30,14 +30,19 @@ def criticality_rank(level: Column) -> Column:
 
 
 def links(edges: DataFrame, edge_types: list[str] | None = IMPACT_EDGES) -> DataFrame:
-    """src, dst, edge_type, rank, mitigated of the edges that carry impact, in order of src."""
+    """src, dst, edge_type, rank, mitigated, recovery_hours, mode of the edges that carry impact, in order of src. Edges need
+    not have recovery_hours and propagation_mode; a missing mode is DIRECT."""
     e = edges if edge_types is None else edges.filter(F.col("edge_type").isin(edge_types))
-    e = e.select("src", "dst", "edge_type", criticality_rank(F.col("criticality")).alias("rank"), F.coalesce("mitigated", F.lit(False)).alias("mitigated"))
+    own = lambda c, kind: F.col(c).cast(kind) if c in edges.columns else F.lit(None).cast(kind)
+    e = e.select(
+        "src", "dst", "edge_type", criticality_rank(F.col("criticality")).alias("rank"), F.coalesce("mitigated", F.lit(False)).alias("mitigated"),
+        own("recovery_hours", "int").alias("recovery_hours"), F.coalesce(own("propagation_mode", "string"), F.lit("DIRECT")).alias("mode"))
     return e.repartition("src").sortWithinPartitions("src")
 
 
 def hops(origins: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, max_depth: int = 5, edge_types: list[str] | None = IMPACT_EDGES, halt: bool = True, reverse: bool = False) -> list[DataFrame]:
-    """One table per hop of the nodes first reached there: origin, node, parent, edge_type, rank, mitigated, any_mitigated.
+    """One table per hop of the nodes first reached there: origin, node, parent, edge_type, rank, mitigated,
+    recovery_hours, mode, any_mitigated.
 
     origins: origin and, where the traversal does not start at the node of that name, node. edges: as they come, or
     prepared by `links`. halt: a PROJECT that is PLANNED or SUSPENDED is reached but not left,
@@ -57,7 +62,7 @@ def hops(origins: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, m
     out, seen = [], frontier.select("origin", "node")
     for hop in range(1, max_depth + 1):
         left = frontier if hop == 1 or halted is None else frontier.join(halted, "node", "left_anti")
-        way = F.min(F.struct("rank", "mitigated", F.col("node").alias("parent"), "edge_type", (F.col("any_mitigated") | F.col("mitigated")).alias("any_mitigated")))
+        way = F.min(F.struct("rank", "mitigated", F.col("node").alias("parent"), "edge_type", "recovery_hours", "mode", (F.col("any_mitigated") | F.col("mitigated")).alias("any_mitigated")))
         best = left.select("origin", "node", "any_mitigated").join(e, F.col("node") == F.col("src")).groupBy("origin", "dst").agg(way.alias("way")).select("origin", F.col("dst").alias("node"), "way.*")
         frontier = cut(best.join(seen, ["origin", "node"], "left_anti"))
         out.append(frontier)
@@ -67,8 +72,8 @@ def hops(origins: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, m
 
 
 def traverse(origins: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, max_depth: int = 5, edge_types: list[str] | None = IMPACT_EDGES, halt: bool = True, reverse: bool = False, paths: bool = True) -> DataFrame:
-    """Nodes reached from each origin: origin, node, hop (fewest), edge_criticality, edge_mitigated, any_mitigated, and with
-    `paths` also path and edge_path. See `hops` for the other arguments."""
+    """Nodes reached from each origin: origin, node, hop (fewest), edge_criticality, edge_mitigated, any_mitigated,
+    recovery_hours and propagation_mode of the last edge, and with `paths` also path and edge_path. See `hops` for the other arguments."""
     names = F.array(*[F.lit(k) for k in RANK])
     found, before = [], None
     for hop, rows in enumerate(hops(origins, edges, nodes, max_depth, edge_types, halt, reverse), 1):
@@ -80,7 +85,7 @@ def traverse(origins: DataFrame, edges: DataFrame, nodes: DataFrame | None = Non
                 rows = rows.join(way, ["origin", "parent"]).withColumns({"path": F.array_append("path_before", F.col("node")), "edge_path": F.array_append("edge_path_before", F.col("edge_type"))})
             before = rows
         shown = ["path", "edge_path"] if paths else []
-        found.append(rows.select("origin", "node", F.lit(hop).alias("hop"), *shown, F.element_at(names, F.col("rank") + 1).alias("edge_criticality"), F.col("mitigated").alias("edge_mitigated"), "any_mitigated"))
+        found.append(rows.select("origin", "node", F.lit(hop).alias("hop"), *shown, F.element_at(names, F.col("rank") + 1).alias("edge_criticality"), F.col("mitigated").alias("edge_mitigated"), "any_mitigated", "recovery_hours", F.col("mode").alias("propagation_mode")))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -115,7 +120,7 @@ def propagate(triggers: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth
     shown = [F.array_join(c, " > ").alias(c) for c in ("path", "edge_path")] if paths else []
     level = [criticality_rank(F.col("criticality")).alias("level")] if limit else []
     out = reached.select(
-        "origin", "node", "entity_type", "hop", *shown, "edge_criticality", mitigated.alias("mitigated"), status.alias("status"),
+        "origin", "node", "entity_type", "hop", *shown, "edge_criticality", mitigated.alias("mitigated"), "recovery_hours", "propagation_mode", status.alias("status"),
         tier(status, F.col("edge_criticality"), mitigated, F.col("client_tier"), F.col("sla_hours")).alias("tier"), F.lit(simulation).alias("simulation"), *level)
     if not limit:
         return out

@@ -129,7 +129,7 @@ def coverage(spark, sf_dir):
     return impact.coverage(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
-_OPTIONS = VIEWS + """, alt AS (SELECT node AS dept FROM nodes WHERE entity_type = 'DEPARTMENT' AND remote ORDER BY node LIMIT 4),
+_OPTIONS = VIEWS + """, alt AS (SELECT node AS dept FROM nodes WHERE entity_type = 'DEPARTMENT' AND remote AND status = 'ACTIVE' ORDER BY node LIMIT 4),
 o AS (SELECT dst AS node, 'redundant_asset' AS option_type, src AS source, NULL::INT AS recovery_hours, 0.95::DOUBLE AS confidence FROM edges WHERE edge_type = 'BACKUP_FOR'
  UNION ALL SELECT node, 'backup_location', backup_location, NULL, 0.9 FROM nodes WHERE backup_location IN (SELECT node FROM nodes)
  UNION ALL SELECT node, 'documented_fallback', 'documented_failover', failover_hours, 0.9 FROM nodes WHERE has_failover

@@ -1,8 +1,11 @@
+import os
 from collections import defaultdict
 
 from gridloom.plans import impact_queries
 
-SF = "/root/testdata/sf0.001"
+DATA = os.environ.get("TEST_DATA_DIR", "/root/testdata")
+
+SF = f"{DATA}/sf0.001"
 
 
 def test_history_takes_every_error_event(spark):

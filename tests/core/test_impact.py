@@ -66,6 +66,15 @@ def test_names_in_any_case_and_limit(spark):
     assert impact.propagate(origins(spark, "nothing"), nodes, edges).count() == 0
 
 
+def test_recovery_hours_and_mode_of_the_last_edge(spark):
+    nodes, _ = graph(spark, [(x, "SYSTEM", "ACTIVE") for x in "abc"], [])
+    edges = spark.createDataFrame([("a", "b", "FEEDS", "LOW", False, 4, "DELAYED"), ("b", "c", "FEEDS", "HIGH", True, 7, None)], EDGES + ", recovery_hours int, propagation_mode string")
+    got = {r.node: (r.recovery_hours, r.propagation_mode) for r in impact.propagate(origins(spark, "a"), nodes, edges).collect()}
+    assert got == {"b": (4, "DELAYED"), "c": (7, "DIRECT")}
+    plain = impact.propagate(origins(spark, "a"), nodes, edges.drop("recovery_hours", "propagation_mode")).collect()
+    assert {(r.recovery_hours, r.propagation_mode) for r in plain} == {(None, "DIRECT")}
+
+
 def test_numbers_follow_the_order(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS x", "id % 3 AS y").repartition(4)
     got = impact.numbered(df, F.desc("y"), F.asc("x")).collect()
