@@ -29,7 +29,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -231,8 +231,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, first, last, n): the members of each bucket of n > 1 nodes with its first and last node."""
-    members = nodes.select("node", F.explode("sketches").alias("key"))
+    """(key, node, size, first, last, n): the members of each bucket of n > 1 nodes with its first and last node; size is the
+    number of shingles of a member."""
+    members = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("sketches").alias("key"))
     ends = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     ends = cut(ends, "buckets")
     return join_unique(members, ends, ["key"], "n", max(1, nodes.count() * SKETCHES))
@@ -248,11 +249,18 @@ def candidates(members: DataFrame) -> DataFrame:
     return small.unionByName(large).distinct()
 
 
+def alike_in_size(a: Column, b: Column) -> Column:
+    """Whether texts with a and b shingles can be linked: the shorter one must have SIMILARITY of the words of the longer one."""
+    more = SHINGLE - 1  # words beyond the shingles; at most so many for a text that is one shingle
+    return F.least(a, b) + more >= SIMILARITY * (F.greatest(a, b) + more) - 1e-6
+
+
 def new_candidates(members: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (key, node, root, ends, is_end) of another class than the end b, that are not in tested, with
-    the classes root_a and root_b."""
-    pairs = members.select(F.col("node").alias("a"), "root", "is_end", F.explode("ends").alias("end"))
-    pairs = pairs.filter("root <> end.root AND (NOT is_end OR a < end.node)").select("a", F.col("end.node").alias("b"), F.col("root").alias("root_a"), F.col("end.root").alias("root_b"))
+    """Pairs (a, b) of members (key, node, size, root, ends, is_end) of another class than the end b, of a size with which they
+    can be linked, that are not in tested, with the classes root_a and root_b."""
+    meet = F.filter("ends", lambda e: (e["root"] != F.col("root")) & alike_in_size(e["size"], F.col("size")))
+    pairs = members.select(F.col("node").alias("a"), "root", "is_end", F.explode(meet).alias("end"))
+    pairs = pairs.filter("NOT is_end OR a < end.node").select("a", F.col("end.node").alias("b"), F.col("root").alias("root_a"), F.col("end.root").alias("root_b"))
     pairs = pairs.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).dropDuplicates(["low", "high"])
     return pairs.join(tested.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), ["low", "high"], "left_anti").drop("low", "high")
 
@@ -271,16 +279,16 @@ def linked(members: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     links = cut(verified(pairs.select("a", "b"), texts), "verified")
     roots, tested, slots = components(links), pairs, 1
     state = with_links(roots, links)
-    left = members.filter("n > 3").select("key", "node")
+    left = members.filter("n > 3").select("key", "node", "size")
     while True:
-        left = left.join(state, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        left = left.join(state, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
         left = cut(left, "members-left")
         several = cut(left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", "n"), "open-buckets")
         if several.isEmpty():
             return roots
         total = left.count()
         left = cut(join_unique(left, several, ["key"], "n", total), "open-members")
-        rank = F.struct("degree", "node", "root")
+        rank = F.struct("degree", "node", "root", "size")
         ends = left.groupBy("key", F.pmod(F.xxhash64("node", "key"), F.lit(slots)).alias("slot")).agg(F.max(rank).alias("most"), F.min(rank).alias("least"), F.first("n").alias("n"))
         ends = ends.select("key", "n", F.explode(F.array_distinct(F.array("most", "least"))).alias("end"))
         ends = cut(ends.groupBy("key").agg(F.collect_list("end").alias("ends"), F.first("n").alias("n")), "new-ends")
@@ -299,7 +307,7 @@ def linked(members: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         more = None if rest.isEmpty() else cut(verified(rest, texts), "verified")
         if more is not None and not more.isEmpty():
             links, roots = links.unionByName(more), joined(roots, more)
-        left = met.filter("NOT is_end").select("key", "node")
+        left = met.filter("NOT is_end").select("key", "node", "size")
         tested, slots = tested.unionByName(pairs.filter("first").select("a", "b")).unionByName(rest), min(4 * slots, MOST_SLOTS)
         state = with_links(roots, links)
 
