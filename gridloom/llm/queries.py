@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe_table, exact_dedup, language_id, license_scan, line_dedup, near_dedup, nearest, packing, token_counts, toxicity
+from gridloom.llm import bpe_table, exact_dedup, language_id, license_scan, line_dedup, near_dedup, nearest, packing, periodic_runs, token_counts, toxicity
 from gridloom.llm.shared import documents
 
 
@@ -51,6 +51,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find_runs(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_near_dedup": op2_near_dedup,
@@ -62,6 +66,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL = {
