@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe_table, exact_dedup, language_id, license_scan, line_dedup, near_dedup, nearest, packing, periodic_runs, token_counts, toxicity
+from gridloom.llm import bpe_table, exact_dedup, language_id, license_scan, line_dedup, near_dedup, nearest, packing, periodic_runs, token_counts, toxicity, vector_codes
 from gridloom.llm.shared import documents
 
 
@@ -51,6 +51,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.find_runs(documents(spark, sf_dir))
 
@@ -66,10 +70,12 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
+    "op12_vector_codes": op12_vector_codes,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL = {
+    "op12_vector_codes": vector_codes.SQL,
     "op4_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
