@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe_table, exact_dedup, language_id, license_scan, line_dedup, near_dedup, nearest, packing, periodic_runs, token_counts, toxicity, vector_codes
+from gridloom.llm import bpe_table, exact_dedup, language_id, license_scan, line_dedup, main_text, near_dedup, nearest, packing, periodic_runs, token_counts, toxicity, vector_codes
 from gridloom.llm.shared import documents
 
 
@@ -51,6 +51,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_main_text": op11_main_text,
     "op12_vector_codes": op12_vector_codes,
     "op13_periodic_runs": op13_periodic_runs,
 }
