@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from gridloom.operators.impact import numbered
 from gridloom.plans.lineage import cut
 
 
@@ -75,10 +76,54 @@ def inherited_context(ancestors: DataFrame, descriptions: DataFrame, budget: int
     return kept.groupBy("concept_id").agg(F.array_join(F.transform(lines, lambda x: x["description"]), "\n").alias("context"), F.max("words").alias("words"))
 
 
+def _on_cycles(edges: DataFrame, rounds: int) -> DataFrame:
+    """The edges without most of those that lie on no cycle: where nothing leads to the child or on from the parent."""
+    n = edges.count()
+    for _ in range(rounds):
+        children, parents = edges.select(F.col("child_id").alias("parent_id")).distinct(), edges.select(F.col("parent_id").alias("child_id")).distinct()
+        edges = cut(edges.join(children, "parent_id", "left_semi").join(parents, "child_id", "left_semi"))
+        n, before = edges.count(), n
+        if n in (0, before):
+            break
+    return edges
+
+
 def without_cycles(candidates: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:
-    """Candidate edges whose parent does not reach the child, and that are no loops."""
-    reach = closure(edges, max_depth).select(F.col("concept_id").alias("parent_id"), F.col("ancestor_id").alias("child_id"))
-    return candidates.filter("child_id <> parent_id").join(reach, ["parent_id", "child_id"], "left_anti")
+    """The candidate edges that are taken if they come one after the other, by seq (if there is one), child and parent:
+    an edge is rejected if it is a loop, or if its parent reaches its child in at most max_depth steps over the old edges
+    and the candidates taken before it.
+
+    Candidates wait for one another only where old and new edges form cycles; all others are taken at once. In each round,
+    every waiting edge looks for the way from its parent to its child whose latest waiting edge is earliest. If there is
+    none before it, it is taken; if there is one without waiting edges, it is rejected; else it waits for that edge. So the
+    first waiting edge of each cyclic part is decided in each round, most often nearly all of them.
+    """
+    order = [c for c in ("seq", "child_id", "parent_id") if c in candidates.columns]
+    rows = numbered(candidates.filter("child_id <> parent_id"), *(F.asc_nulls_last(c) for c in order))
+    edge = ["position", "child_id", "parent_id"]
+    old = edges.select(F.lit(0).alias("position"), "child_id", "parent_id").distinct()
+    graph = _on_cycles(cut(old.unionByName(rows.select(*edge))), max_depth)
+    decided, waiting, rejected = graph.filter("position = 0"), graph.filter("position > 0"), None
+    while not waiting.isEmpty():
+        start = waiting.select("position", F.col("child_id").alias("goal"), F.col("parent_id").alias("node"), F.lit(0).alias("latest"), F.lit(0).alias("hop"))
+        # an edge can only wait for earlier ones; decided edges have no time
+        way = decided.unionByName(waiting).select(F.col("position").alias("time"), F.col("child_id").alias("node"), F.col("parent_id").alias("next"))
+        best = cut(start)
+        for hop in range(1, max_depth + 1):
+            on = best.filter((F.col("hop") == hop - 1) & (F.col("node") != F.col("goal")))
+            step = on.join(way, "node").select("position", "goal", F.col("next").alias("node"), F.greatest("latest", "time").alias("latest"), F.lit(hop).alias("hop")).filter("latest < position")
+            # the earlier hop stays where both are as good
+            best = cut(best.unionByName(step).groupBy("position", "goal", "node").agg(F.min(F.struct("latest", "hop")).alias("m")).select("position", "goal", "node", "m.*"))
+            if best.filter(F.col("hop") == hop).isEmpty():
+                break
+        closed = best.filter("node = goal").select("position", "latest")
+        told = cut(waiting.join(closed, "position", "left"))
+        gone = told.filter("latest = 0").select("position")
+        rejected = gone if rejected is None else rejected.unionByName(gone)
+        decided = decided.unionByName(told.filter("latest IS NULL").select(F.lit(0).alias("position"), "child_id", "parent_id"))
+        waiting = told.filter("latest > 0").select(*edge)
+    taken = rows if rejected is None else rows.join(rejected, "position", "left_anti")
+    return taken.select(*candidates.columns)
 
 
 def replacements(links: DataFrame) -> DataFrame:

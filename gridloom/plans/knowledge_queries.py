@@ -179,6 +179,28 @@ def cycle_guard(spark, sf_dir):
     return hierarchy.without_cycles(k, h).select("child_id", "parent_id")
 
 
+_BATCH = """WITH RECURSIVE c AS (SELECT o_custkey AS g, o_orderkey AS seq, o_orderkey % 5 AS a, (o_orderkey // 5 + o_custkey) % 5 AS b, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+-- per customer: for each of its five nodes, a bitmap of those that it reaches
+w(g, k, seq, a, b, taken, reach) AS (
+ SELECT g, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, false, CASE WHEN g % 3 = 0 THEN [6, 4, 0, 0, 0]::BIGINT[] ELSE [0, 0, 0, 0, 0]::BIGINT[] END FROM (SELECT DISTINCT g FROM c)
+ UNION ALL
+ SELECT w.g, c.k, c.seq, c.a, c.b, c.a <> c.b AND (w.reach[c.b + 1] >> c.a::INT) & 1 = 0,
+  CASE WHEN c.a <> c.b AND (w.reach[c.b + 1] >> c.a::INT) & 1 = 0 THEN [CASE WHEN x = c.a OR (w.reach[x + 1] >> c.a::INT) & 1 = 1 THEN w.reach[x + 1] | w.reach[c.b + 1] | (1::BIGINT << c.b::INT) ELSE w.reach[x + 1] END for x in range(5)] ELSE w.reach END
+ FROM w JOIN c ON c.g = w.g AND c.k = w.k + 1)
+SELECT 'N-' || g || '-' || a AS child_id, 'N-' || g || '-' || b AS parent_id, seq FROM w WHERE taken"""
+
+
+@query("ups12_cycles_within_batch", _BATCH)
+def cycles_within_batch(spark, sf_dir):
+    """Five nodes for each customer, an edge for each of its orders, in the order of their keys; some have old edges."""
+    name = lambda g, x: F.concat_ws("-", F.lit("N"), g, x)
+    o = table(spark, sf_dir, "orders")
+    g, key = F.col("o_custkey"), F.col("o_orderkey")
+    batch = o.select(name(g, key % 5).alias("child_id"), name(g, (F.floor(key / 5) + g) % 5).alias("parent_id"), key.alias("seq"))
+    old = o.filter(g % 3 == 0).select(g.alias("g")).distinct().select("g", F.explode(F.array(F.lit(0), F.lit(1))).alias("x"))
+    return hierarchy.without_cycles(batch, old.select(name(F.col("g"), F.col("x")).alias("child_id"), name(F.col("g"), F.col("x") + 1).alias("parent_id")))
+
+
 @query("evt07_replacements", """WITH RECURSIVE c AS (SELECT p_partkey AS id, p_partkey - 1 AS next_id FROM part WHERE p_partkey % 16 > 0),
 w(id, last) AS (SELECT id, next_id FROM c UNION SELECT w.id, c.next_id FROM w JOIN c ON c.id = w.last) SELECT id, last AS final_id FROM w WHERE last NOT IN (SELECT id FROM c)""")
 def replacements(spark, sf_dir):
