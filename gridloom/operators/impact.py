@@ -1,11 +1,12 @@
 """Dependency impact: who is reached from an entity that fails, how badly, and what mitigates it.
 
 nodes: node, entity_type, status, criticality, client_tier, sla_hours, ... ; edges: src, dst, edge_type, criticality,
-mitigated. Traversals keep a frontier per origin and join it with the edges once per hop; a frontier that is small on disk
-is broadcast by Spark, so the edges stay where they are. Candidates are reduced to one row per (origin, node) by an
-aggregate, which combines before the shuffle, so hubs with many edges cost their edges once, and only then meet the
-nodes seen before, which are dealt by the same keys. A row holds its parent; paths are put together at the end, if asked
-for. `links` prepares edges once for many traversals.
+mitigated. Where only nodes, hops and tiers are asked for, a frontier is a row per node with the set of its origins as
+bitmaps, ORed hop by hop (`frontiers`). Where the ways are, it is a row per origin and node with its parent (`hops`); paths
+are put together at the end. A hop joins the frontier with the edges; a frontier that is small on disk is broadcast by
+Spark, so the edges stay where they are, and in a shuffle the edges of a hub are dealt over many keys, to which the
+hub's rows are copied (`dealt`). Candidates are reduced by an aggregate, which combines before the shuffle. `links`
+prepares edges once for many traversals.
 """
 
 from __future__ import annotations
@@ -29,15 +30,62 @@ def criticality_rank(level: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])[level], F.lit(2))
 
 
-def links(edges: DataFrame, edge_types: list[str] | None = IMPACT_EDGES) -> DataFrame:
-    """src, dst, edge_type, rank, mitigated, recovery_hours, mode of the edges that carry impact, in order of src. Edges need
-    not have recovery_hours and propagation_mode; a missing mode is DIRECT."""
+#: A source with more than this share of all edges is a hub; there are fewer than 1 / HUB_SHARE of them.
+HUB_SHARE = 0.001
+#: Edges that a task takes of one source in any case.
+HUB_EDGES = 20_000
+
+
+def dealt(links: DataFrame) -> DataFrame:
+    """links with fan and deal: the edges of a hub are dealt over `fan` keys (src, deal), in order of these keys."""
+    at_least = max(HUB_EDGES, int(links.count() * HUB_SHARE))
+    hubs = links.groupBy("src").count().filter(F.col("count") > at_least).select("src", F.ceil(F.col("count") / at_least).cast("int").alias("fan"))
+    e = links.join(F.broadcast(hubs), "src", "left").withColumn("fan", F.coalesce("fan", F.lit(1)))
+    return e.withColumn("deal", F.pmod(F.xxhash64("dst", "edge_type"), F.col("fan")).cast("int")).repartition("src", "deal").sortWithinPartitions("src")
+
+
+def links(edges: DataFrame, edge_types: list[str] | None = IMPACT_EDGES, nodes: DataFrame | None = None, reverse: bool = False) -> DataFrame:
+    """src, dst, edge_type, rank, mitigated, recovery_hours, mode, fan, deal of the edges that carry impact, dealt by `dealt`,
+    and with nodes also halted: whether a traversal that halts does not leave src. Edges need not have recovery_hours and
+    propagation_mode; a missing mode is DIRECT. reverse: the edges lead back."""
     e = edges if edge_types is None else edges.filter(F.col("edge_type").isin(edge_types))
     own = lambda c, kind: F.col(c).cast(kind) if c in edges.columns else F.lit(None).cast(kind)
+    src, dst = ("dst", "src") if reverse else ("src", "dst")
     e = e.select(
-        "src", "dst", "edge_type", criticality_rank(F.col("criticality")).alias("rank"), F.coalesce("mitigated", F.lit(False)).alias("mitigated"),
+        F.col(src).alias("src"), F.col(dst).alias("dst"), "edge_type", criticality_rank(F.col("criticality")).alias("rank"), F.coalesce("mitigated", F.lit(False)).alias("mitigated"),
         own("recovery_hours", "int").alias("recovery_hours"), F.coalesce(own("propagation_mode", "string"), F.lit("DIRECT")).alias("mode"))
-    return e.repartition("src").sortWithinPartitions("src")
+    return dealt(cut(with_halted(e, nodes) if nodes is not None else e))
+
+
+def with_halted(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    waiting = nodes.filter((F.col("entity_type") == "PROJECT") & F.col("status").isin(HALTING)).select(F.col("node").alias("src"), F.lit(True).alias("halted")).distinct()
+    return links.drop("halted").join(waiting, "src", "left").withColumn("halted", F.coalesce("halted", F.lit(False)))
+
+
+def _prepared(edges: DataFrame, nodes: DataFrame | None, edge_types: list[str] | None, halt: bool, reverse: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Edges for the first hop, for the later ones, and the hubs among their sources, if there are any."""
+    if "fan" not in edges.columns:
+        e = cut(links(edges, edge_types, nodes if halt else None, reverse))
+    elif reverse:
+        e = cut(dealt(edges.drop("fan", "deal", "halted").withColumns({"src": F.col("dst"), "dst": F.col("src")})))
+    else:
+        e = edges
+    later = e
+    if halt and nodes is not None:
+        later = (e if "halted" in e.columns else with_halted(e, nodes)).filter("NOT halted")
+    hubs = e.filter("fan > 1")
+    return e, later, None if hubs.isEmpty() else cut(hubs.groupBy(F.col("src").alias("node")).agg(F.first("fan").alias("fan")))
+
+
+def _step(frontier: DataFrame, links: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """The frontier with the edges that leave it; a hub's row goes to each part of its edges."""
+    here = F.col("node") == F.col("src")
+    if hubs is None:
+        return frontier.join(links.drop("fan", "deal"), here)
+    plain = frontier.join(links.filter("fan = 1").drop("fan", "deal"), here)
+    # fewer than 1 / HUB_SHARE hubs
+    copies = frontier.join(F.broadcast(hubs), "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))).drop("fan")
+    return plain.unionByName(copies.join(links.filter("fan > 1").drop("fan"), here & (F.col("part") == F.col("deal"))).drop("part", "deal"))
 
 
 def hops(origins: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, max_depth: int = 5, edge_types: list[str] | None = IMPACT_EDGES, halt: bool = True, reverse: bool = False) -> list[DataFrame]:
@@ -51,19 +99,13 @@ def hops(origins: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, m
     """
     if not 1 <= max_depth <= 10:
         raise ValueError("max_depth is 1 to 10")
-    e = edges if "rank" in edges.columns else cut(links(edges, edge_types))
-    if reverse:
-        e = e.withColumns({"src": F.col("dst"), "dst": F.col("src")})
-    halted = None
-    if halt and nodes is not None:
-        halted = cut(nodes.filter((F.col("entity_type") == "PROJECT") & F.col("status").isin(HALTING)).select("node"))
+    first, later, hubs = _prepared(edges, nodes, edge_types, halt, reverse)
     start = F.col("node" if "node" in origins.columns else "origin")
     frontier = cut(origins.select("origin", start.alias("node"), F.lit(False).alias("any_mitigated")).distinct())
     out, seen = [], frontier.select("origin", "node")
     for hop in range(1, max_depth + 1):
-        left = frontier if hop == 1 or halted is None else frontier.join(halted, "node", "left_anti")
         way = F.min(F.struct("rank", "mitigated", F.col("node").alias("parent"), "edge_type", "recovery_hours", "mode", (F.col("any_mitigated") | F.col("mitigated")).alias("any_mitigated")))
-        best = left.select("origin", "node", "any_mitigated").join(e, F.col("node") == F.col("src")).groupBy("origin", "dst").agg(way.alias("way")).select("origin", F.col("dst").alias("node"), "way.*")
+        best = _step(frontier.select("origin", "node", "any_mitigated"), first if hop == 1 else later, hubs).groupBy("origin", "dst").agg(way.alias("way")).select("origin", F.col("dst").alias("node"), "way.*")
         frontier = cut(best.join(seen, ["origin", "node"], "left_anti"))
         out.append(frontier)
         if hop == max_depth or frontier.isEmpty():
@@ -71,6 +113,59 @@ def hops(origins: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, m
         seen = seen.unionByName(frontier.select("origin", "node"))
 
 
+#: Last edges from the best one to be hit by to the worst: rank of criticality twice, plus one if mitigated.
+LEVELS = 2 * len(RANK)
+
+
+def frontiers(origins: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, max_depth: int = 5, edge_types: list[str] | None = IMPACT_EDGES, halt: bool = True, reverse: bool = False, levels: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Which origins reach which nodes at which hop, as bitmaps: (numbers, reached).
+
+    numbers: origin, word, bit: origins by sixty-three bits of a word. reached: word, node, hop, and bits: the origins of that
+    word that first reach the node there. With `levels`, bits is an array with a bitmap for each value of 2 x rank +
+    mitigated of the last edge; an origin is in the lowest one that its shortest ways give. A hop ORs the bitmaps of a
+    node's predecessors, so its rows are words and nodes, whatever the number of origins in a word.
+    """
+    if not 1 <= max_depth <= 10:
+        raise ValueError("max_depth is 1 to 10")
+    first, later, hubs = _prepared(edges, nodes, edge_types, halt, reverse)
+    # numbers follow one another within a partition only; one that holds few origins leaves bits of its last word unused
+    known = cut(origins.select("origin").distinct().withColumn("number", F.monotonically_increasing_id()).selectExpr("origin", "number div 63 AS word", "cast(number % 63 AS int) AS bit"))
+    start = origins.select("origin", F.col("node" if "node" in origins.columns else "origin").alias("node")).distinct()
+    level = [f"b{k}" for k in range(LEVELS if levels else 1)]
+    anyone = F.expr(" | ".join(level))
+    # known: all origins that have reached the node; b0, b1, ...: those that did with the last hop
+    state = start.join(known, "origin").groupBy("word", "node").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("known"))
+    state = cut(state.withColumns({c: F.col("known") if c == "b0" else F.lit(0).cast("long") for c in level}))
+    none, out = F.lit(0).cast("long"), []
+    for hop in range(1, max_depth + 1):
+        found = _step(state.select("word", "node", anyone.alias("bits")).filter("bits <> 0"), (first if hop == 1 else later).select("src", "dst", "deal", "fan", (2 * F.col("rank") + F.col("mitigated").cast("int")).alias("level")), hubs)
+        new = [F.when(F.col("level") == k, F.col("bits")).otherwise(none).alias(c) for k, c in enumerate(level)] if levels else [F.col("bits").alias("b0")]
+        # one aggregate combines what is known with what is found
+        merged = state.select("word", "node", "known", *[none.alias(c) for c in level]).unionByName(found.select("word", F.col("dst").alias("node"), none.alias("known"), *new))
+        merged = merged.groupBy("word", "node").agg(*[F.expr(f"bit_or({c})").alias(c) for c in ("known", *level)])
+        fresh = [F.expr(f"{c} & ~({' | '.join(['known', *level[:k]])})").alias(c) for k, c in enumerate(level)]
+        state = cut(merged.select("word", "node", *fresh, F.expr(" | ".join(["known", *level])).alias("known")))
+        last = state.filter(anyone != 0)
+        out.append(last.select("word", "node", F.lit(hop).alias("hop"), F.array(*level).alias("bits") if levels else F.col("b0").alias("bits")))
+        if hop == max_depth or last.isEmpty():
+            return known, reduce(DataFrame.unionByName, out)
+
+
+def of_origins(numbers: DataFrame, rows: DataFrame, levels: bool = False) -> DataFrame:
+    """rows (word, bits, ...) as one row per origin in their bitmaps; with `levels` also level. A word has 63 origins at most."""
+    if levels:
+        rows = rows.select("*", F.posexplode("bits").alias("level", "at")).drop("bits").withColumnRenamed("at", "bits").filter("bits <> 0")
+    each = rows.withColumn("bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: F.getbit("bits", k) == 1)))
+    return each.drop("bits").join(numbers, ["word", "bit"]).drop("word", "bit")
+
+
+def reach(origins: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, max_depth: int = 5, edge_types: list[str] | None = IMPACT_EDGES, halt: bool = True, reverse: bool = False) -> DataFrame:
+    """origin, node, hop (fewest), edge_criticality, edge_mitigated: as `traverse` without ways, by bitmaps."""
+    numbers, reached = frontiers(origins, edges, nodes, max_depth, edge_types, halt, reverse, levels=True)
+    names = F.array(*[F.lit(k) for k in RANK])
+    return of_origins(numbers, reached, levels=True).select("origin", "node", "hop", F.element_at(names, F.shiftright("level", 1) + 1).alias("edge_criticality"), (F.col("level") % 2 == 1).alias("edge_mitigated"))
+
+
 def traverse(origins: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, max_depth: int = 5, edge_types: list[str] | None = IMPACT_EDGES, halt: bool = True, reverse: bool = False, paths: bool = True) -> DataFrame:
     """Nodes reached from each origin: origin, node, hop (fewest), edge_criticality, edge_mitigated, any_mitigated,
     recovery_hours and propagation_mode of the last edge, and with `paths` also path and edge_path. See `hops` for the other arguments."""
@@ -108,19 +203,24 @@ def entity_ids(names: DataFrame, nodes: DataFrame) -> DataFrame:
     return names.select("name", F.lower("name").alias("key")).distinct().join(known, "key").select("name", F.col("found").alias("node")).distinct()
 
 
-def propagate(triggers: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 5, along_path: bool = False, simulation: bool = False, paths: bool = True, limit: int | None = None) -> DataFrame:
+def propagate(triggers: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 5, along_path: bool = False, simulation: bool = False, paths: bool = True, limit: int | None = None, ways: bool = True) -> DataFrame:
     """Impacted entities of each trigger (column origin, a name in any case) with tier.
 
-    along_path: any mitigated edge on the way counts. limit: at most so many entities per trigger, by hop, then the
+    along_path: any mitigated edge on the way counts. ways: False leaves out paths, recovery_hours and propagation_mode, so
+    that bitmaps are enough. limit: at most so many entities per trigger, by hop, then the
     most critical ones, then name."""
     known = entity_ids(triggers.select(F.col("origin").alias("name")), nodes).select(F.col("name").alias("origin"), "node")
-    reached = traverse(known, edges, nodes, max_depth, paths=paths).join(nodes, "node", "left")
+    if along_path and not ways:
+        raise ValueError("mitigation along the path needs the ways")
+    paths = paths and ways
+    reached = traverse(known, edges, nodes, max_depth, paths=paths) if ways else reach(known, edges, nodes, max_depth)
+    reached = reached.join(nodes, "node", "left")
     mitigated = F.col("any_mitigated") if along_path else F.col("edge_mitigated")
     status = F.coalesce("status", F.lit("ACTIVE"))
     shown = [F.array_join(c, " > ").alias(c) for c in ("path", "edge_path")] if paths else []
     level = [criticality_rank(F.col("criticality")).alias("level")] if limit else []
     out = reached.select(
-        "origin", "node", "entity_type", "hop", *shown, "edge_criticality", mitigated.alias("mitigated"), "recovery_hours", "propagation_mode", status.alias("status"),
+        "origin", "node", "entity_type", "hop", *shown, "edge_criticality", mitigated.alias("mitigated"), *(["recovery_hours", "propagation_mode"] if ways else []), status.alias("status"),
         tier(status, F.col("edge_criticality"), mitigated, F.col("client_tier"), F.col("sla_hours")).alias("tier"), F.lit(simulation).alias("simulation"), *level)
     if not limit:
         return out
@@ -137,8 +237,9 @@ def roll_up(triggers: DataFrame, impacted: DataFrame, max_depth: int) -> DataFra
 
 
 def dependents(targets: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Who depends on each target, nearest first."""
-    return traverse(targets, edges, None, max_depth, halt=False, reverse=True, paths=False).join(nodes.select("node", "entity_type"), "node", "left").select("origin", "node", "entity_type", "hop")
+    """Who depends on each target, with the fewest hops. edges: as they come, or prepared by `links` with reverse."""
+    numbers, found = frontiers(targets, edges, None, max_depth, halt=False, reverse="fan" not in edges.columns)
+    return of_origins(numbers, found).join(nodes.select("node", "entity_type"), "node", "left").select("origin", "node", "entity_type", "hop")
 
 
 def dependent_kinds(found: DataFrame) -> DataFrame:
@@ -146,10 +247,21 @@ def dependent_kinds(found: DataFrame) -> DataFrame:
     return found.groupBy("origin").agg(F.count(F.lit(1)).alias("n_dependents"), (F.count_distinct("entity_type") > 1).alias("spans_types"))
 
 
+def counted(origins: DataFrame, edges: DataFrame, max_depth: int, nodes: DataFrame | None = None, **flags: Column) -> DataFrame:
+    """Per origin: downstream, the distinct nodes that it reaches, itself excluded, and how many of them have each flag
+    (conditions on columns of nodes); 0 where there are none. Nodes of equal bitmaps are counted before bitmaps are opened."""
+    numbers, found = frontiers(origins, edges, None, max_depth, halt=False)
+    if flags:
+        found = found.join(nodes, "node", "left")
+    sums = {"downstream": F.count(F.lit(1))} | {name: F.sum(F.when(f, 1).otherwise(0)) for name, f in flags.items()}
+    alike = found.groupBy("word", "bits").agg(*[c.alias(name) for name, c in sums.items()])
+    each = of_origins(numbers, alike).groupBy("origin").agg(*[F.sum(name).alias(name) for name in sums])
+    return origins.select("origin").distinct().join(each, "origin", "left").na.fill(0, list(sums))
+
+
 def downstream_counts(origins: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:
     """Distinct nodes that each origin reaches, itself excluded; 0 where there are none."""
-    reached = traverse(origins, edges, None, max_depth, halt=False, paths=False).groupBy("origin").agg(F.count(F.lit(1)).alias("downstream"))
-    return origins.select("origin").distinct().join(reached, "origin", "left").na.fill(0, ["downstream"])
+    return counted(origins, edges, max_depth)
 
 
 def downstream_estimates(nodes: DataFrame, edges: DataFrame, max_depth: int = 10, lg_k: int = 12) -> DataFrame:
@@ -183,13 +295,9 @@ def numbered(rows: DataFrame, *order: Column) -> DataFrame:
 def compare(locations: DataFrame, nodes: DataFrame, edges: DataFrame, metric: str = "total_downstream", max_depth: int = 5) -> DataFrame:
     """Downstream totals of each location, ranked by a metric, ties by name. Short and long metric names are accepted."""
     metric = {"critical_project_count": "critical_projects", "tier1_client_count": "tier1_clients"}.get(metric, metric)
-    d = traverse(locations, edges, None, max_depth, halt=False, paths=False).join(nodes, "node", "left")
-    some = lambda c, name: F.sum(F.when(c, 1).otherwise(0)).alias(name)
     safe = F.col("has_backup") | F.col("has_failover") | F.col("backup_location").isNotNull()
-    sums = d.groupBy("origin").agg(
-        F.count(F.lit(1)).alias("total_downstream"), some((F.col("entity_type") == "PROJECT") & (F.col("criticality") == "CRITICAL"), "critical_projects"),
-        some(F.col("client_tier") == "TIER_1", "tier1_clients"), some((F.col("entity_type") == "SYSTEM") & ~safe, "unprotected_systems"))
-    all_of = locations.select("origin").distinct().join(sums, "origin", "left").na.fill(0)
+    flags = {"critical_projects": (F.col("entity_type") == "PROJECT") & (F.col("criticality") == "CRITICAL"), "tier1_clients": F.col("client_tier") == "TIER_1", "unprotected_systems": (F.col("entity_type") == "SYSTEM") & ~safe}
+    all_of = counted(locations, edges, max_depth, nodes, **flags).withColumnRenamed("downstream", "total_downstream")
     return numbered(all_of, F.desc(metric), F.asc("origin"))
 
 

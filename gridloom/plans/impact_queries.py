@@ -23,8 +23,12 @@ walk(origin, node, hop) AS ({origins} UNION SELECT w.origin, e.d, w.hop + 1 FROM
 reach AS (SELECT origin, node, min(hop) AS hop FROM walk WHERE node <> origin GROUP BY ALL)"""
 
 
+def _of(n, kind, condition="true"):
+    return n.filter(f"entity_type = '{kind}' AND ({condition})").select(F.col("node").alias("origin"))
+
+
 def _from(spark, sf_dir, kind, condition="true"):
-    return nodes(spark, sf_dir).filter(f"entity_type = '{kind}' AND ({condition})").select(F.col("node").alias("origin"))
+    return _of(nodes(spark, sf_dir), kind, condition)
 
 
 _ALL_LOC = "SELECT node AS origin, node, 0 AS hop FROM nodes WHERE entity_type = 'LOCATION'"
@@ -39,7 +43,8 @@ tiers AS (SELECT w.origin, w.node, n.entity_type, w.hop, (w.r % 2 = 1) AS mitiga
 
 @query("gra01_propagate_location", _reach("SELECT 'LOC-7' AS origin, 'LOC-7' AS node, 0 AS hop", 5, True) + _TIERS + "SELECT origin, node, entity_type, hop, edge_criticality, mitigated, tier FROM tiers")
 def propagate_location(spark, sf_dir):
-    hit = impact.propagate(_from(spark, sf_dir, "LOCATION", "key = 7"), nodes(spark, sf_dir), links(spark, sf_dir), 5, paths=False)
+    n = nodes(spark, sf_dir)
+    hit = impact.propagate(_of(n, "LOCATION", "key = 7"), n, links(spark, sf_dir), 5, ways=False)
     return hit.select("origin", "node", "entity_type", "hop", "edge_criticality", "mitigated", "tier")
 
 
@@ -64,7 +69,8 @@ h{k} AS MATERIALIZED (SELECT b.origin, b.node, {k} AS hop, b.w.r AS r, p.path ||
 SELECT w.origin, w.node, n.entity_type, w.hop, w.path, w.edge_path, w.r % 2 = 1 AS mitigated FROM ways w LEFT JOIN nodes n ON n.node = w.node""")
 def propagate_locations(spark, sf_dir):
     """Every location as a trigger, with the ways."""
-    hit = impact.propagate(_from(spark, sf_dir, "LOCATION"), nodes(spark, sf_dir), links(spark, sf_dir), 5)
+    n = nodes(spark, sf_dir)
+    hit = impact.propagate(_of(n, "LOCATION"), n, links(spark, sf_dir), 5)
     return hit.select("origin", "node", "entity_type", "hop", "path", "edge_path", "mitigated")
 
 
@@ -72,14 +78,16 @@ def propagate_locations(spark, sf_dir):
 SELECT t.origin, count(*) FILTER (tier = 'CRITICAL') AS n_critical, count(*) FILTER (tier = 'HIGH') AS n_high, count(*) FILTER (tier = 'MONITOR') AS n_monitor, count(tier) AS total, coalesce(max(hop), 0) AS deepest, coalesce(max(hop), 0) < 4 AS complete
 FROM t LEFT JOIN tiers USING (origin) GROUP BY t.origin""")
 def roll_up_all_locations(spark, sf_dir):
-    triggers = _from(spark, sf_dir, "LOCATION").union(spark.createDataFrame([("LOC-unknown",)], "origin string"))
-    hit = impact.propagate(triggers, nodes(spark, sf_dir), links(spark, sf_dir), 4, paths=False)
+    n = nodes(spark, sf_dir)
+    triggers = _of(n, "LOCATION").union(spark.createDataFrame([("LOC-unknown",)], "origin string"))
+    hit = impact.propagate(triggers, n, links(spark, sf_dir), 4, ways=False)
     return impact.roll_up(triggers, hit, 4)
 
 
 @query("gra09_dependents_of_clients", _reach("SELECT node AS origin, node, 0 AS hop FROM nodes WHERE entity_type = 'CLIENT'", 3, False, True) + "SELECT r.origin, r.node, n.entity_type, r.hop FROM reach r LEFT JOIN nodes n ON n.node = r.node")
 def dependents_of_clients(spark, sf_dir):
-    return impact.dependents(_from(spark, sf_dir, "CLIENT"), nodes(spark, sf_dir), links(spark, sf_dir), 3)
+    n = nodes(spark, sf_dir)
+    return impact.dependents(_of(n, "CLIENT"), n, links(spark, sf_dir, reverse=True), 3)
 
 
 @query("gra10_dependent_kinds", _reach("SELECT node AS origin, node, 0 AS hop FROM nodes WHERE entity_type = 'CLIENT'", 3, False, True) + "SELECT r.origin, count(*) AS n_dependents, count(DISTINCT n.entity_type) > 1 AS spans_types FROM reach r LEFT JOIN nodes n ON n.node = r.node GROUP BY r.origin")
@@ -94,12 +102,14 @@ _COMPARE = _reach(_ALL_LOC, 5, False) + """, c AS (SELECT l.node AS origin, coun
 
 @query("gra11_compare_locations", _COMPARE + "SELECT *, row_number() OVER (ORDER BY critical_projects DESC, origin) AS position FROM c")
 def compare_locations(spark, sf_dir):
-    return impact.compare(_from(spark, sf_dir, "LOCATION"), nodes(spark, sf_dir), links(spark, sf_dir), "critical_project_count")
+    n = nodes(spark, sf_dir)
+    return impact.compare(_of(n, "LOCATION"), n, links(spark, sf_dir), "critical_project_count")
 
 
 @query("gra25_heat_map", _COMPARE + "SELECT origin, metric, value FROM (UNPIVOT (SELECT origin, critical_projects, tier1_clients, unprotected_systems FROM c) ON critical_projects, tier1_clients, unprotected_systems INTO NAME metric VALUE value)")
 def heat_map(spark, sf_dir):
-    c = impact.compare(_from(spark, sf_dir, "LOCATION"), nodes(spark, sf_dir), links(spark, sf_dir))
+    n = nodes(spark, sf_dir)
+    c = impact.compare(_of(n, "LOCATION"), n, links(spark, sf_dir))
     return c.unpivot(["origin"], ["critical_projects", "tier1_clients", "unprotected_systems"], "metric", "value")
 
 
@@ -180,13 +190,15 @@ _MULTI = _reach("SELECT node AS origin, node, 0 AS hop FROM nodes WHERE entity_t
 
 @query("gra21_combined_scenario", _MULTI + "SELECT count(*) AS sum_of_parts, count(DISTINCT node) AS total, true AS simulation FROM reach")
 def combined_scenario(spark, sf_dir):
-    hit = impact.propagate(_from(spark, sf_dir, "LOCATION", "key IN (3, 7, 11)"), nodes(spark, sf_dir), links(spark, sf_dir), 5, simulation=True, paths=False)
+    n = nodes(spark, sf_dir)
+    hit = impact.propagate(_of(n, "LOCATION", "key IN (3, 7, 11)"), n, links(spark, sf_dir), 5, simulation=True, ways=False)
     return hit.agg(F.count(F.lit(1)).alias("sum_of_parts"), F.count_distinct("node").alias("total"), F.bool_and("simulation").alias("simulation"))
 
 
 @query("gra24_layers", _MULTI + "SELECT origin, hop, entity_type, count(*) AS n FROM reach LEFT JOIN nodes USING (node) GROUP BY ALL")
 def layers(spark, sf_dir):
-    hit = impact.propagate(_from(spark, sf_dir, "LOCATION", "key IN (3, 7, 11)"), nodes(spark, sf_dir), links(spark, sf_dir), 5, paths=False)
+    n = nodes(spark, sf_dir)
+    hit = impact.propagate(_of(n, "LOCATION", "key IN (3, 7, 11)"), n, links(spark, sf_dir), 5, ways=False)
     return hit.groupBy("origin", "hop", "entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Tables that are derived once a session: (application, name) -> path.
 _STORED: dict[tuple[str, str], str] = {}
@@ -29,9 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored(spark: SparkSession, name: str, derive) -> DataFrame:
-    """The table that derive() makes, kept for the session: later calls with the same name read what the first one wrote."""
-    key = (spark.sparkContext.applicationId, name)
+def state(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the names, sizes and times of the files under the paths; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "length", "modificationTime")
+    found = files.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("h")).first()
+    return f"{found.n} {found.h}"
+
+
+def stored(spark: SparkSession, name: str, inputs: list[str], derive) -> DataFrame:
+    """The table that derive() makes of the inputs, kept for the session: later calls with the same name read what the first
+    one wrote, as long as the files of the inputs are the same."""
+    key = (spark.sparkContext.applicationId, f"{name} {' '.join(inputs)} {state(spark, inputs)}")
     if key not in _STORED:
         path = f"{folder(spark)}/stored-{uuid.uuid4().hex}"
         derive().write.parquet(path)

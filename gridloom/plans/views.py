@@ -60,9 +60,13 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.unionByName(runs).unionByName(serves).unionByName(uses).unionByName(feeds).unionByName(backup)
 
 
-def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges that carry impact, prepared for traversals once a session: the graph as it is kept."""
-    return stored(spark, f"links {sf_dir}", lambda: impact.links(edges(spark, sf_dir)))
+GRAPH_TABLES = ["nation", "region", "supplier", "customer", "part", "orders", "lineitem"]
+
+
+def links(spark: SparkSession, sf_dir: str, reverse: bool = False) -> DataFrame:
+    """The edges that carry impact, prepared for traversals once a session and state of the tables: the graph as it is kept."""
+    derive = lambda: impact.links(edges(spark, sf_dir), nodes=nodes(spark, sf_dir), reverse=reverse)
+    return stored(spark, f"links {reverse}", [f"{sf_dir}/{t}.parquet" for t in GRAPH_TABLES], derive)
 
 
 NODES_SQL = f"""nodes AS (

@@ -117,3 +117,29 @@ def test_mitigated_path_and_history(spark):
     names = spark.createDataFrame([("A",)], "name string")
     assert [r.incident_id for r in impact.history(inc, names).orderBy("position").collect()] == [2, 1, 3]
     assert [r.incident_id for r in impact.history(inc, names, since="2024-01-15").collect()] == [2]
+
+
+def test_bitmaps_and_hubs_give_what_the_ways_give(spark, monkeypatch):
+    """More origins than a word has bits, an origin that starts elsewhere, halted projects, a hub of half of all edges."""
+    rng = random.Random(12)
+    names = [f"n{k}" for k in range(90)]
+    kinds = [(x, rng.choice(["SYSTEM", "PROJECT"]), rng.choice(["ACTIVE", "PLANNED"])) for x in names]
+    edges = [(rng.choice(names), rng.choice(names), rng.choice(["FEEDS", "USES"]), rng.choice(list(impact.RANK)), rng.random() < 0.5) for _ in range(150)]
+    edges += [("n0", rng.choice(names), "FEEDS", rng.choice(list(impact.RANK)), False) for _ in range(150)]
+    n, e = graph(spark, kinds, edges)
+    start = spark.createDataFrame([(x, x) for x in names[:80]] + [("both", "n1"), ("both", "n2")], "origin string, node string")
+    shown = ["origin", "node", "hop", "edge_criticality", "edge_mitigated"]
+    rows = lambda df: sorted(map(tuple, df.select(*shown).collect()))
+    want = rows(impact.traverse(start, e, n, 4, paths=False))
+    assert rows(impact.reach(start, e, n, 4)) == want and len(want) > 500
+    monkeypatch.setattr(impact, "HUB_EDGES", 20)
+    ready = impact.links(e, nodes=n)
+    of_hub = ready.filter("src = 'n0'")
+    assert of_hub.select("deal").distinct().count() > 4 and of_hub.groupBy("deal").count().agg(F.max("count")).first()[0] < 60
+    assert rows(impact.reach(start, ready, n, 4)) == want
+    assert rows(impact.traverse(start, ready, n, 4, paths=False)) == want
+    back = impact.traverse(start, e, None, 3, halt=False, reverse=True, paths=False)
+    assert sorted((r.origin, r.node, r.hop) for r in impact.dependents(start, n, impact.links(e, reverse=True)).collect()) == sorted((r.origin, r.node, r.hop) for r in back.collect())
+    counts = {r.origin: r.downstream for r in impact.downstream_counts(start, ready, 4).collect()}
+    plain = {r.origin: r["count"] for r in impact.traverse(start, e, None, 4, halt=False, paths=False).groupBy("origin").count().collect()}
+    assert counts == {x: plain.get(x, 0) for x in [*names[:80], "both"]}
