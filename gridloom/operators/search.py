@@ -101,6 +101,70 @@ def knn(queries: DataFrame, docs: DataFrame, k: int = 10, block_rows: int = 4096
     return top_k(scored, k)
 
 
+#: Projections of a vector's signature, hash tables, and buckets that a query looks into in each table.
+SIGNATURE_BITS, TABLES, PROBES = 256, 24, 9
+#: Distinct vectors that a bucket holds on average.
+BUCKET_ROWS = 64
+
+
+def _signed(rows: DataFrame, tables: int, bits: int, probes: int, seed: int) -> DataFrame:
+    """(key, v, sign, tab, bucket): the signs of a vector's projections, and for each hash table the bucket that `bits` of
+    them name, with the probes - 1 buckets that differ in one of the signs nearest to zero."""
+
+    def scan(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        rng, planes = np.random.default_rng(seed), {}
+        picked = np.stack([rng.permutation(SIGNATURE_BITS)[:bits] for _ in range(tables)])
+        powers = 1 << np.arange(bits)
+        for b in batches:
+            for row in range(b.num_rows):  # lengths may differ
+                v = np.array(b.column(1)[row].as_py(), float)
+                if len(v) not in planes:
+                    planes[len(v)] = np.random.default_rng([seed, len(v)]).standard_normal((len(v), SIGNATURE_BITS))
+                p = v @ planes[len(v)]
+                sign = np.packbits(p > 0).view(np.int64)
+                of_table = p[picked]
+                own = (of_table > 0) @ powers
+                near = np.argsort(np.abs(of_table), axis=1)[:, : probes - 1]
+                found = np.concatenate([own[:, None], own[:, None] ^ powers[near]], 1)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, 1), b.column(1).slice(row, 1), pa.array([sign.tolist()], pa.list_(pa.int64())), pa.array([found.tolist()], pa.list_(pa.list_(pa.int64())))], ["key", "v", "sign", "found"])
+
+    signed = rows.select("key", F.col("v").cast("array<double>").alias("v")).mapInArrow(scan, "key long, v array<double>, sign array<long>, found array<array<long>>")
+    each = signed.select("key", "v", "sign", F.posexplode("found").alias("tab", "buckets"))
+    return each.select("key", "v", "sign", "tab", F.explode("buckets").alias("bucket"))
+
+
+def candidate_knn(queries: DataFrame, docs: DataFrame, k: int = 10, candidates: int | None = None, tables: int = TABLES, probes: int = PROBES, seed: int = 7) -> DataFrame:
+    """Approximate top k by cosine of queries (query_id, v) over docs (id, v), which are filtered before (see `allowed`).
+
+    Hash tables of sign projections give the docs to look at, with probing of near buckets; the number of buckets follows
+    the distinct vectors. Of those met, the max(100, 10 k) whose signatures differ least are scored exactly. Equal vectors
+    are one entry, so copies of one vector make no hot bucket; each entry hands in its k first ids. Vectors that are null,
+    empty, zero or hold null or non-finite components take no part. Ids are numbers.
+    """
+    most = candidates or max(100, 10 * k)
+    squares = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    fine = lambda c: F.coalesce((F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & (squares(c) > 0), F.lit(False))
+    d, q = docs.select("id", "v").filter(fine(F.col("v"))), queries.select("query_id", "v").filter(fine(F.col("v")))
+    w = W.partitionBy("v").orderBy("id")
+    members = d.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= k).join(d.groupBy("v").agg(F.min("id").alias("key")), "v").select("key", "id")
+    entries, asked = cut(d.groupBy("v").agg(F.min("id").alias("key"))), cut(q.groupBy("v").agg(F.min("query_id").alias("key")))
+    bits = min(40, max(1, (entries.count() // BUCKET_ROWS).bit_length()))
+    left = _signed(asked, tables, bits, min(probes, bits + 1), seed).select(F.col("key").alias("q"), F.col("sign").alias("q_sign"), "tab", "bucket")
+    right = cut(_signed(entries, tables, bits, 1, seed).select("key", "sign", "tab", "bucket"))
+    apart = F.aggregate(F.zip_with("q_sign", "sign", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    met = left.join(right, ["tab", "bucket"]).groupBy("q", "key").agg(F.min(apart).alias("apart"))
+    near = met.withColumn("at", F.row_number().over(W.partitionBy("q").orderBy("apart", "key"))).filter(F.col("at") <= most).select("q", "key")
+    dot = F.aggregate(F.zip_with("q_v", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    scored = near.join(entries, "key").join(asked.select(F.col("key").alias("q"), F.col("v").alias("q_v")), "q").filter(F.size("v") == F.size("q_v"))
+    scored = scored.select("q", "key", F.round(dot / F.sqrt(squares("q_v") * squares("v")), 6).alias("score"))
+    best = cut(top_k(scored.withColumnRenamed("q", "query_id").withColumnRenamed("key", "id"), k).select(F.col("query_id").alias("q"), F.col("id").alias("key"), "score"))
+    asking = q.join(asked.select("v", F.col("key").alias("q")), "v").select("query_id", "q")
+    return top_k(asking.join(best, "q").join(members, "key").select("query_id", "id", "score"), k)
+
+
 def fuse(lists: list[DataFrame], k: int = 10, constant: int = 20) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (query_id, id, rank)."""
     union = reduce(DataFrame.unionByName, [x.select("query_id", "id", "rank") for x in lists])

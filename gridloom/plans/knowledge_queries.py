@@ -300,6 +300,12 @@ def exact_knn(spark, sf_dir):
     return search.knn(v.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), v, 10).select("query_id", "id", "rank", "score")
 
 
+@query("sea04_candidate_knn")
+def candidate_knn(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return search.candidate_knn(v.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), v, 10).select("query_id", "id", "rank", "score")
+
+
 @query("sea05_hybrid_fusion", f"""WITH {_KNN}, l AS (SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) AS rank FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0),
 u AS (SELECT query_id, id, round(sum(1.0 / (20 + rank)), 6)::DOUBLE AS score FROM (SELECT query_id, id, rank FROM k WHERE rank <= 20 UNION ALL SELECT * FROM l WHERE rank <= 20) GROUP BY ALL), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM u)
 SELECT query_id, id, score FROM f WHERE rank <= 10""")
