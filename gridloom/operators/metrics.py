@@ -87,3 +87,13 @@ def unapplied(events: DataFrame, applied: DataFrame, key: str) -> DataFrame:
 def ingestion_summary(rows: DataFrame, source: str, committed: Column) -> DataFrame:
     """Rows, committed ones and those for review, per source and in all."""
     return rows.rollup(source).agg(F.count(F.lit(1)).alias("total"), F.count_if(committed).alias("committed"), F.count_if(~committed).alias("review"))
+
+
+def ingestion_result(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """Per source: total, committed and review rows, matched, new and ambiguous ones, and what is written: a node for each new
+    name and an edge for each committed row. rows: with the outcome of their resolution; ambiguous ones go to review."""
+    of = lambda c: F.count_if(c)
+    kind = F.col("outcome")
+    return rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("total"), of(kind != "ambiguous").alias("committed"), of(kind == "ambiguous").alias("review"), of(kind == "matched").alias("matched"), of(kind == "new").alias("new"),
+        of(kind == "ambiguous").alias("ambiguous"), F.count_distinct(F.when(kind == "new", F.col(name))).alias("new_nodes"), of(kind != "ambiguous").alias("new_edges"))

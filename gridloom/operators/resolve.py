@@ -126,3 +126,16 @@ def resolve(mentions: DataFrame, known: DataFrame, threshold: float = 0.88, best
     fuzzy = found.join(known.select("reg_seq", "concept_id"), "reg_seq").select("id", "concept_id", "score", F.lit("similar").alias("how"))
     hit = exact.unionByName(fuzzy)
     return hit.unionByName(mentions.join(hit.select("id"), "id", "left_anti").select("id", F.lit(None).cast("string").alias("concept_id"), F.lit(None).cast("double").alias("score"), F.lit("none").alias("how")))
+
+
+def outcomes(mentions: DataFrame, known: DataFrame, threshold: float | None = 0.88) -> DataFrame:
+    """id, n_candidates, outcome of each mention (id, norm): how many concepts of known (norm, concept_id) have its name or,
+    with a threshold, one that similar: none is new, one matched, more ambiguous. A null name is new."""
+    names = mentions.select("norm").filter("norm IS NOT NULL").distinct()
+    found = names.join(known.select("norm", "concept_id"), "norm").select("norm", "concept_id")
+    if threshold is not None:
+        near = similar_pairs(names.select(F.col("norm").alias("id"), "norm"), known.select(F.col("concept_id").alias("id"), "norm").distinct(), threshold)
+        found = found.unionByName(near.select(F.col("left_id").alias("norm"), F.col("right_id").alias("concept_id")))
+    counts = found.distinct().groupBy("norm").agg(F.count(F.lit(1)).alias("n_candidates"))
+    n = F.coalesce("n_candidates", F.lit(0))
+    return mentions.select("id", "norm").join(counts, "norm", "left").select("id", n.alias("n_candidates"), F.when(n == 0, "new").when(n == 1, "matched").otherwise("ambiguous").alias("outcome"))
