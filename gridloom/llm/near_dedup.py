@@ -1,20 +1,24 @@
 """Near-duplicate detection by order MinHash, verified by banded alignment.
 
-A text is its sequence of words and of five-word shingles (a shorter text is one shingle). Shingles are labelled with
-their occurrence number, so repeats differ. Each of SKETCHES hash functions picks the PICKS labelled shingles with the
-smallest values and keeps them in text order: two texts share the sketch only if they share the shingles and their
-order, so sketches are sensitive to edit similarity. Two texts are linked if an alignment matches at least SIMILARITY of
-the words of the longer one, in order. Texts that share 0.8 of their five-word shingles in order always do. The
-alignment runs in a band, which is widened up to the width beyond which SIMILARITY cannot be reached. A class is a
-connected component of links. Texts with the same words are one node from the start.
+Two texts are linked if an alignment matches at least SIMILARITY of the words of the longer one, in order. Texts that
+share 0.8 of their five-word shingles in order always do. The alignment runs in a band, which is widened up to the width
+beyond which SIMILARITY cannot be reached. A class is a connected component of links. Texts with the same words are one
+node from the start.
+
+Candidates come from order MinHash of a text's k-mers of KMER words, which are labelled with their occurrence number, so
+repeats differ. Each of SKETCHES hash functions picks the PICKS labelled k-mers with the smallest values and keeps them in
+text order: two texts share the sketch only if they share the k-mers and their order, so sketches are sensitive to edit
+similarity. Two-word k-mers survive one changed word in seven; five-word ones mostly do not. Linked texts of up to
+SHORT words differ by one word at most; they share an exact key, the words with one of them left out.
 
 In each bucket of equal sketches a member is first paired with one node, the first member by digest of most of its
 buckets. Buckets whose members are not yet all of one class go on in rounds: the members with the most and the fewest
 links are the bucket's ends, more of them in each round, and meet every member that has not been an end and is of another
 class. A bucket is done when the members that were no end are of one class, so no link within a bucket is missed, while
-n copies of one text make about n pairs. Only members that are unlike one another take all pairs.
-A pair that shares the part J of its shingles shares a sketch with probability of about J**PICKS, so it has no bucket in
-common with probability 3e-6 at J = 0.8, 1 % at 0.65 and 20 % at 0.5 (one word in ten changed, each far from the others).
+n copies of one text make about n pairs. Before a pair becomes a row, two bitmaps of the texts' words tell whether it can
+be linked at all: a word whose bit the other text lacks is unmatched. That rules out most texts that only share a passage,
+and no link. A pair that shares the part J of its k-mers has no bucket in common with probability (1 - J**PICKS)**SKETCHES:
+0.5 % with one word in ten changed (J = 2/3), 5 % measured with one in seven.
 
 Defined results: a null text is the empty text. Texts without a word are equal if identical. A null id counts as larger
 than any other: a class with null ids only has the class id null. Repeated rows are members like any other. An empty
@@ -33,16 +37,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gridloom.llm.shared import cut, join_unique
+from gridloom.llm.shared import HOT_SHARE, cut, join_unique
 from gridloom.llm.words import balanced
 
-SHINGLE = 5
+KMER = 2
 #: Least share of the longer text's words that match in order.
 SIMILARITY = 0.85
 SKETCHES = 24
 PICKS = 4
+#: Texts of as many words may be linked with one word changed, the longer ones with more: floor((1 - SIMILARITY) n) is 1.
+LEAST_SHORT, SHORT = 6, 13
+#: Bits of a text's words, 64 in a number.
+BITS = 1024
 WORD = re.compile(r"\w+")
-SIGNATURE = "doc_id long, text_hash long, node binary, n_shingles long, sketches array<long>"
+SIGNATURE = "doc_id long, text_hash long, node binary, n_words long, bits array<long>, sketches array<long>"
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(11)
 MULTIPLY = _RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -56,6 +64,8 @@ BAND_ROWS = 2048
 FEW_LINKS = 200_000
 #: Most parts of a bucket that give an end of either kind in a round; larger buckets take more rounds.
 MOST_SLOTS = 1024
+#: Bytes of an end, and of the ends of all hot buckets, which are broadcast.
+END_BYTES, ENDS_BYTES = 300, 64 << 20
 
 
 class Hasher:
@@ -84,11 +94,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
-    """Hashes of successive five words; one for a shorter text; none for no words."""
+    """Hashes of successive KMER words; one for a shorter text; none for no words."""
     n = len(hashes)
     if not n:
         return hashes
-    width = min(SHINGLE, n)
+    width = min(KMER, n)
     out = np.zeros(n - width + 1, np.uint64)
     for k in range(width):
         out = mix(out + hashes[k : n - width + 1 + k])
@@ -123,6 +133,28 @@ def sketches(s: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def left_out(h: np.ndarray) -> list[int]:
+    """Keys of a short text: its words, and its words without each one of them."""
+    if not LEAST_SHORT <= len(h) <= SHORT:
+        return []
+
+    def key(words: np.ndarray) -> np.uint64:
+        x = np.uint64(len(words))
+        for w in words:
+            x = mix(x + w)
+        return x
+
+    with np.errstate(over="ignore"):
+        return np.unique(np.array([key(h), *(key(np.delete(h, k)) for k in range(len(h)))], np.uint64)).view(np.int64).tolist()
+
+
+def bits_of(h: np.ndarray) -> np.ndarray:
+    """A bit for each of the words."""
+    held = np.zeros(BITS, bool)
+    held[(h >> np.uint64(20)) % np.uint64(BITS)] = True
+    return np.packbits(held).view(np.int64)
+
+
 def node_of(words: list[str], text: str) -> bytes:
     """16 bytes that stand for the words in order, or for the text if it has none."""
     return hashlib.blake2b(("\x01" + " ".join(words) if words else "\x02" + text).encode(), digest_size=16).digest()
@@ -133,16 +165,17 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         hasher = Hasher()
         pairs = (pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([b.column(0), b.column(2)], ["i", "h"]), b.column(1)], ["id", "text"]) for b in batches)
         for ids, texts in balanced(pairs):
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, bits, keys = [], [], [], []
             for t in texts:
                 words = hasher.words(t)
-                s = shingles(hasher.hashes(words))
+                h = hasher.hashes(words)
                 nodes.append(node_of(words, t))
-                sizes.append(len(s))
-                keys.append(sketches(s) if len(s) else [])
+                sizes.append(len(h))
+                bits.append(bits_of(h))
+                keys.append([*sketches(shingles(h)).tolist(), *left_out(h)] if len(h) else [])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x["i"] for x in ids], pa.int64()), pa.array([x["h"] for x in ids], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "node", "n_shingles", "sketches"],
+                [pa.array([x["i"] for x in ids], pa.int64()), pa.array([x["h"] for x in ids], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "node", "n_words", "bits", "sketches"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -232,11 +265,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def buckets(nodes: DataFrame) -> DataFrame:
     """(key, node, size, first, last, n): the members of each bucket of n > 1 nodes with its first and last node; size is the
-    number of shingles of a member."""
-    members = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("sketches").alias("key"))
+    number of words of a member."""
+    members = nodes.select("node", F.col("n_words").alias("size"), F.explode("sketches").alias("key"))
     ends = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     ends = cut(ends, "buckets")
-    return join_unique(members, ends, ["key"], "n", max(1, nodes.count() * SKETCHES))
+    return join_unique(members, ends, ["key"], "n", max(1, members.count()))
 
 
 def candidates(members: DataFrame) -> DataFrame:
@@ -249,16 +282,25 @@ def candidates(members: DataFrame) -> DataFrame:
     return small.unionByName(large).distinct()
 
 
-def alike_in_size(a: Column, b: Column) -> Column:
-    """Whether texts with a and b shingles can be linked: the shorter one must have SIMILARITY of the words of the longer one."""
-    more = SHINGLE - 1  # words beyond the shingles; at most so many for a text that is one shingle
-    return F.least(a, b) + more >= SIMILARITY * (F.greatest(a, b) + more) - 1e-6
+def linkable(size_a: Column, bits_a: Column, size_b: Column, bits_b: Column) -> Column:
+    """Whether texts of these numbers and bitmaps of words can be linked: at most size - need of a text's words are unmatched,
+    and a word is if the other text lacks its bit."""
+    need = F.ceil(SIMILARITY * F.greatest(size_a, size_b) - 1e-9)
+    lacking = lambda a, b: sum((F.bit_count(F.get(a, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(k))))) for k in range(BITS // 64)), F.lit(0))
+    return (F.least(size_a, size_b) >= need) & (lacking(bits_a, bits_b) <= size_a - need) & (lacking(bits_b, bits_a) <= size_b - need)
+
+
+def possible(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """The pairs (a, b) that can be linked. words: (node, size, bits)."""
+    of = lambda end: words.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("bits").alias(f"bits_{end}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
+    return both.filter(linkable(F.col("size_a"), F.col("bits_a"), F.col("size_b"), F.col("bits_b"))).select("a", "b")
 
 
 def new_candidates(members: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (key, node, size, root, ends, is_end) of another class than the end b, of a size with which they
+    """Pairs (a, b) of members (key, node, size, bits, root, ends, is_end) of another class than the end b, with which they
     can be linked, that are not in tested, with the classes root_a and root_b."""
-    meet = F.filter("ends", lambda e: (e["root"] != F.col("root")) & alike_in_size(e["size"], F.col("size")))
+    meet = F.filter("ends", lambda e: (e["root"] != F.col("root")) & linkable(e["size"], e["bits"], F.col("size"), F.col("bits")))
     pairs = members.select(F.col("node").alias("a"), "root", "is_end", F.explode(meet).alias("end"))
     pairs = pairs.filter("NOT is_end OR a < end.node").select("a", F.col("end.node").alias("b"), F.col("root").alias("root_a"), F.col("end.root").alias("root_b"))
     pairs = pairs.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).dropDuplicates(["low", "high"])
@@ -272,23 +314,26 @@ def with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
     return cut(degrees.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "linked")
 
 
-def linked(members: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of the nodes with a link to another in their bucket. pairs: the candidates of the first round.
+def linked(members: DataFrame, pairs: DataFrame, texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(node, root) of the nodes with a link to another in their bucket. pairs: the candidates of the first round; words: as
+    for `possible`.
 
     A pair that is left untested joins two nodes of one class."""
-    links = cut(verified(pairs.select("a", "b"), texts), "verified")
+    links = cut(verified(possible(pairs.select("a", "b"), words), texts), "verified")
     roots, tested, slots = components(links), pairs, 1
     state = with_links(roots, links)
     left = members.filter("n > 3").select("key", "node", "size")
     while True:
-        left = left.join(state, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        left = left.select("key", "node", "size").join(state, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
         left = cut(left, "members-left")
         several = cut(left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", "n"), "open-buckets")
         if several.isEmpty():
             return roots
         total = left.count()
-        left = cut(join_unique(left, several, ["key"], "n", total), "open-members")
-        rank = F.struct("degree", "node", "root", "size")
+        left = cut(join_unique(left, several, ["key"], "n", total).join(words.select("node", "bits"), "node"), "open-members")
+        rank = F.struct("degree", "node", "root", "size", "bits")
+        n_hot = several.filter(F.col("n") > total * HOT_SHARE).count()
+        slots = min(slots, max(8, ENDS_BYTES // (2 * END_BYTES * max(1, n_hot))))
         ends = left.groupBy("key", F.pmod(F.xxhash64("node", "key"), F.lit(slots)).alias("slot")).agg(F.max(rank).alias("most"), F.min(rank).alias("least"), F.first("n").alias("n"))
         ends = ends.select("key", "n", F.explode(F.array_distinct(F.array("most", "least"))).alias("end"))
         ends = cut(ends.groupBy("key").agg(F.collect_list("end").alias("ends"), F.first("n").alias("n")), "new-ends")
@@ -371,16 +416,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     that id, those with the class's first text of that id).
     """
     rows = cut(signatures(docs, id_col, text_col), "signatures")
-    nodes = cut(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sketches").alias("sketches")).select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "n", "n_shingles", "sketches"), "nodes")
-    members = cut(buckets(nodes.filter("n_shingles > 0")), "members")
+    nodes = cut(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words"), F.first("bits").alias("bits"), F.first("sketches").alias("sketches")).select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "n", "n_words", "bits", "sketches"), "nodes")
+    members = cut(buckets(nodes.filter("n_words > 0")), "members")
     pairs = cut(candidates(members), "candidates")
     needed = members.select("node").distinct()
     reps = nodes.select("node", "rep", "rep_hash").join(needed, "node")
     texts = cut(_texts_of(docs, reps, id_col, text_col), "candidate-texts")
-    roots = linked(members, pairs, texts)
+    roots = linked(members, pairs, texts, nodes.select("node", F.col("n_words").alias("size"), "bits"))
     each = nodes.select("node", "rep", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = each.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("first"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
-    unique = cut(each.join(by_root, "root").select("node", "n", F.col("first.rep").alias("class_id"), "class_size", "n_texts", (F.col("first.node") == F.col("node")).alias("stays")), "classes")
+    unique = cut(join_unique(each, by_root, ["root"], "n_texts", nodes.count()).select("node", "n", F.col("first.rep").alias("class_id"), "class_size", "n_texts", (F.col("first.node") == F.col("node")).alias("stays")), "classes")
     out = join_unique(rows.select("doc_id", "text_hash", "node"), unique, ["node"], "n", rows.count())
     return out.select("doc_id", "text_hash", "class_id", "class_size", "n_texts", (F.col("stays") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
 

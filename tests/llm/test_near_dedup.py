@@ -184,3 +184,68 @@ def test_members_of_a_bucket_all_meet(spark):
         t[k : k + size] = [f"x{rng.randrange(40)}" for _ in range(size)]
         texts.append(" ".join(t))
     check(spark.createDataFrame([(k, t, "", "", 0) for k, t in enumerate(texts)], DOCS))
+
+
+def edited(rng, words, how, share):
+    """words with a share of them changed, left out or doubled by others, at least one."""
+    t, out = list(words), []
+    at = set(rng.sample(range(len(t)), max(1, int(share * len(t)))))
+    for k, w in enumerate(t):
+        other = f"e{rng.getrandbits(40)}"
+        out += [w] if k not in at else {"change": [other], "drop": [], "add": [w, other]}[how]
+    return out
+
+
+@pytest.mark.parametrize("how", ["change", "drop", "add"])
+def test_linked_pairs_share_a_key(how):
+    """Recall of candidates among the pairs that the rule links, by length and share of edited words."""
+    rng, hasher = random.Random(17), nd.Hasher()
+    for n in (6, 7, 8, 10, 13, 15, 20, 30, 60, 200):
+        for share in (0.01, 0.05, 0.1, 0.13):
+            found = linked = 0
+            for _ in range(100):
+                a = [f"w{rng.getrandbits(40)}" for _ in range(n)]
+                x, y = hasher.hashes(a), hasher.hashes(edited(rng, a, how, share))
+                if nd.similar(x, y):
+                    linked += 1
+                    keys = [set(nd.sketches(nd.shingles(h)).tolist() + nd.left_out(h)) for h in (x, y)]
+                    found += bool(keys[0] & keys[1])
+            assert found >= 0.9 * linked, (n, share, found, linked)
+            if linked and n <= nd.SHORT - 1:
+                assert found == linked
+
+
+def test_bitmaps_rule_out_no_link_and_most_shared_passages(spark):
+    rng, hasher = random.Random(18), nd.Hasher()
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows, linked = [], []
+    for k in range(300):
+        a = [rng.choice(vocabulary) for _ in range(rng.choice([5, 20, 80, 300]))]
+        b = edited(rng, a, rng.choice(["change", "drop", "add"]), rng.choice([0.02, 0.1, 0.2]))
+        x, y = hasher.hashes(a), hasher.hashes(b)
+        rows.append((k, len(x), nd.bits_of(x).tolist(), len(y), nd.bits_of(y).tolist()))
+        if nd.similar(x, y):
+            linked.append(k)
+    df = spark.createDataFrame(rows, "k long, n long, p array<long>, m long, q array<long>")
+    fit = {r.k for r in df.filter(nd.linkable(df.n, df.p, df.m, df.q)).collect()}
+    assert set(linked) <= fit and len(linked) > 100
+    passage = [f"p{k}" for k in range(120)]
+    h = [nd.bits_of(hasher.hashes(passage + [f"t{k}x{j}" for j in range(60)])).tolist() for k in range(80)]
+    pairs = spark.createDataFrame([(h[i], h[j]) for i in range(80) for j in range(i)], "p array<long>, q array<long>").withColumns({"n": nd.F.lit(180), "m": nd.F.lit(180)})
+    assert pairs.filter(nd.linkable(pairs.n, pairs.p, pairs.m, pairs.q)).count() < 0.02 * 80 * 79 / 2
+
+
+def test_passages_make_few_alignments(spark, monkeypatch):
+    """Texts that share two thirds of their words and are no near copies: hardly a pair goes to the alignment."""
+    passage = [f"p{k}" for k in range(120)]
+    rows = [(k, " ".join(passage[:50] + [f"t{k}x{j}" for j in range(60)] + passage[50:]), "", "", 0) for k in range(150)]
+    asked = []
+    verify = nd.verified
+
+    def counted(pairs, texts):
+        asked.append(pairs.count())
+        return verify(pairs, texts)
+
+    monkeypatch.setattr(nd, "verified", counted)
+    got = nd.classes(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.class_size for r in got} == {1} and sum(asked) < 300
