@@ -264,16 +264,59 @@ def downstream_counts(origins: DataFrame, edges: DataFrame, max_depth: int = 10)
     return counted(origins, edges, max_depth)
 
 
+def _level(own: DataFrame, one: DataFrame, before: DataFrame) -> DataFrame:
+    """(node, sketch) of a level: own sketches (node, sketch) with those of the level before of the successors."""
+    taken = one.join(before.select(F.col("node").alias("dst"), "sketch"), "dst").select(F.col("src").alias("node"), "sketch")
+    return own.select("node", "sketch").unionByName(taken).groupBy("node").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def _own_sketches(nodes: DataFrame, lg_k: int) -> DataFrame:
+    return nodes.groupBy("node").agg(F.hll_sketch_agg(F.col("node"), F.lit(lg_k)).alias("sketch"))
+
+
+def downstream_sketches(nodes: DataFrame, edges: DataFrame, max_depth: int = 10, lg_k: int = 12) -> DataFrame:
+    """(node, level, sketch): for each node and number of hops up to max_depth, a sketch of the distinct nodes that it reaches
+    with so many, itself included. Sketches have a fixed size, so a level costs the edges, however many nodes are reached."""
+    e = edges if "rank" in edges.columns else cut(links(edges))
+    own, one = cut(_own_sketches(nodes, lg_k)), e.select("src", "dst").distinct()
+    levels = [own.withColumn("level", F.lit(0))]
+    for level in range(1, max_depth + 1):
+        levels.append(cut(_level(levels[-1], one, levels[-1]).withColumn("level", F.lit(level))))
+    return reduce(DataFrame.unionByName, levels).select("node", "level", "sketch")
+
+
+def estimates(sketches: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(node, downstream) from the last level of `downstream_sketches`."""
+    return sketches.filter(F.col("level") == max_depth).select("node", F.greatest(F.hll_sketch_estimate("sketch") - 1, F.lit(0)).alias("downstream"))
+
+
 def downstream_estimates(nodes: DataFrame, edges: DataFrame, max_depth: int = 10, lg_k: int = 12) -> DataFrame:
-    """(node, downstream): estimates for all nodes at once, by a sketch of distinct nodes per node that takes up its
-    successors' sketches hop by hop. Sketches have a fixed size, so a hop costs the edges, however many nodes are reached."""
+    """(node, downstream): estimates for all nodes at once, by sketches of distinct nodes."""
+    return estimates(downstream_sketches(nodes, edges, max_depth, lg_k), max_depth)
+
+
+def refreshed_sketches(sketches: DataFrame, nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_depth: int = 10, lg_k: int = 12) -> DataFrame:
+    """sketches (as of before) after the edges that leave the changed nodes (column node) did.
+
+    A node that is k hops above a changed one has other sketches from level k + 1 on only, and no other node has any: these
+    sketches are made anew from the level before, the others stay. nodes: all nodes now; edges: all edges now."""
     e = edges if "rank" in edges.columns else cut(links(edges))
-    own = nodes.groupBy("node").agg(F.hll_sketch_agg(F.col("node"), F.lit(lg_k)).alias("sketch"))
-    sketches, one = cut(own), e.select("src", "dst").distinct()
-    for _ in range(max_depth):
-        taken = one.join(sketches.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "sketch")
-        sketches = cut(sketches.unionByName(taken).groupBy("node").agg(F.hll_union_agg("sketch").alias("sketch")))
-    return sketches.select("node", F.greatest(F.hll_sketch_estimate("sketch") - 1, F.lit(0)).alias("downstream"))
+    one = cut(e.select("src", "dst").distinct())
+    changed = changed.select("node").distinct()
+    _, above = frontiers(changed.select(F.lit("changed").alias("origin"), "node"), e, None, max(1, max_depth - 1), halt=False, reverse=True)
+    affected = cut(changed.withColumn("hop", F.lit(0)).unionByName(above.select("node", "hop").filter(F.col("hop") < max_depth)))
+    known = sketches.filter("level = 0").select("node")
+    new = cut(_own_sketches(nodes.select("node").unionByName(changed).join(known, "node", "left_anti"), lg_k))
+    old = sketches.unionByName(new.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max_depth)))).select("node", "level", "sketch"))
+    stays = cut(old.join(affected, "node", "left").filter("hop IS NULL OR level <= hop").select("node", "level", "sketch"))
+    out, before = stays, stays.filter("level = 0")
+    for level in range(1, max_depth + 1):
+        todo = affected.filter(F.col("hop") < level).select("node")
+        same = before.join(todo, "node", "left_semi")
+        made = cut(_level(same, one.join(todo.withColumnRenamed("node", "src"), "src", "left_semi"), before).withColumn("level", F.lit(level)).select("node", "level", "sketch"))
+        out = out.unionByName(made)
+        before = stays.filter(F.col("level") == level).unionByName(made)
+    return out
 
 
 def single_points(nodes: DataFrame, counts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as fn
-from gridloom.operators import folds, hierarchy, metrics, records, search
+from gridloom.operators import folds, hierarchy, impact, metrics, records, search
 from gridloom.plans.knowledge_queries import _CLOSED, hierarchy_edges
 from gridloom.plans.registry import query
 from gridloom.plans.views import table
@@ -234,10 +234,27 @@ def keyed_order(spark, sf_dir):
     return messages.out_of_order(m).select("event_id", "number", "late")
 
 
-@query("str10_refreshed_ancestors", _CLOSED.replace("h AS (", "h0 AS (", 1).replace("), up(", "), h AS (SELECT child_id, CASE WHEN child_id = 'LOC-1' THEN 'REG-0' WHEN child_id LIKE 'DEPT-%' AND parent_id = 'LOC-2' THEN 'LOC-3' ELSE parent_id END AS parent_id, relation FROM h0), up(", 1) + " SELECT concept_id, ancestor_id, depth, relation_path FROM c")
-def refreshed_ancestors(spark, sf_dir):
+_MOVED = _CLOSED.replace("h AS (", "h0 AS (", 1).replace("), up(", "), h AS (SELECT child_id, CASE WHEN child_id = 'LOC-1' THEN 'REG-0' WHEN child_id LIKE 'DEPT-%' AND parent_id = 'LOC-2' THEN 'LOC-3' ELSE parent_id END AS parent_id, relation FROM h0), up(", 1)
+
+
+def _moved(spark, sf_dir):
+    """The hierarchy before and after some moves, and the concepts that moved."""
     old = hierarchy_edges(spark, sf_dir)
     moved = F.when(F.col("child_id") == "LOC-1", "REG-0").when(F.col("child_id").startswith("DEPT-") & (F.col("parent_id") == "LOC-2"), "LOC-3")
-    new = old.withColumn("parent_id", F.coalesce(moved, F.col("parent_id")))
-    changed = old.filter(moved.isNotNull()).select(F.col("child_id").alias("concept_id")).distinct()
+    return old, old.withColumn("parent_id", F.coalesce(moved, F.col("parent_id"))), old.filter(moved.isNotNull()).select(F.col("child_id").alias("concept_id")).distinct()
+
+
+@query("str10_refreshed_ancestors", _MOVED + " SELECT concept_id, ancestor_id, depth, relation_path FROM c")
+def refreshed_ancestors(spark, sf_dir):
+    old, new, changed = _moved(spark, sf_dir)
     return hierarchy.refreshed(hierarchy.closure(old), new, changed).select("concept_id", "ancestor_id", "depth", "relation_path")
+
+
+@query("str10_refreshed_downstream", _MOVED + ", n AS (SELECT child_id AS node FROM h UNION SELECT parent_id FROM h) SELECT node, count(c.ancestor_id) AS downstream FROM n LEFT JOIN c ON c.concept_id = node GROUP BY node")
+def refreshed_downstream(spark, sf_dir):
+    """Counts of what concepts lead to; sketches of so few nodes are exact."""
+    old, new, changed = _moved(spark, sf_dir)
+    graph = lambda e: e.select(F.col("child_id").alias("src"), F.col("parent_id").alias("dst"), F.lit("FEEDS").alias("edge_type"), F.lit("LOW").alias("criticality"), F.lit(False).alias("mitigated"))
+    n = new.select(F.col("child_id").alias("node")).unionByName(new.select(F.col("parent_id").alias("node"))).distinct()
+    made = impact.refreshed_sketches(impact.downstream_sketches(n, graph(old), 6), n, graph(new), changed.select(F.col("concept_id").alias("node")), 6)
+    return impact.estimates(made, 6).select("node", F.col("downstream").cast("long").alias("downstream"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gridloom.operators import hierarchy
+from gridloom.operators import hierarchy, impact
 
 ORDERED = "id string, key string, ts timestamp, number long, late boolean"
 
@@ -43,30 +43,62 @@ def latest_version(spark, path: str) -> int:
     return spark.read.option("recursiveFileLookup", True).parquet(f"{path}/done").agg(F.max("version")).first()[0]
 
 
+def _versions(changes: DataFrame, first: dict[str, DataFrame], merge, path: str, checkpoint: str):
+    """Start a query that writes a version of tables for each batch of changes: first is version 0, merge(batch, tables of the
+    version before) makes the next one. A batch that runs again writes the same version again."""
+    spark = changes.sparkSession
+
+    def write(version: int, tables: dict[str, DataFrame]) -> None:
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}/version={version}")
+        spark.createDataFrame([(version,)], "version int").write.mode("overwrite").parquet(f"{path}/done/v{version}")
+
+    def take(batch: DataFrame, number: int) -> None:
+        write(number + 1, merge(batch, {name: spark.read.parquet(f"{path}/{name}/version={number}") for name in first}))
+
+    write(0, first)
+    return changes.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _replaced(old: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """The edges after a batch: those of a key that it names are the batch's."""
+    return old.join(batch.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(batch.select(*old.columns).distinct())
+
+
 def refresh_ancestors(changes: DataFrame, edges: DataFrame, path: str, checkpoint: str):
     """Start a query that keeps the ancestors of all concepts while edges change.
 
     changes: stream of (child_id, parent_id, relation); a child's edges are replaced by those of the batch that names it.
     edges: the hierarchy before. Each batch writes `edges` and `ancestors` under path as a version of its own, from the
-    version before it, and walks again only from concepts at or below a changed child; a batch that runs again writes the
-    same version again."""
-    spark = edges.sparkSession
+    version before it, and walks again only from concepts at or below a changed child."""
 
-    def write(version: int, hierarchy_edges: DataFrame, ancestors: DataFrame) -> None:
-        hierarchy_edges.write.mode("overwrite").parquet(f"{path}/edges/version={version}")
-        ancestors.write.mode("overwrite").parquet(f"{path}/ancestors/version={version}")
-        spark.createDataFrame([(version,)], "version int").write.mode("overwrite").parquet(f"{path}/done/v{version}")
-
-    def merge(batch: DataFrame, number: int) -> None:
-        version, changed = number + 1, batch.select(F.col("child_id").alias("concept_id")).distinct()
-        old_edges, old = (spark.read.parquet(f"{path}/{t}/version={version - 1}") for t in ("edges", "ancestors"))
-        kept = old_edges.join(changed.withColumnRenamed("concept_id", "child_id"), "child_id", "left_anti")
-        new = kept.select("child_id", "parent_id", "relation").unionByName(batch.select("child_id", "parent_id", "relation").distinct())
-        write(version, new, hierarchy.refreshed(old, new, changed))
+    def merge(batch: DataFrame, old: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        new = _replaced(old["edges"], batch, "child_id")
+        return {"edges": new, "ancestors": hierarchy.refreshed(old["ancestors"], new, batch.select(F.col("child_id").alias("concept_id")).distinct())}
 
     first = edges.select("child_id", "parent_id", "relation").distinct()
-    write(0, first, hierarchy.closure(first))
-    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _versions(changes, {"edges": first, "ancestors": hierarchy.closure(first)}, merge, path, checkpoint)
+
+
+def refresh_downstream(changes: DataFrame, nodes: DataFrame, edges: DataFrame, path: str, checkpoint: str, max_depth: int = 10):
+    """Start a query that keeps sketches of what each node reaches (`impact.downstream_sketches`) while edges change.
+
+    changes: stream of (src, dst, edge_type, criticality, mitigated); a source's edges are replaced by those of the batch that
+    names it. nodes (column node) and edges: the graph before; nodes that a batch names are added. Each batch writes
+    `edges` and `sketches` as a version of its own, and makes only those sketches anew whose node leads to a changed source."""
+
+    def merge(batch: DataFrame, old: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        new = _replaced(old["edges"], batch, "src")
+        ends = batch.select(F.col("src").alias("node")).unionByName(batch.select(F.col("dst").alias("node"))).distinct()
+        return {"edges": new, "sketches": impact.refreshed_sketches(old["sketches"], ends, new, batch.select(F.col("src").alias("node")), max_depth)}
+
+    first = edges.select("src", "dst", "edge_type", "criticality", "mitigated").distinct()
+    return _versions(changes, {"edges": first, "sketches": impact.downstream_sketches(nodes, first, max_depth)}, merge, path, checkpoint)
+
+
+def downstream(spark, path: str, max_depth: int = 10) -> DataFrame:
+    """(node, downstream) of the newest version."""
+    return impact.estimates(spark.read.parquet(f"{path}/sketches/version={latest_version(spark, path)}"), max_depth)
 
 
 def ancestors(spark, path: str) -> DataFrame:
