@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -91,47 +90,51 @@ def top_per(rows: DataFrame, key: str, order: list, limit: int) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("position") <= limit)
 
 
+#: White space at the ends of a chunk or title.
+BLANK = r"[\x09-\x0D\x1C-\x20\x85\p{Z}]+"
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{BLANK}|{BLANK}$", "")
+
+
 def sections(docs: DataFrame, id_col: str, pages: Column, size: int = 1500, overlap: int = 200, pending: int = 50, least: int = 30) -> DataFrame:
     """Chunks along section headers: id_col, n, title, first_page, last_page, text.
 
     pages is an array of page texts. Lines gather; a header closes the chunk if over `pending` characters wait; at the
     end of a page a chunk of `size` characters or more closes and leaves its last `overlap` characters to the next.
-    Chunks under `least` characters go. Headers are found in the JVM; each document is folded by itself.
+    Chunks under `least` characters go. A chunk is a stretch of the document's lines, so a fold over the lines of a
+    document that carries numbers finds where chunks begin and end, and the texts are cut out at the end. `size` must be
+    more than `overlap`.
     """
-    lines = F.flatten(F.transform(pages, lambda p, k: F.transform(F.split(p, "\n"), lambda x: F.struct(k.alias("page"), x.alias("line"), is_header(x).alias("header")))))
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n int, title string, first_page int, last_page int, text string"
-
-    def fold(batches):
-        for b in batches:
-            out = []
-            for i, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out += [(i, n, *c) for n, c in enumerate(_chunks(rows or [], size, overlap, pending, least))]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), b.schema.field(0).type if k == 0 else pa.string() if k in (2, 5) else pa.int32()) for k, c in enumerate(zip(*out) if out else [()] * 6)], [id_col, "n", "title", "first_page", "last_page", "text"])
-
-    return docs.select(id_col, lines.alias("lines")).mapInArrow(fold, schema)
-
-
-def _chunks(lines: list[dict], size: int, overlap: int, pending: int, least: int):
-    parts, length, title, first, page = [], 0, None, 0, 0
-
-    def chunk():
-        text = "\n".join(parts).strip()
-        return [(title, first, page, text)] if len(text) >= least else []
-
-    for k, row in enumerate(lines):
-        if row["header"]:
-            if length > pending:
-                yield from chunk()
-                parts, length, first = [], 0, row["page"]
-            title = row["line"].strip()
-        if not parts:
-            first = row["page"]
-        page = row["page"]
-        parts.append(row["line"])
-        length += len(row["line"]) + 1
-        last_line = k + 1 == len(lines)
-        if length >= size and not last_line and lines[k + 1]["page"] != page:
-            yield from chunk()
-            parts = ["\n".join(parts)[-overlap:]]
-            length, first = len(parts[0]), page
-    yield from chunk()
+    line = "struct<page: int, line: string, header: boolean>"
+    lines = F.coalesce(F.flatten(F.transform(pages, lambda p, k: F.transform(F.split(p, "\n"), lambda x: F.struct(k.alias("page"), x.alias("line"), is_header(x).alias("header"))))), F.array().cast(f"array<{line}>"))
+    chunk = "struct<title: string, first: int, last: int, start: int, stop: int>"
+    # start, at: where the waiting chunk and the next line begin; length: characters that wait; open: whether any line does
+    state = F.lit(None).cast(f"struct<chunks: array<{chunk}>, start: int, at: int, length: int, title: string, first: int, page: int, open: boolean>")
+    zero = F.struct(F.array().cast(f"array<{chunk}>").alias("chunks"), *[F.lit(0).alias(c) for c in ("start", "at", "length")], F.lit(None).cast("string").alias("title"), F.lit(0).alias("first"), F.lit(0).alias("page"), F.lit(False).alias("open"))
+
+    def closed(s, stop):
+        return F.array_append(s["chunks"], F.struct(s["title"].alias("title"), s["first"].alias("first"), s["page"].alias("last"), s["start"].alias("start"), stop.alias("stop")))
+
+    def take(s, x):
+        """The state after a line; x.ends: another page follows."""
+        flush = x["header"] & (s["length"] > pending)
+        fresh = flush | ~s["open"]
+        end = s["at"] + F.length(x["line"])
+        length = F.when(flush, 0).otherwise(s["length"]) + F.length(x["line"]) + 1
+        chunks = F.when(flush, closed(s, s["at"] - 1)).otherwise(s["chunks"])
+        now = F.struct(
+            chunks.alias("chunks"), F.when(fresh, s["at"]).otherwise(s["start"]).alias("start"), (end + 1).alias("at"), length.alias("length"),
+            F.when(x["header"], stripped(x["line"])).otherwise(s["title"]).alias("title"), F.when(fresh, x["page"]).otherwise(s["first"]).alias("first"), x["page"].alias("page"), F.lit(True).alias("open"))
+        full = x["ends"] & (length >= size)
+        cut_off = F.struct(closed(now, end).alias("chunks"), (end - overlap).alias("start"), now["at"].alias("at"), F.lit(overlap).alias("length"), now["title"].alias("title"), x["page"].alias("first"), x["page"].alias("page"), F.lit(True).alias("open"))
+        return F.when(full, cut_off).otherwise(now)
+
+    rows = docs.select(id_col, lines.alias("lines")).filter(F.size("lines") > 0)
+    ends = F.transform("lines", lambda x, i: F.struct(x["page"].alias("page"), x["line"].alias("line"), x["header"].alias("header"), F.coalesce(F.get("lines", i + 1)["page"] != x["page"], F.lit(False)).alias("ends")))
+    folded = rows.select(id_col, F.array_join(F.col("lines.line"), "\n").alias("whole"), F.aggregate(ends, F.coalesce(state, zero), take).alias("s"))
+    every = folded.select(id_col, "whole", closed(F.col("s"), F.col("s.at") - 1).alias("chunks"))
+    texts = F.transform("chunks", lambda c: F.struct(c["title"].alias("title"), c["first"].alias("first_page"), c["last"].alias("last_page"), stripped(F.substring(F.col("whole"), c["start"] + 1, c["stop"] - c["start"])).alias("text")))
+    kept = F.filter(texts, lambda c: F.length(c["text"]) >= least)
+    return every.select(id_col, F.posexplode(kept).alias("n", "c")).select(id_col, "n", "c.*")

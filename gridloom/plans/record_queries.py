@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import text as fn
 from gridloom.operators import folds, hierarchy, impact, metrics, records, search
-from gridloom.plans.knowledge_queries import _CLOSED, hierarchy_edges
+from gridloom.plans.knowledge_queries import _CLOSED, _HEADER, hierarchy_edges
 from gridloom.plans.registry import query
 from gridloom.plans.views import table
 from gridloom.sources import rows
@@ -45,7 +45,26 @@ def effort_edges(spark, sf_dir):
     return records.effort_edges(p, "p_partkey", ["support_a", "support_b"], {"low": 0.2, "high": 0.9})
 
 
-@query("txt05_sections")
+_STRIP = r"regexp_replace({}, '^[\x09-\x0D\x1C-\x20\x{{85}}\pZ]+|[\x09-\x0D\x1C-\x20\x{{85}}\pZ]+$', '', 'g')"
+_SECTIONS = rf"""WITH RECURSIVE p AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS page, unnest(x) AS page_text FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+y AS (SELECT doc_id, page, generate_subscripts(z, 1) AS i, unnest(z) AS line FROM (SELECT doc_id, page, string_split(page_text, chr(10)) AS z FROM p)),
+l AS MATERIALIZED (SELECT doc_id, page, line, row_number() OVER w AS k, coalesce(lead(page) OVER w <> page, false) AS ends, ({_HEADER}) AS header
+ FROM (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM y) WINDOW w AS (PARTITION BY doc_id ORDER BY page, i)),
+f AS (SELECT doc_id, 0::BIGINT AS k, ''::VARCHAR AS buffer, 0::BIGINT AS waiting, NULL::VARCHAR AS title, 0::BIGINT AS first, 0::BIGINT AS page, []::STRUCT(title VARCHAR, first BIGINT, page BIGINT, text VARCHAR)[] AS out, false AS open FROM (SELECT DISTINCT doc_id FROM l)
+ UNION ALL
+ SELECT doc_id, k, CASE WHEN full_ THEN right(b2, 200) ELSE b2 END, CASE WHEN full_ THEN 200 ELSE w2 END, title2, CASE WHEN full_ THEN page2 ELSE first2 END, page2,
+  CASE WHEN flush THEN [{{'title': title, 'first': first, 'page': page, 'text': buffer}}] ELSE [] END || CASE WHEN full_ THEN [{{'title': title2, 'first': first2, 'page': page2, 'text': b2}}] ELSE [] END, true
+ FROM (SELECT *, ends AND w2 >= 1500 AS full_ FROM (SELECT f.doc_id, l.k, f.buffer, f.title, f.first, f.page, l.ends, l.header AND f.waiting > 50 AS flush, l.page AS page2,
+   CASE WHEN (l.header AND f.waiting > 50) OR NOT f.open THEN l.line ELSE f.buffer || chr(10) || l.line END AS b2, CASE WHEN l.header AND f.waiting > 50 THEN 0 ELSE f.waiting END + length(l.line) + 1 AS w2,
+   CASE WHEN l.header THEN {_STRIP.format("l.line")} ELSE f.title END AS title2, CASE WHEN (l.header AND f.waiting > 50) OR NOT f.open THEN l.page ELSE f.first END AS first2
+  FROM f JOIN l ON l.doc_id = f.doc_id AND l.k = f.k + 1))),
+c AS (SELECT doc_id, k, o.title, o.first, o.page, o.text, j FROM (SELECT doc_id, k, unnest(out) AS o, generate_subscripts(out, 1) AS j FROM f WHERE len(out) > 0)
+ UNION ALL SELECT doc_id, k + 1, title, first, page, buffer, 1 FROM f WHERE k = (SELECT max(k) FROM l WHERE l.doc_id = f.doc_id)),
+s AS (SELECT *, {_STRIP.format("text")} AS body FROM c)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1)::INT AS n, title, first::INT AS first_page, page::INT AS last_page, md5(body) AS chunk_md5 FROM s WHERE length(body) >= 30"""
+
+
+@query("txt05_sections", _SECTIONS)
 def sections(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = records.sections(docs, "doc_id", F.split("text", "\n\n"))

@@ -1,5 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
+import random
+
 from gridloom.functions import text as fn
 from gridloom.operators import hierarchy, records
 from gridloom.streaming import messages
@@ -57,3 +61,40 @@ def test_dead_letters_carry_the_error(spark):
     m = spark.createDataFrame([("1", "k", "failed", 3, {"a": "b"}, "t", "e"), ("2", "k", "failed", 1, None, "t", "e"), ("3", "k", "failed", 5, None, "t", "e")], "id string, key string, kind string, retry_count int, payload map<string,string>, topic string, error string")
     got = {r.id: r.payload for r in messages.dead_letters(m).collect()}
     assert got == {"1": {"a": "b", "_topic": "t", "_error": "e", "_retries": "3"}, "3": {"_topic": "t", "_error": "e", "_retries": "5"}}
+
+
+def plain_chunks(pages, size, overlap, pending, least):
+    """(title, first page, last page, text) line by line."""
+    lines = [(k, x) for k, p in enumerate(pages or []) for x in p.split("\n")]
+    out, parts, length, title, first, page = [], [], 0, None, 0, 0
+    flush = lambda: out.append((title, first, page, "\n".join(parts).strip()))
+    for k, (p, x) in enumerate(lines):
+        if x.startswith("1."):
+            if length > pending:
+                flush()
+                parts, length = [], 0
+            title = x.strip()
+        if not parts:
+            first = p
+        page = p
+        parts.append(x)
+        length += len(x) + 1
+        if length >= size and k + 1 < len(lines) and lines[k + 1][0] != p:
+            flush()
+            parts = ["\n".join(parts)[-overlap:]]
+            length, first = len(parts[0]), p
+    flush()
+    return [c for c in out if len(c[3]) >= least]
+
+
+def test_random_sections_equal_a_line_by_line_fold(spark):
+    rng = random.Random(2)
+    word = lambda: rng.choice(["a b", "word", "é x", "\x1c", "", "  ", "1. Head", "text" * 9])
+    docs = [(k, ["\n".join(word().lower() if rng.random() < 0.9 else "1. Part" for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 6))]) for k in range(80)]
+    found = {}
+    rows = records.sections(spark.createDataFrame(docs, "doc long, pages array<string>"), "doc", F.col("pages"), size=90, overlap=17, pending=30, least=10)
+    for r in rows.orderBy("doc", "n").collect():
+        found.setdefault(r.doc, []).append((r.title, r.first_page, r.last_page, r.text))
+    for k, pages in docs:
+        assert found.get(k, []) == (plain_chunks(pages, 90, 17, 30, 10) if pages else [])
+    assert not any(x in rows._jdf.queryExecution().toString() for x in ("Python", "Arrow", "Pandas"))
