@@ -11,9 +11,10 @@ from pyspark.sql import Window as W
 from gridloom.plans.lineage import cut
 
 
-def tokens(text: Column, least: int = 1, most: int = 50) -> Column:
+def tokens(text: Column, least: int = 1, most: int | None = None) -> Column:
+    """Words of letters and digits in lower case; shorter or longer ones than asked for are left out."""
     words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+", " ")), " ")
-    return F.filter(words, lambda t: (F.length(t) >= least) & (F.length(t) <= most))
+    return F.filter(words, lambda t: (F.length(t) >= least) & (F.lit(True) if most is None else F.length(t) <= most))
 
 
 def prefixes(token: Column, least: int = 2, most: int = 20) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import extraction, grounding, impact, metrics, resolve, search
-from gridloom.plans.impact_queries import _OPTIONS, _TIERS, VIEWS, _from, _reach
+from gridloom.plans.impact_queries import _ALL_LOC, _OPTIONS, _TIERS, VIEWS, _of, _reach
 from gridloom.plans.registry import query
 from gridloom.plans.views import edges, links, nodes, table
 
@@ -37,18 +37,18 @@ def extracted_relations(spark, sf_dir):
     return extraction.relations(_extractions(spark, sf_dir), "o_orderkey").groupBy("src", "dst", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sea02_index_terms", r"""WITH t AS (SELECT doc_id, unnest(list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' '), lambda x: length(x) BETWEEN 1 AND 50)) AS term FROM documents)
+@query("sea02_index_terms", r"""WITH t AS (SELECT doc_id, unnest(list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' '), lambda x: length(x) >= 1)) AS term FROM documents)
 SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY term""")
 def index_terms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return search.index_terms(docs, ["text"])
 
 
-@query("gra17_mitigations_of_worst", _reach("SELECT 'LOC-7' AS origin, 'LOC-7' AS node, 0 AS hop", 5, True) + _TIERS + _OPTIONS.removeprefix(VIEWS) + """, five AS (SELECT origin, node, row_number() OVER (ORDER BY (tier <> 'CRITICAL')::INT, hop, node) AS position FROM tiers WHERE tier IN ('CRITICAL', 'HIGH') QUALIFY position <= 5)
+@query("gra17_mitigations_of_worst", _reach(_ALL_LOC, 5, True) + _TIERS + _OPTIONS.removeprefix(VIEWS) + """, five AS (SELECT origin, node, row_number() OVER (PARTITION BY origin ORDER BY (tier <> 'CRITICAL')::INT, hop, node) AS position FROM tiers WHERE tier IN ('CRITICAL', 'HIGH') QUALIFY position <= 5)
 SELECT origin, node, position, option_type, source, recovery_hours, confidence FROM five JOIN o USING (node)""")
 def mitigations_of_worst(spark, sf_dir):
     n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
-    return impact.first_mitigations(impact.propagate(_from(spark, sf_dir, "LOCATION", "key = 7"), n, links(spark, sf_dir), 5, paths=False), n, e)
+    return impact.first_mitigations(impact.propagate(_of(n, "LOCATION"), n, links(spark, sf_dir), 5, ways=False), n, e)
 
 
 _NAMES = "SELECT DISTINCT lower(p_name) AS name FROM part UNION SELECT DISTINCT lower(p_type) FROM part"

@@ -185,20 +185,20 @@ def history_of_all(spark, sf_dir):
     return impact.history(incidents(spark, sf_dir), names, "2024-01-05")
 
 
-_MULTI = _reach("SELECT node AS origin, node, 0 AS hop FROM nodes WHERE entity_type = 'LOCATION' AND key IN (3, 7, 11)", 5, True)
+_MULTI = _reach(_ALL_LOC, 5, True)
 
 
 @query("gra21_combined_scenario", _MULTI + "SELECT count(*) AS sum_of_parts, count(DISTINCT node) AS total, true AS simulation FROM reach")
 def combined_scenario(spark, sf_dir):
     n = nodes(spark, sf_dir)
-    hit = impact.propagate(_of(n, "LOCATION", "key IN (3, 7, 11)"), n, links(spark, sf_dir), 5, simulation=True, ways=False)
+    hit = impact.propagate(_of(n, "LOCATION"), n, links(spark, sf_dir), 5, simulation=True, ways=False)
     return hit.agg(F.count(F.lit(1)).alias("sum_of_parts"), F.count_distinct("node").alias("total"), F.bool_and("simulation").alias("simulation"))
 
 
 @query("gra24_layers", _MULTI + "SELECT origin, hop, entity_type, count(*) AS n FROM reach LEFT JOIN nodes USING (node) GROUP BY ALL")
 def layers(spark, sf_dir):
     n = nodes(spark, sf_dir)
-    hit = impact.propagate(_of(n, "LOCATION", "key IN (3, 7, 11)"), n, links(spark, sf_dir), 5, ways=False)
+    hit = impact.propagate(_of(n, "LOCATION"), n, links(spark, sf_dir), 5, ways=False)
     return hit.groupBy("origin", "hop", "entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -269,8 +269,8 @@ def resolve_names(spark, sf_dir):
 
 # -- search ------------------------------------------------------------------------------------------------------
 
-_BM25 = r"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' '), lambda x: length(x) BETWEEN 1 AND 50))) AS term FROM benchmark),
-t AS (SELECT doc_id AS id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' '), lambda x: length(x) BETWEEN 1 AND 50) AS t FROM documents),
+_BM25 = r"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' '), lambda x: length(x) >= 1))) AS term FROM benchmark),
+t AS (SELECT doc_id AS id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' '), lambda x: length(x) >= 1) AS t FROM documents),
 f AS (SELECT id, len(t) AS len, unnest(t) AS term FROM t), p AS (SELECT term, id, count(*) AS tf, any_value(len) AS len FROM f GROUP BY term, id),
 s AS (SELECT count(*) AS n, avg(len) AS a FROM (SELECT id, any_value(len) AS len FROM p GROUP BY id)), d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 z AS (SELECT query_id, id, round(sum(round(1e9 * (4 * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a)))))::BIGINT) / 1e9, 6) AS score FROM q JOIN p USING (term) JOIN d USING (term), s GROUP BY query_id, id),

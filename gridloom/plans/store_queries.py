@@ -141,7 +141,7 @@ def rejected_edges(spark, sf_dir):
 
 # -- lookups and search ------------------------------------------------------------------------------------------
 
-_TOKENS = r"list_filter(string_split(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), ' '), lambda x: length(x) BETWEEN 1 AND 50)"
+_TOKENS = r"list_filter(string_split(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), ' '), lambda x: length(x) >= 1)"
 
 
 def _scores(fields: dict[str, tuple[str, float]], docs: str, queries: str) -> str:
@@ -233,7 +233,7 @@ def full_records(spark, sf_dir):
 
 
 @query("lkp09_answers", """WITH asked AS (SELECT DISTINCT 'SUPPLIER#' || lpad((o_orderkey % 150)::VARCHAR, 9, '0') AS term FROM orders UNION SELECT 'also ' || n_nationkey FROM nation), n AS (SELECT lower(s_name) AS k, s_suppkey AS concept_id FROM supplier UNION ALL SELECT 'also ' || s_suppkey, s_suppkey FROM supplier WHERE s_suppkey % 2 = 0),
-m AS (SELECT k, min(concept_id) AS concept_id FROM n GROUP BY k), p AS (SELECT l_suppkey AS concept_id, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS data_assets, count(DISTINCT l_orderkey) AS n_sources FROM lineitem WHERE l_quantity > 48 GROUP BY l_suppkey),
+m AS (SELECT k, min(concept_id) AS concept_id FROM n GROUP BY k), p AS (SELECT l_suppkey AS concept_id, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS data_assets, count(DISTINCT l_orderkey) AS n_sources FROM lineitem GROUP BY l_suppkey),
 r AS (SELECT s_suppkey AS concept_id, 'LOC-' || s_nationkey AS related FROM supplier)
 SELECT term, m.concept_id IS NOT NULL AS found, m.concept_id, s_name AS name, CASE WHEN m.concept_id % 2 = 0 THEN 'also ' || m.concept_id ELSE '' END AS aliases, coalesce(related, '') AS related, coalesce(data_assets, '') AS data_assets, coalesce(n_sources, 0) AS sources_count,
  CASE WHEN m.concept_id IS NOT NULL THEN coalesce(CASE WHEN m.concept_id % 4 > 0 THEN (m.concept_id % 100) / 100.0::DOUBLE END, 0.7) END AS confidence, CASE WHEN m.concept_id IS NOT NULL THEN 'CANDIDATE' END AS status, coalesce(coalesce(CASE WHEN m.concept_id % 4 > 0 THEN (m.concept_id % 100) / 100.0 END, 0.7) < 0.6 AND m.concept_id IS NOT NULL, false) AS low_confidence
@@ -244,7 +244,7 @@ def answers(spark, sf_dir):
     surfaces = s.select(F.col("s_suppkey").alias("concept_id"), F.col("s_name").alias("surface"), F.lit("OFFICIAL").alias("form")).union(s.filter("s_suppkey % 2 = 0").select("s_suppkey", F.concat(F.lit("also "), F.col("s_suppkey")), F.lit("ALIAS")))
     none = F.lit(None).cast("string")
     known = s.select(F.col("s_suppkey").alias("concept_id"), F.col("s_name").alias("name"), none.alias("name_he"), none.alias("description"), none.alias("description_he"), F.when(F.col("s_suppkey") % 4 > 0, F.col("s_suppkey") % 100 / 100.0).alias("confidence"), none.alias("status"))
-    line = table(spark, sf_dir, "lineitem").filter("l_quantity > 48")
+    line = table(spark, sf_dir, "lineitem")
     sources = profiles.provenance(line.select(F.col("l_suppkey").alias("concept_id"), F.col("l_orderkey").cast("string").alias("source"), F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("ts")))
     out = profiles.lookup_answers(asked, surfaces, known, s.select(F.col("s_suppkey").alias("concept_id"), F.concat(F.lit("LOC-"), F.col("s_nationkey")).alias("other")), line.select(F.col("l_suppkey").alias("concept_id"), F.col("l_partkey").cast("string").alias("other")), sources)
     return out.select("term", "found", "concept_id", "name", *[F.array_join(c, ",").alias(c) for c in ("aliases", "related", "data_assets")], "sources_count", "confidence", "status", "low_confidence")
@@ -277,18 +277,17 @@ def precedents(spark, sf_dir):
     return impact.precedents(_from(spark, sf_dir, "LOCATION").withColumnRenamed("origin", "node"), _told(spark, sf_dir))
 
 
-@query("gra29_report_context", """WITH i AS (SELECT event_id, ts::DATE AS d, lower('Loc-' || (user_id % 25)) AS a, lower('SYS-' || (event_id % 200)) AS b FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-01 06:00:00'), n AS (SELECT 'LOC-' || n_nationkey AS node FROM nation),
+@query("gra29_report_context", """WITH i AS (SELECT event_id, ts::DATE AS d, lower('Loc-' || (user_id % 25)) AS a, lower('SYS-' || (event_id % 200)) AS b FROM events WHERE event_type = 'error'), n AS (SELECT 'LOC-' || n_nationkey AS node FROM nation),
 h AS (SELECT node, event_id, d, row_number() OVER (PARTITION BY node ORDER BY d DESC NULLS LAST, event_id) AS k FROM n JOIN i ON lower(node) IN (a, b))
 SELECT n.node AS origin, '=== HISTORICAL CONTEXT ===' || chr(10) || CASE WHEN event_id IS NULL THEN '  No closely matching historical incidents found in knowledge base.' ELSE '  Most recent: error ' || event_id || ' | ' || d || chr(10) || '  Outcome: not recorded' END || chr(10) || chr(10) || 'COVERAGE_CONFIDENCE: 0.9' || chr(10) || 'LOW_COVERAGE_ENTITIES: ' || n.node AS text
 FROM n LEFT JOIN h ON h.node = n.node AND k = 1""")
 def report_context(spark, sf_dir):
     at = _from(spark, sf_dir, "LOCATION")
-    early = incidents(spark, sf_dir, "ts < TIMESTAMP '2024-01-01 06:00:00'")
-    past = impact.history(early, at.withColumnRenamed("origin", "name"), limit=1).withColumns({"title": F.concat(F.lit("error "), F.col("incident_id")), "outcome": F.lit(None).cast("string")})
+    past = impact.history(incidents(spark, sf_dir), at.withColumnRenamed("origin", "name"), limit=1).withColumns({"title": F.concat(F.lit("error "), F.col("incident_id")), "outcome": F.lit(None).cast("string")})
     return impact.report_context(at, past, F.lit("0.9"), F.array("origin"))
 
 
-_RECORD = _ways("SELECT node AS origin, node, 0 AS hop, NULL::INT AS r, node AS path, '' AS edge_path FROM nodes WHERE entity_type = 'LOCATION'", 2) + """, t AS (SELECT w.origin, w.hop, w.node, w.path, n.entity_type, w.r % 2 = 1 AS mitigated,
+_RECORD = _ways("SELECT node AS origin, node, 0 AS hop, NULL::INT AS r, node AS path, '' AS edge_path FROM nodes WHERE entity_type = 'LOCATION'", 5) + """, t AS (SELECT w.origin, w.hop, w.node, w.path, n.entity_type, w.r % 2 = 1 AS mitigated,
  CASE WHEN n.status IN ('PLANNED', 'SUSPENDED') THEN 'MONITOR' WHEN n.client_tier = 'TIER_1' AND n.sla_hours <= 24 THEN CASE WHEN w.r % 2 = 1 THEN 'HIGH' ELSE 'CRITICAL' END WHEN w.r // 2 = 0 THEN CASE WHEN w.r % 2 = 1 THEN 'HIGH' ELSE 'CRITICAL' END WHEN w.r // 2 = 1 THEN 'HIGH' ELSE 'MONITOR' END AS tier FROM ways w LEFT JOIN nodes n ON n.node = w.node)"""
 
 
@@ -297,10 +296,10 @@ SELECT n.node AS location_name, n.node || ' is unavailable (disruption: UNAVAILA
 FROM nodes n LEFT JOIN g ON g.origin = n.node WHERE n.entity_type = 'LOCATION'""")
 def report_record(spark, sf_dir):
     at = _from(spark, sf_dir, "LOCATION")
-    hit = impact.propagate(at, nodes(spark, sf_dir), links(spark, sf_dir), 2, paths=False)
+    hit = impact.propagate(at, nodes(spark, sf_dir), links(spark, sf_dir), 5, ways=False)
     return impact.report_record(at, hit).select("location_name", "situation", F.array_join("named_entities", ",").alias("named_entities"), "confidence")
 
 
 @query("gra29_all_report_lines", _RECORD + """ SELECT origin, tier, count(*) AS n, string_agg('- ' || node || ' (' || entity_type || ') via ' || array_to_string(string_split(path, ' > ')[greatest(len(string_split(path, ' > ')) - 2, 1):], ' > ') || CASE WHEN mitigated THEN ' [mitigated]' ELSE '' END, chr(10) ORDER BY hop, node) AS text FROM t GROUP BY ALL""")
 def all_report_lines(spark, sf_dir):
-    return impact.report_lines(impact.propagate(_from(spark, sf_dir, "LOCATION"), nodes(spark, sf_dir), links(spark, sf_dir), 2))
+    return impact.report_lines(impact.propagate(_from(spark, sf_dir, "LOCATION"), nodes(spark, sf_dir), links(spark, sf_dir), 5))
