@@ -12,50 +12,73 @@ from gridloom.functions.text import similarity
 from gridloom.plans.lineage import cut
 
 
-def bigrams(name, short: int = 0):
-    """Distinct bigrams; names of at most `short` characters have their characters too."""
-    n = F.length(name)
-    part = lambda least, size: F.transform(F.sequence(F.lit(1), n - least), lambda i: F.substring(name, i, F.lit(size)))
-    both = F.when(n <= short, F.array_union(part(1, 2), part(0, 1))).otherwise(part(1, 2))
-    return F.when(n < 2, F.array(name)).otherwise(F.array_distinct(both))
+def _check(threshold: float) -> None:
+    if not 2 / 3 < threshold <= 1:
+        raise ValueError("threshold must be above 2/3")
 
 
-def _lost(threshold: float) -> tuple[float, int]:
-    """The share of a name's n characters that bounds how many of its bigrams a similar name lacks, and the length up to
-    which it may lack all.
+def _segments(n: str, threshold: float) -> str:
+    """SQL: into how many segments a name of n characters is cut.
 
-    An alignment that leaves u characters of the name and v of the other unmatched costs 2 u + v bigrams at most, and
-    (2 - t) u + t v <= 2 (1 - t) n at similarity t.
+    Names of n and m characters at similarity t or more leave at most (1 - t) (n + m) characters unmatched in both, and m is
+    at most n (2 - t) / t. Each unmatched character breaks one segment at most, so one segment more than that many, and one
+    stays whole. Where a name has fewer characters, its single characters do: nothing can be put into them, and one of
+    them is matched.
     """
-    if threshold <= 2 / 3:
-        raise ValueError("threshold must be above 2/3")
-    share = max(4 * (1 - threshold) / (2 - threshold), 2 * (1 - threshold) / threshold)
-    return share, int(1 / (1 - share) + 1e-6)
+    most = f"floor({n} * {(2 - threshold) / threshold} + 1e-6)"
+    return f"cast(least({n}, floor({1 - threshold} * ({n} + {most}) + 1e-6) + 1) as int)"
 
 
-def rare_bigrams(names: DataFrame, key: str, threshold: float = 0.88) -> DataFrame:
-    """(key, norm, gram): the rarest bigrams of each name, as many as any name that is similar enough must share one of."""
-    share, short = _lost(threshold)
-    grams = names.select(key, "norm", F.explode(bigrams(F.col("norm"), short)).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    ranked = grams.join(counts, "gram").groupBy(key, "norm").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
-    keep = F.when(F.length("norm") <= short, F.size("g")).otherwise(F.floor(share * F.length("norm") + 1e-9).cast("int") + 1)
-    return ranked.select(key, "norm", F.explode(F.slice("g", F.lit(1), keep)).alias("x")).select(key, "norm", "x.gram")
+def _place(n: str, k: str, i: str) -> tuple[str, str]:
+    """SQL: where segment i of k of a name of n characters begins, from 0, and its length; the last ones are the longer ones."""
+    return f"({i} * ({n} div {k}) + greatest(0, {i} - ({k} - {n} % {k})))", f"({n} div {k} + if({i} >= {k} - {n} % {k}, 1, 0))"
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.88) -> DataFrame:
-    """(left_id, right_id, left_norm, right_norm, score) with score >= threshold, which must be above 2/3. Inputs: id, norm.
+def segment_index(names: DataFrame, threshold: float) -> DataFrame:
+    """(norm, n, i, seg): the segments of each name (norm, unique) of n characters."""
+    x = names.filter("norm <> ''").withColumn("n", F.length("norm")).withColumn("k", F.expr(_segments("n", threshold))).withColumn("i", F.explode(F.expr("sequence(0, k - 1)")))
+    at, size = _place("n", "k", "i")
+    return x.selectExpr("norm", "n", "i", f"substring(norm, cast({at} as int) + 1, cast({size} as int)) AS seg")
 
-    Null names have no pair."""
-    l = rare_bigrams(left.select(F.col("id").alias("left_id"), "norm"), "left_id", threshold).withColumnRenamed("norm", "left_norm")  # noqa: E741
-    reach = math.ceil(_lost(threshold)[1] * (2 - threshold) / threshold)
-    r = right.select(F.col("id").alias("right_id"), F.col("norm").alias("right_norm"), F.explode(bigrams(F.col("norm"), reach if _lost(threshold)[1] > 1 else 0)).alias("gram"))
-    apart = math.ceil(round(100 * (1 - threshold), 6))
+
+def segment_probes(names: DataFrame, threshold: float) -> DataFrame:
+    """(norm, n, i, seg): for each length n that a similar name can have, the stretches of norm (unique) where that name's
+    segments may stand: shifted by as many characters as may be missing or added before it."""
+    t = threshold
+    x = names.filter("norm <> ''").withColumn("m", F.length("norm"))
+    lengths = f"sequence(cast(greatest(1, ceil(m * {t / (2 - t)} - 1e-6)) as int), cast(floor(m * {(2 - t) / t} + 1e-6) as int))"
+    x = x.withColumn("n", F.explode(F.expr(lengths))).withColumn("k", F.expr(_segments("n", t))).withColumn("d", F.expr(f"floor({1 - t} * (n + m) + 1e-6)"))
+    at, size = _place("n", "k", "i")
+    x = x.withColumn("i", F.explode(F.expr("sequence(0, k - 1)"))).selectExpr("norm", "m", "n", "i", f"cast({at} as int) AS at", f"cast({size} as int) AS size", "cast(floor((d - (m - n)) / 2) as int) AS gone", "cast(floor((d + (m - n)) / 2) as int) AS added")
+    x = x.selectExpr("norm", "n", "i", "size", "greatest(0, at - gone) AS low", "least(m - size, at + added) AS high").filter("low <= high")
+    return x.withColumn("q", F.explode(F.expr("sequence(low, high)"))).selectExpr("norm", "n", "i", "substring(norm, q + 1, size) AS seg")
+
+
+def similar_names(left: DataFrame, right: DataFrame, threshold: float = 0.88) -> DataFrame:
+    """(left_norm, right_norm, score) of names (norm, unique) with score >= threshold, which must be above 2/3.
+
+    A similar name holds one of the other's segments at a shifted place. The segment's number and the name's length are
+    part of the key, so a segment that many names have, such as a common word, meets only those of fitting length and
+    place. Nothing is compared but names that share a key."""
+    _check(threshold)
     total = F.length("left_norm") + F.length("right_norm")
-    near = (F.least(F.length("left_norm"), F.length("right_norm")) * 2 >= F.lit(threshold) * total) & (F.abs(F.length("left_norm") - F.length("right_norm")) <= F.ceil(F.lit(apart / 100) * total))
-    pairs = l.join(r, "gram").filter(near).select("left_id", "right_id", "left_norm", "right_norm").distinct()
+    pairs = segment_probes(left, threshold).withColumnRenamed("norm", "left_norm").join(segment_index(right, threshold).withColumnRenamed("norm", "right_norm"), ["n", "i", "seg"]).select("left_norm", "right_norm").distinct()
+    apart = math.ceil(round(100 * (1 - threshold), 6))
     close = F.expr(f"levenshtein(left_norm, right_norm, cast(({apart} * (length(left_norm) + length(right_norm))) div 100 as int)) >= 0")
-    return pairs.filter(close).withColumn("score", similarity(F.col("left_norm"), F.col("right_norm"))).filter(F.col("score") >= threshold)
+    near = F.least(F.length("left_norm"), F.length("right_norm")) * 2 >= F.lit(threshold) * total - 1e-6
+    scored = pairs.filter("left_norm <> right_norm").filter(near & close).withColumn("score", similarity(F.col("left_norm"), F.col("right_norm"))).filter(F.col("score") >= threshold)
+    same = left.select(F.col("norm").alias("left_norm")).join(right.select(F.col("norm").alias("left_norm")), "left_norm")
+    return scored.unionByName(same.select("left_norm", F.col("left_norm").alias("right_norm"), F.lit(1.0).alias("score")))
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.88) -> DataFrame:
+    """(left_id, right_id, left_norm, right_norm, score) with score >= threshold, which must be above 2/3. Inputs: id, norm.
+
+    Distinct names are compared, and rows meet their name's similar ones. Null names have no pair."""
+    l, r = left.filter("norm IS NOT NULL"), right.filter("norm IS NOT NULL")  # noqa: E741
+    found = similar_names(l.select("norm").distinct(), r.select("norm").distinct(), threshold)
+    rows = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.col("norm").alias(f"{side}_norm")).distinct()
+    return found.join(rows(l, "left"), "left_norm").join(rows(r, "right"), "right_norm").select("left_id", "right_id", "left_norm", "right_norm", "score")
 
 
 def clusters(links: DataFrame) -> DataFrame:
