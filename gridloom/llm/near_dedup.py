@@ -48,7 +48,7 @@ PICKS = 4
 #: Texts of as many words may be linked with one word changed, the longer ones with more: floor((1 - SIMILARITY) n) is 1.
 LEAST_SHORT, SHORT = 6, 13
 #: Bits of a text's words, 64 in a number.
-BITS = 1024
+BITS = 2048
 WORD = re.compile(r"\w+")
 SIGNATURE = "doc_id long, text_hash long, node binary, n_words long, bits array<long>, sketches array<long>"
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -63,9 +63,9 @@ BAND_ROWS = 2048
 #: Links that one task joins into classes; more links take rounds of joins.
 FEW_LINKS = 200_000
 #: Most parts of a bucket that give an end of either kind in a round; larger buckets take more rounds.
-MOST_SLOTS = 1024
+FIRST_SLOTS, MOST_SLOTS = 8, 1024
 #: Bytes of an end, and of the ends of all hot buckets, which are broadcast.
-END_BYTES, ENDS_BYTES = 300, 64 << 20
+END_BYTES, ENDS_BYTES = 600, 64 << 20
 
 
 class Hasher:
@@ -149,9 +149,10 @@ def left_out(h: np.ndarray) -> list[int]:
 
 
 def bits_of(h: np.ndarray) -> np.ndarray:
-    """A bit for each of the words."""
+    """A bit for each of the words; a word's second occurrence is another word."""
     held = np.zeros(BITS, bool)
-    held[(h >> np.uint64(20)) % np.uint64(BITS)] = True
+    if len(h):
+        held[(labelled(h) >> np.uint64(20)) % np.uint64(BITS)] = True
     return np.packbits(held).view(np.int64)
 
 
@@ -291,16 +292,18 @@ def linkable(size_a: Column, bits_a: Column, size_b: Column, bits_b: Column) ->
 
 
 def possible(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The pairs (a, b) that can be linked. words: (node, size, bits)."""
+    """The pairs (a, b) that can be linked. words: (node, size, bits, sketches)."""
     of = lambda end: words.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("bits").alias(f"bits_{end}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a")
     return both.filter(linkable(F.col("size_a"), F.col("bits_a"), F.col("size_b"), F.col("bits_b"))).select("a", "b")
 
 
 def new_candidates(members: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (key, node, size, bits, root, ends, is_end) of another class than the end b, with which they
-    can be linked, that are not in tested, with the classes root_a and root_b."""
-    meet = F.filter("ends", lambda e: (e["root"] != F.col("root")) & linkable(e["size"], e["bits"], F.col("size"), F.col("bits")))
+    """Pairs (a, b) of members (key, node, size, bits, sketches, root, ends, is_end) of another class than the end b, with which
+    they can be linked, that are not in tested, with the classes root_a and root_b. Of the buckets that two nodes share,
+    the one of the smallest key makes their pair."""
+    before = lambda keys: F.filter(keys, lambda k: k < F.col("key"))
+    meet = F.filter("ends", lambda e: (e["root"] != F.col("root")) & linkable(e["size"], e["bits"], F.col("size"), F.col("bits")) & ~F.arrays_overlap(before(e["sketches"]), before(F.col("sketches"))))
     pairs = members.select(F.col("node").alias("a"), "root", "is_end", F.explode(meet).alias("end"))
     pairs = pairs.filter("NOT is_end OR a < end.node").select("a", F.col("end.node").alias("b"), F.col("root").alias("root_a"), F.col("end.root").alias("root_b"))
     pairs = pairs.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).dropDuplicates(["low", "high"])
@@ -320,7 +323,7 @@ def linked(members: DataFrame, pairs: DataFrame, texts: DataFrame, words: DataFr
 
     A pair that is left untested joins two nodes of one class."""
     links = cut(verified(possible(pairs.select("a", "b"), words), texts), "verified")
-    roots, tested, slots = components(links), pairs, 1
+    roots, tested, slots = components(links), pairs, FIRST_SLOTS
     state = with_links(roots, links)
     left = members.filter("n > 3").select("key", "node", "size")
     while True:
@@ -330,8 +333,8 @@ def linked(members: DataFrame, pairs: DataFrame, texts: DataFrame, words: DataFr
         if several.isEmpty():
             return roots
         total = left.count()
-        left = cut(join_unique(left, several, ["key"], "n", total).join(words.select("node", "bits"), "node"), "open-members")
-        rank = F.struct("degree", "node", "root", "size", "bits")
+        left = cut(join_unique(left, several, ["key"], "n", total).join(words.select("node", "bits", "sketches"), "node"), "open-members")
+        rank = F.struct("degree", "node", "root", "size", "bits", "sketches")
         n_hot = several.filter(F.col("n") > total * HOT_SHARE).count()
         slots = min(slots, max(8, ENDS_BYTES // (2 * END_BYTES * max(1, n_hot))))
         ends = left.groupBy("key", F.pmod(F.xxhash64("node", "key"), F.lit(slots)).alias("slot")).agg(F.max(rank).alias("most"), F.min(rank).alias("least"), F.first("n").alias("n"))
@@ -353,7 +356,7 @@ def linked(members: DataFrame, pairs: DataFrame, texts: DataFrame, words: DataFr
         if more is not None and not more.isEmpty():
             links, roots = links.unionByName(more), joined(roots, more)
         left = met.filter("NOT is_end").select("key", "node", "size")
-        tested, slots = tested.unionByName(pairs.filter("first").select("a", "b")).unionByName(rest), min(4 * slots, MOST_SLOTS)
+        slots = min(8 * slots, MOST_SLOTS)
         state = with_links(roots, links)
 
 
@@ -422,7 +425,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     needed = members.select("node").distinct()
     reps = nodes.select("node", "rep", "rep_hash").join(needed, "node")
     texts = cut(_texts_of(docs, reps, id_col, text_col), "candidate-texts")
-    roots = linked(members, pairs, texts, nodes.select("node", F.col("n_words").alias("size"), "bits"))
+    roots = linked(members, pairs, texts, nodes.select("node", F.col("n_words").alias("size"), "bits", "sketches"))
     each = nodes.select("node", "rep", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = each.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("first"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
     unique = cut(join_unique(each, by_root, ["root"], "n_texts", nodes.count()).select("node", "n", F.col("first.rep").alias("class_id"), "class_size", "n_texts", (F.col("first.node") == F.col("node")).alias("stays")), "classes")
