@@ -53,13 +53,13 @@ def _ways(origins: str, depth: int) -> str:
     types = ", ".join(f"'{t}'" for t in impact.IMPACT_EDGES)
     out = f"""{VIEWS}, halted AS MATERIALIZED (SELECT node FROM nodes WHERE entity_type = 'PROJECT' AND status IN ('PLANNED', 'SUSPENDED')),
 e AS MATERIALIZED (SELECT src AS s, dst AS d, min({{'r': {_RANK} * 2 + mitigated::INT, 't': edge_type}}) AS w FROM edges WHERE edge_type IN ({types}) GROUP BY ALL),
-h0 AS ({origins})"""
+h0 AS (SELECT *, false AS m FROM ({origins}))"""
     for k in range(1, depth + 1):
         seen = " UNION ALL ".join(f"SELECT origin, node FROM h{j}" for j in range(k))
         stop = "" if k == 1 else "WHERE f.node NOT IN (SELECT node FROM halted)"
         out += f""",
 b{k} AS (SELECT f.origin, e.d AS node, min({{'r': e.w.r, 'p': f.node, 't': e.w.t}}) AS w FROM h{k - 1} f JOIN e ON e.s = f.node {stop} GROUP BY ALL),
-h{k} AS MATERIALIZED (SELECT b.origin, b.node, {k} AS hop, b.w.r AS r, p.path || ' > ' || b.node AS path, p.edge_path || CASE WHEN p.edge_path = '' THEN '' ELSE ' > ' END || b.w.t AS edge_path
+h{k} AS MATERIALIZED (SELECT b.origin, b.node, {k} AS hop, b.w.r AS r, p.path || ' > ' || b.node AS path, p.edge_path || CASE WHEN p.edge_path = '' THEN '' ELSE ' > ' END || b.w.t AS edge_path, p.m OR b.w.r % 2 = 1 AS m
  FROM b{k} b JOIN h{k - 1} p ON p.origin = b.origin AND p.node = b.w.p WHERE (b.origin, b.node) NOT IN (SELECT (origin, node) FROM ({seen})))"""
     every = " UNION ALL ".join(f"SELECT * FROM h{k}" for k in range(1, depth + 1))
     return f"{out}, ways AS ({every})"
@@ -74,6 +74,15 @@ def propagate_locations(spark, sf_dir):
     return hit.select("origin", "node", "entity_type", "hop", "path", "edge_path", "mitigated")
 
 
+@query("gra22_mitigated_on_the_way", _ways("SELECT node AS origin, node, 0 AS hop, NULL::INT AS r, node AS path, '' AS edge_path FROM nodes WHERE entity_type = 'LOCATION'", 5) + """
+SELECT w.origin, w.node, w.hop, w.m AS mitigated, CASE WHEN n.status IN ('PLANNED', 'SUSPENDED') THEN 'MONITOR' WHEN n.client_tier = 'TIER_1' AND n.sla_hours <= 24 OR w.r // 2 = 0 THEN CASE WHEN w.m THEN 'HIGH' ELSE 'CRITICAL' END WHEN w.r // 2 = 1 THEN 'HIGH' ELSE 'MONITOR' END AS tier
+FROM ways w LEFT JOIN nodes n ON n.node = w.node""")
+def mitigated_on_the_way(spark, sf_dir):
+    """What lies below a mitigated edge counts as mitigated."""
+    n = nodes(spark, sf_dir)
+    return impact.propagate(_of(n, "LOCATION"), n, links(spark, sf_dir), 5, along_path=True, paths=False).select("origin", "node", "hop", "mitigated", "tier")
+
+
 @query("gra07_roll_up_all_locations", _reach(_ALL_LOC, 4, True) + _TIERS + """, t AS (SELECT node AS origin FROM nodes WHERE entity_type = 'LOCATION' UNION ALL SELECT 'LOC-unknown')
 SELECT t.origin, count(*) FILTER (tier = 'CRITICAL') AS n_critical, count(*) FILTER (tier = 'HIGH') AS n_high, count(*) FILTER (tier = 'MONITOR') AS n_monitor, count(tier) AS total, coalesce(max(hop), 0) AS deepest, coalesce(max(hop), 0) < 4 AS complete
 FROM t LEFT JOIN tiers USING (origin) GROUP BY t.origin""")

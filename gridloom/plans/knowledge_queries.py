@@ -18,6 +18,18 @@ def normal_terms(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", fn.normal_term(F.concat(F.lit("  "), F.col("p_name"), F.lit("-X_y "))).alias("term"))
 
 
+_SPELT = """t AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN ' צַהַ"ל - F-35   ' || s_name || ' ' WHEN 1 THEN ' Fuel-Depot_' || s_name || '  x ' ELSE 'Cafe' || chr(769) || ' שָׁלוֹם-״א״ ' || s_name END AS term FROM supplier)"""
+
+
+@query("fn03_dispatched_terms", f"""WITH {_SPELT} SELECT s_suppkey, CASE WHEN regexp_matches(term, '[א-ת]') THEN trim(regexp_replace(lower(nfc_normalize(regexp_replace(regexp_replace(term, '[\\x{{05B0}}-\\x{{05C7}}]', '', 'g'), '[״"]', '', 'g'))), '\\s+', ' ', 'g'))
+ ELSE translate(trim(lower(term)), '-_', '  ') END AS norm FROM t""")
+def dispatched_terms(spark, sf_dir):
+    """Names spelt in Hebrew with marks, in English, and in both."""
+    n, key = F.col("s_name"), F.col("s_suppkey") % 3
+    spelt = F.when(key == 0, F.concat(F.lit(' צַהַ"ל - F-35   '), n, F.lit(" "))).when(key == 1, F.concat(F.lit(" Fuel-Depot_"), n, F.lit("  x "))).otherwise(F.concat(F.lit("Cafe\u0301 שָׁלוֹם-״א״ "), n))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", fn.normal_term(spelt).alias("norm"))
+
+
 @query("fn05_concept_ids", """WITH h AS (SELECT p_partkey, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(lower(p_name) || p_partkey)) AS h FROM part)
 SELECT p_partkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || CASE (strpos('0123456789abcdef', h[17:17]) - 1) % 4 WHEN 0 THEN '8' WHEN 1 THEN '9' WHEN 2 THEN 'a' ELSE 'b' END || h[18:20] || '-' || h[21:32] AS concept_id FROM h""")
 def concept_ids(spark, sf_dir):
@@ -40,7 +52,8 @@ def token_estimates(spark, sf_dir):
 
 # -- texts -------------------------------------------------------------------------------------------------------
 
-@query("txt01_clean_text")
+@query("txt01_clean_text", r"""WITH c AS (SELECT doc_id, regexp_replace(nfc_normalize(regexp_replace(text, '[\x{05B0}-\x{05C7}]', '', 'g')), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g') AS t FROM documents)
+SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS clean_sha256 FROM c""")
 def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(fn.clean_text(F.col("text")), 256).alias("clean_sha256"))
 
