@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Vowel marks, letters and blocks of the Hebrew script.
 MARKS = "[ְ-ׇ]"
 HEBREW_LETTER = "[א-ת]"
 HEBREW = "[֐-׿יִ-ﭏ]"
@@ -115,8 +116,12 @@ def word_count(text: Column) -> Column:
     return F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), "\\s+")))
 
 
+# Kinds of concepts that are open within the organisation, and the sensitivity of these and of all others.
+OPEN_KINDS, OPEN, CLOSED = ("ROLE", "TERM"), "INTERNAL", "CONFIDENTIAL"
+
+
 def default_sensitivity(concept_type: Column) -> Column:
-    return F.when(concept_type.isin("ROLE", "TERM"), "INTERNAL").otherwise("CONFIDENTIAL")
+    return F.when(concept_type.isin(*OPEN_KINDS), OPEN).otherwise(CLOSED)
 
 
 def low_confidence(confidence: Column) -> Column:

@@ -432,16 +432,27 @@ def report_lines(impacted: DataFrame) -> DataFrame:
     return ranked.groupBy("origin", "tier").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"), F.count(F.lit(1)).alias("n"))
 
 
+# The sentences of a report.
+HISTORY_TITLE = "=== HISTORICAL CONTEXT ==="
+MOST_RECENT, OUTCOME = "  Most recent: ", "\n  Outcome: "
+UNKNOWN_TITLE, UNKNOWN_DATE, UNKNOWN_OUTCOME = "unknown", "date unknown", "not recorded"
+NO_HISTORY = "  No closely matching historical incidents found in knowledge base."
+CONFIDENCE_LINE, LOW_COVERAGE_LINE = "COVERAGE_CONFIDENCE: ", "\nLOW_COVERAGE_ENTITIES: "
+SITUATION_DISRUPTION, SITUATION_COUNT = " is unavailable (disruption: ", " entities affected. Report generated from structured data — LLM unavailable."
+CRITICAL_NOTE, HIGH_NOTE, MONITOR_NOTE = "CRITICAL impact, no mitigation available", "HIGH impact", "MONITOR level"
+HISTORY_FAILED, REASON_FAILED = "Historical context unavailable — LLM call failed.", "LLM call failed during report generation: "
+
+
 def report_context(triggers: DataFrame, past: DataFrame, confidence: Column, low_coverage: Column) -> DataFrame:
     """The last lines of a report per origin: its most recent incident, and how far the graph covers it.
 
     past: name, title, incident_date, outcome, position (see `history`)."""
     latest = past.filter("position = 1").select(F.col("name").alias("origin"), "title", "incident_date", "outcome")
-    told = F.concat(F.lit("  Most recent: "), F.coalesce("title", F.lit("unknown")), F.lit(" | "), F.coalesce(F.col("incident_date").cast("string"), F.lit("date unknown")), F.lit("\n  Outcome: "), F.coalesce("outcome", F.lit("not recorded")))
+    told = F.concat(F.lit(MOST_RECENT), F.coalesce("title", F.lit(UNKNOWN_TITLE)), F.lit(" | "), F.coalesce(F.col("incident_date").cast("string"), F.lit(UNKNOWN_DATE)), F.lit(OUTCOME), F.coalesce("outcome", F.lit(UNKNOWN_OUTCOME)))
     out = triggers.select("origin").distinct().join(latest.withColumn("told", told), "origin", "left")
-    none = F.lit("  No closely matching historical incidents found in knowledge base.")
-    covered = F.concat(F.lit("COVERAGE_CONFIDENCE: "), confidence.cast("string"), F.when(F.size(low_coverage) > 0, F.concat(F.lit("\nLOW_COVERAGE_ENTITIES: "), F.array_join(low_coverage, ", "))).otherwise(""))
-    return out.select("origin", F.concat_ws("\n", F.lit("=== HISTORICAL CONTEXT ==="), F.coalesce("told", none), F.lit(""), covered).alias("text"))
+    none = F.lit(NO_HISTORY)
+    covered = F.concat(F.lit(CONFIDENCE_LINE), confidence.cast("string"), F.when(F.size(low_coverage) > 0, F.concat(F.lit(LOW_COVERAGE_LINE), F.array_join(low_coverage, ", "))).otherwise(""))
+    return out.select("origin", F.concat_ws("\n", F.lit(HISTORY_TITLE), F.coalesce("told", none), F.lit(""), covered).alias("text"))
 
 
 def report_record(triggers: DataFrame, impacted: DataFrame, disruption: str = "UNAVAILABLE", simulation: bool = False, reason: str = "") -> DataFrame:
@@ -454,6 +465,6 @@ def report_record(triggers: DataFrame, impacted: DataFrame, disruption: str = "U
     line = lambda c, note: F.transform(c, lambda n: F.concat(n, F.lit(f" — {note}")))
     return r.select(
         F.col("origin").alias("location_name"), F.lit(simulation).alias("is_simulation"),
-        F.concat(F.col("origin"), F.lit(f" is unavailable (disruption: {disruption}). "), F.col("total").cast("string"), F.lit(" entities affected. Report generated from structured data — LLM unavailable.")).alias("situation"),
-        line("critical", "CRITICAL impact, no mitigation available").alias("critical_immediate"), line("high", "HIGH impact").alias("high_time_sensitive"), line("monitor", "MONITOR level").alias("monitor_no_action"),
-        F.lit("Historical context unavailable — LLM call failed.").alias("historical_context"), F.lit("LOW").alias("confidence"), F.lit(f"LLM call failed during report generation: {reason}").alias("confidence_reason"), F.concat("critical", "high", "monitor").alias("named_entities"))
+        F.concat(F.col("origin"), F.lit(f"{SITUATION_DISRUPTION}{disruption}). "), F.col("total").cast("string"), F.lit(SITUATION_COUNT)).alias("situation"),
+        line("critical", CRITICAL_NOTE).alias("critical_immediate"), line("high", HIGH_NOTE).alias("high_time_sensitive"), line("monitor", MONITOR_NOTE).alias("monitor_no_action"),
+        F.lit(HISTORY_FAILED).alias("historical_context"), F.lit("LOW").alias("confidence"), F.lit(REASON_FAILED + reason).alias("confidence_reason"), F.concat("critical", "high", "monitor").alias("named_entities"))

@@ -66,16 +66,42 @@ KNOWN_HEADERS = {
 # Hints of each role, in the order in which they are tried; whether a hint may be a word of the name, the
 # whole name, or either. Names of more than one word can only be whole names.
 HINTS = [
-    ("LOCATION_ID", "either", "location loc site site_name building base address facility zone segment מיקום אתר בסיס"),
-    ("FACILITY_ID", "either", "facility_name facility building_name"),
-    ("COMPONENT_ID", "either", "component_name component"),
-    ("FREE_TEXT", "name", "operational_significance_if_damaged sop_if_damaged system_information component_importance_to_system distribution_details redundency_details redundancy_details"),
-    ("STRUCTURED_REF", "name", "primary_backup secondary_primary related_facilty related_facility connected_power_station connection_to_strategic_fuel_reserves responsible_body system site_by_aerial_defense"),
-    ("CATEGORICAL", "name", "support_for_attack_effort support_for_defende_control_effort support_for_defence_control_effort support_for_intelligence_effort support_for_allert_effort support_for_alert_effort support_for_national_effort deffence_with_iron_dome defence_with_iron_dome level_for_deffense_with_upper_layer level_for_defence_with_upper_layer central_point"),
-    ("GEO", "name", "ploygon polygon central_point refined_coordinate coordinate geo"),
-    ("DEPENDENCY", "word", "dependency dependencies dep uses contains hosts departments department projects project assets systems personnel תלות תלויות מחלקות"),
-    ("LOCATION_DESC", "word", "description desc notes remarks details purpose details_on_facilty_purpose details_on_facility_purpose תיאור הערות"),
-    ("META", "word", "region tier status type category criticality id hardering hardening concelaments concealment sidtibution distribution recovery_capability redundency redundancy mobility אזור קריטיות סטטוס"),
+    ("LOCATION_ID", "either", (
+        "location", "loc", "site", "site_name", "building", "base", "address", "facility", "zone", "segment", "מיקום", "אתר", "בסיס",
+    )),
+    ("FACILITY_ID", "either", (
+        "facility_name", "facility", "building_name",
+    )),
+    ("COMPONENT_ID", "either", (
+        "component_name", "component",
+    )),
+    ("FREE_TEXT", "name", (
+        "operational_significance_if_damaged", "sop_if_damaged", "system_information", "component_importance_to_system", "distribution_details",
+        "redundency_details", "redundancy_details",
+    )),
+    ("STRUCTURED_REF", "name", (
+        "primary_backup", "secondary_primary", "related_facilty", "related_facility", "connected_power_station", "connection_to_strategic_fuel_reserves",
+        "responsible_body", "system", "site_by_aerial_defense",
+    )),
+    ("CATEGORICAL", "name", (
+        "support_for_attack_effort", "support_for_defende_control_effort", "support_for_defence_control_effort", "support_for_intelligence_effort",
+        "support_for_allert_effort", "support_for_alert_effort", "support_for_national_effort", "deffence_with_iron_dome", "defence_with_iron_dome",
+        "level_for_deffense_with_upper_layer", "level_for_defence_with_upper_layer", "central_point",
+    )),
+    ("GEO", "name", (
+        "ploygon", "polygon", "central_point", "refined_coordinate", "coordinate", "geo",
+    )),
+    ("DEPENDENCY", "word", (
+        "dependency", "dependencies", "dep", "uses", "contains", "hosts", "departments", "department", "projects", "project", "assets", "systems",
+        "personnel", "תלות", "תלויות", "מחלקות",
+    )),
+    ("LOCATION_DESC", "word", (
+        "description", "desc", "notes", "remarks", "details", "purpose", "details_on_facilty_purpose", "details_on_facility_purpose", "תיאור", "הערות",
+    )),
+    ("META", "word", (
+        "region", "tier", "status", "type", "category", "criticality", "id", "hardering", "hardening", "concelaments", "concealment", "sidtibution",
+        "distribution", "recovery_capability", "redundency", "redundancy", "mobility", "אזור", "קריטיות", "סטטוס",
+    )),
 ]
 RULES = "kind string, key string, priority int, role string"
 
@@ -85,7 +111,7 @@ def rules() -> list[tuple[str, str, int, str]]:
     out = [("name", k, 0, role) for k, role in KNOWN_HEADERS.items()]
     for priority, (role, where, hints) in enumerate(HINTS, 1):
         kinds = {"either": ("name", "word"), "name": ("name",), "word": ("word",)}[where]
-        out += [(kind, h, priority, role) for h in hints.split() for kind in kinds]
+        out += [(kind, h, priority, role) for h in hints for kind in kinds]
     return out
 
 
