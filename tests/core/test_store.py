@@ -81,12 +81,17 @@ def test_store_is_append_only_and_replays(spark, tmp_path):
     assert counts == [100, 100]
 
 
-def test_stored_tables_are_made_once_and_cleared(spark):
-    made = []
+def test_stored_tables_are_made_once_for_each_state_of_their_inputs(spark, tmp_path):
+    made, source = [], str(tmp_path / "t.parquet")
 
     def derive():
         made.append(1)
-        return spark.range(3)
-
-    assert lineage.stored(spark, "three", derive).count() == lineage.stored(spark, "three", derive).count() == 3 and len(made) == 1
+        return spark.read.parquet(source)
+
+    spark.range(3).write.parquet(source)
+    assert lineage.stored(spark, "three", [source], derive).count() == lineage.stored(spark, "three", [source], derive).count() == 3 and len(made) == 1
+    spark.range(2).write.mode("append").parquet(source)
+    assert lineage.stored(spark, "three", [source], derive).count() == 5 and len(made) == 2
+    lineage.clear(spark)
+    assert lineage.stored(spark, "three", [source], derive).count() == 5 and len(made) == 3
     assert lineage.cut(spark.range(5)).count() == 5
