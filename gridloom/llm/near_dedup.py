@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gridloom.llm.shared import HOT_SHARE, cut, join_unique
+from gridloom.llm.shared import HOT_SHARE, cut
 from gridloom.llm.words import balanced
 
 KMER = 2
@@ -245,6 +245,21 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
         width *= 8
 
 
+def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Join rows to a table with one row for the key, where any share of the rows may have the same key; `size` is the
+    column of `unique` that tells how many of the `total` rows have its key.
+
+    The keys of over HOT_SHARE of all rows number fewer than 1 / HOT_SHARE. Their part of `unique` is broadcast, and a
+    filter by these few keys keeps their rows from the shuffle; most often there are none, and it is one plain join."""
+    (key,) = keys
+    hot = unique.filter(F.col(size) > max(1.0, total * HOT_SHARE))
+    found = [r[0] for r in hot.select(key).collect()]  # fewer than 1 / HOT_SHARE
+    if not found:
+        return rows.join(unique, key)
+    rare = F.coalesce(~F.col(key).isin(found), F.lit(True))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.filter(rare).join(unique.filter(F.col(size) <= max(1.0, total * HOT_SHARE)), key))
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are linked. texts: (node, text)."""
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
