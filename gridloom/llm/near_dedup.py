@@ -14,8 +14,9 @@ SHORT words differ by one word at most; they share an exact key, the words with
 In each bucket of equal sketches a member is first paired with one node, the first member by digest of most of its
 buckets. Buckets whose members are not yet all of one class go on in rounds: the members with the most and the fewest
 links are the bucket's ends, more of them in each round, and meet every member that has not been an end and is of another
-class. A bucket is done when the members that were no end are of one class, so no link within a bucket is missed, while
-n copies of one text make about n pairs. Before a pair becomes a row, two bitmaps of the texts' words tell whether it can
+class. From the second round on, buckets of up to WHOLE members have all of them as ends and are done with it. A bucket
+is done when the members that were no end are of one class, so no link within a bucket is missed, while n copies of one
+text make about n pairs. Before a pair becomes a row, two bitmaps of the texts' words tell whether it can
 be linked at all: a word whose bit the other text lacks is unmatched. That rules out most texts that only share a passage,
 and no link. A pair that shares the part J of its k-mers has no bucket in common with probability (1 - J**PICKS)**SKETCHES:
 0.5 % with one word in ten changed (J = 2/3), 5 % measured with one in seven.
@@ -64,6 +65,8 @@ BAND_ROWS = 2048
 FEW_LINKS = 200_000
 #: Most parts of a bucket that give an end of either kind in a round; larger buckets take more rounds.
 FIRST_SLOTS, MOST_SLOTS = 8, 1024
+#: From the second round on, all members of buckets of up to as many are ends, so these need no further round.
+WHOLE = 1024
 #: Bytes of an end, and of the ends of all hot buckets, which are broadcast.
 END_BYTES, ENDS_BYTES = 600, 64 << 20
 
@@ -318,9 +321,9 @@ def new_candidates(members: DataFrame, tested: DataFrame) -> DataFrame:
     they can be linked, that are not in tested, with the classes root_a and root_b. Of the buckets that two nodes share,
     the one of the smallest key makes their pair."""
     before = lambda keys: F.filter(keys, lambda k: k < F.col("key"))
-    meet = F.filter("ends", lambda e: (e["root"] != F.col("root")) & linkable(e["size"], e["bits"], F.col("size"), F.col("bits")) & ~F.arrays_overlap(before(e["sketches"]), before(F.col("sketches"))))
-    pairs = members.select(F.col("node").alias("a"), "root", "is_end", F.explode(meet).alias("end"))
-    pairs = pairs.filter("NOT is_end OR a < end.node").select("a", F.col("end.node").alias("b"), F.col("root").alias("root_a"), F.col("end.root").alias("root_b"))
+    meet = F.filter("ends", lambda e: (e["root"] != F.col("root")) & (~F.col("is_end") | (F.col("node") < e["node"])) & linkable(e["size"], e["bits"], F.col("size"), F.col("bits")) & ~F.arrays_overlap(before(e["sketches"]), before(F.col("sketches"))))
+    pairs = members.select(F.col("node").alias("a"), "root", F.explode(meet).alias("end"))
+    pairs = pairs.select("a", F.col("end.node").alias("b"), F.col("root").alias("root_a"), F.col("end.root").alias("root_b"))
     pairs = pairs.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).dropDuplicates(["low", "high"])
     return pairs.join(tested.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), ["low", "high"], "left_anti").drop("low", "high")
 
@@ -338,7 +341,7 @@ def linked(members: DataFrame, pairs: DataFrame, texts: DataFrame, words: DataFr
 
     A pair that is left untested joins two nodes of one class."""
     links = cut(verified(possible(pairs.select("a", "b"), words), texts), "verified")
-    roots, tested, slots = components(links), pairs, FIRST_SLOTS
+    roots, tested, slots, whole = components(links), pairs, FIRST_SLOTS, 0
     state = with_links(roots, links)
     left = members.filter("n > 3").select("key", "node", "size")
     while True:
@@ -350,9 +353,13 @@ def linked(members: DataFrame, pairs: DataFrame, texts: DataFrame, words: DataFr
         total = left.count()
         left = cut(join_unique(left, several, ["key"], "n", total).join(words.select("node", "bits", "sketches"), "node"), "open-members")
         rank = F.struct("degree", "node", "root", "size", "bits", "sketches")
-        n_hot = several.filter(F.col("n") > total * HOT_SHARE).count()
-        slots = min(slots, max(8, ENDS_BYTES // (2 * END_BYTES * max(1, n_hot))))
-        ends = left.groupBy("key", F.pmod(F.xxhash64("node", "key"), F.lit(slots)).alias("slot")).agg(F.max(rank).alias("most"), F.min(rank).alias("least"), F.first("n").alias("n"))
+        is_hot, is_whole = F.col("n") > total * HOT_SHARE, F.col("n") <= whole
+        n_hot, n_whole, largest = several.agg(F.count_if(is_hot & ~is_whole), F.coalesce(F.sum(F.when(is_hot & is_whole, F.col("n"))), F.lit(0)), F.max("n")).first()
+        if n_whole * END_BYTES > ENDS_BYTES // 2:  # too many for a broadcast
+            whole, n_hot = 0, several.filter(is_hot).count()
+        slots = min(slots, max(8, ENDS_BYTES // (4 * END_BYTES * max(1, n_hot))))
+        slot = F.xxhash64("node", "key")
+        ends = left.groupBy("key", F.when(F.col("n") <= whole, slot).otherwise(F.pmod(slot, F.lit(slots))).alias("slot")).agg(F.max(rank).alias("most"), F.min(rank).alias("least"), F.first("n").alias("n"))
         ends = ends.select("key", "n", F.explode(F.array_distinct(F.array("most", "least"))).alias("end"))
         ends = cut(ends.groupBy("key").agg(F.collect_list("end").alias("ends"), F.first("n").alias("n")), "new-ends")
         met = join_unique(left.drop("n"), ends, ["key"], "n", total).withColumn("is_end", F.exists("ends", lambda e: e["node"] == F.col("node")))
@@ -370,8 +377,10 @@ def linked(members: DataFrame, pairs: DataFrame, texts: DataFrame, words: DataFr
         more = None if rest.isEmpty() else cut(verified(rest, texts), "verified")
         if more is not None and not more.isEmpty():
             links, roots = links.unionByName(more), joined(roots, more)
+        if largest <= whole:
+            return roots
         left = met.filter("NOT is_end").select("key", "node", "size")
-        slots = min(8 * slots, MOST_SLOTS)
+        slots, whole = min(8 * slots, MOST_SLOTS), WHOLE
         state = with_links(roots, links)
 
 

@@ -249,3 +249,26 @@ def test_passages_make_few_alignments(spark, monkeypatch):
     monkeypatch.setattr(nd, "verified", counted)
     got = nd.classes(spark.createDataFrame(rows, DOCS)).collect()
     assert {r.class_size for r in got} == {1} and sum(asked) < 300
+
+
+def test_buckets_that_stay_open_take_two_rounds(spark, monkeypatch):
+    """Texts that share a passage, few of which are near copies, against all pairs."""
+    rng = random.Random(21)
+    passage = [f"p{k}" for k in range(90)]
+    texts = [passage[:45] + [f"t{k}x{j}" for j in range(30)] + passage[45:] for k in range(130)]
+    texts += [edited(rng, texts[k], "change", 0.05) for k in range(20)]
+    df = spark.createDataFrame([(k, " ".join(t), "", "", 0) for k, t in enumerate(texts)], DOCS)
+    rounds = []
+    make = nd.new_candidates
+
+    def counted(members, tested):
+        rounds.append(1)
+        return make(members, tested)
+
+    monkeypatch.setattr(nd, "new_candidates", counted)
+    check(df)
+    assert 1 <= len(rounds) <= 2
+    rounds.clear()
+    monkeypatch.setattr(nd, "WHOLE", 20)  # larger ones go on in rounds
+    check(df)
+    assert len(rounds) > 2
