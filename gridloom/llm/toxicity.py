@@ -3,7 +3,8 @@
 A character trigram model is counted over all texts. Words that may be disguised (signs beside letters, letters twice or
 more in a row, single letters set apart by anything) are character lattices: each sign stands for itself, the letters it
 imitates or nothing, a run of a letter for one or two of it, a gap between single letters for nothing. A Viterbi search
-picks the most likely reading under the model. The text with its restored words is then scored.
+picks the most likely reading under the model. The text with its restored words is then scored. A text is read in pieces
+between blanks, each distinct one once; tokens that letters set apart by blanks may span are one piece.
 
 The score is a decision list: each five-character gram of a word (with blanks at the word's ends) has the lower limit
 of the share of toxic documents among the labelled documents that contain it; a document scores the highest limit of
@@ -18,7 +19,9 @@ labels. Repeated rows are scored each; an empty input gives an empty result. Oth
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +43,19 @@ SUSPECT = re.compile(
 THRICE = re.compile(r"(.)\1\1", re.S)
 ITEM = re.compile(rf"[{LETTER}{SIGNS}]")
 WORD = re.compile(rf"[{LETTER}]{{2,}}")
+#: The beginning of a token in which no two letters or signs meet; letters set apart by blanks span such tokens only.
+LOOSE = re.compile(rf"(?:[^\w{SIGNS}]|_|[{LETTER}{SIGNS}](?![{LETTER}{SIGNS}]))*")
+RUN = re.compile(r"(.)\1*", re.S)
+TWICE = re.compile(r"(.)\1", re.S)
+#: Letters or signs set apart, where they begin a token.
+SPREAD = re.compile(rf"\s[{LETTER}{SIGNS}](?:[^\w{SIGNS}]+[{LETTER}{SIGNS}]|_+[{LETTER}{SIGNS}]){{2,}}(?![\w{SIGNS}])")
 GRAM = 5
 SAMPLE_DOCS = 15_000
 #: Standard deviations below the observed share at which the limit lies.
 Z2 = 4.0
 MIN_LIMIT = 0.3
 CACHE = 300_000
+NOTHING = (0.0, 0)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_restored int"
 #: Bits that a reading costs: a letter for its sign, a shortened run.
 SIGN_COST, RUN_COST = 1.0, 0.5
@@ -103,7 +113,7 @@ def trigram_bits(counts: np.ndarray) -> np.ndarray:
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Readings of each run of equal characters with their costs."""
     out = []
-    for m in re.finditer(r"(.)\1*", token, re.S):
+    for m in RUN.finditer(token):
         c, n = m[1], len(m[0])
         if c in IMITATES:
             out += [[*((x, SIGN_COST) for x in IMITATES[c]), (c, ITSELF_COST), ("", NOTHING_COST)]] * min(n, 2)
@@ -114,28 +124,35 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+@lru_cache(1 << 14)
+def coded(run: str) -> list[list[tuple[str, float, tuple[int, ...]]]]:
+    """The lattice of a run of equal characters, with the codes of its readings."""
+    return [[(x, cost, tuple(codes(x).tolist())) for x, cost in readings] for readings in lattice(run)]
+
+
 def set_apart(text: str) -> list[str]:
     """Letters set apart: with the signs among them, and without these, which may be what sets them apart."""
     return sorted({"".join(ITEM.findall(text)), "".join(c for c in text if c.isalpha())})
 
 
-def viterbi(token: str, bits: np.ndarray) -> str:
-    """The reading with the fewest bits; states are the last two letters."""
-    steps = lattice(token)
-    best: dict[tuple[int, int], tuple[float, int]] = {(0, 0): (0.0, -1)}
+def viterbi(token: str, bits: np.ndarray, table: list[float] | None = None) -> str:
+    """The reading with the fewest bits; states are the last two letters. table: the bits as a plain list."""
+    table = bits.ravel().tolist() if table is None else table
+    steps = [step for m in RUN.finditer(token) for step in coded(m[0][:3])]  # three stand for more
+    best: dict[int, tuple[float, int]] = {0: (0.0, -1)}
     trail: list[tuple[int, str]] = []  # (place of the reading before, what this one added)
-    for readings in [*steps, [(" ", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, int]] = {}
-        for (a, b), (cost, at) in best.items():
-            for letters, extra in readings:
-                x, y, total = a, b, cost + extra
-                for ch in letters:
-                    z = int(CODE[min(ord(ch), 65535)])
-                    total += float(bits[x, y, z])
-                    x, y = y, z
-                if (x, y) not in after or total < after[x, y][0]:
+    for readings in [*steps, *coded(" ")]:
+        after: dict[int, tuple[float, int]] = {}
+        for state, (cost, at) in best.items():
+            for letters, extra, added in readings:
+                to, total = state, cost + extra
+                for z in added:
+                    k = to * N + z
+                    total += table[k]
+                    to = k % (N * N)
+                if to not in after or total < after[to][0]:
                     trail.append((at, letters))
-                    after[x, y] = (total, len(trail) - 1)
+                    after[to] = (total, len(trail) - 1)
         best = after
     at = min(best.values())[1]
     out = []
@@ -161,13 +178,26 @@ class Restorer:
     """Disguised words of a lower-cased text, restored."""
 
     def __init__(self, bits: np.ndarray):
-        self.bits, self.known = bits, {}
+        self.bits, self.table, self.known, self.loose, self.seen = bits, bits.ravel().tolist(), {}, {}, {}
+
+    def stays(self, word: str) -> bool:
+        """Whether a word of letters, none more than twice in a row, surely reads as it stands: no two of a letter takes
+        more bits than one of it. Each changes the three bits around it only, if no other two follow at once."""
+        c, table, last = [0, *codes(word).tolist(), 0], self.table, -1
+        for m in TWICE.finditer(word):
+            k = m.start()
+            b, x, d = c[k], c[k + 1], c[k + 3]
+            if k == last or table[(b * N + x) * N + x] + table[(x * N + x) * N + d] + 1e-6 > TWICE_COST + table[(b * N + x) * N + d]:
+                return False
+            last = k + 2
+        return True
 
     def restored(self, token: str) -> str:
         got = self.known.get(token)
         if got is None:
-            got = viterbi(token, self.bits) if any(c.isalpha() for c in token) else token
-            if token.isalpha() and not THRICE.search(token) and bits_a_letter(token, self.bits) < CLEARLY * bits_a_letter(got, self.bits):
+            plain = token.isalpha() and not THRICE.search(token)
+            got = viterbi(token, self.bits, self.table) if any(c.isalpha() for c in token) and not (plain and self.stays(token)) else token
+            if got != token and plain and bits_a_letter(token, self.bits) < CLEARLY * bits_a_letter(got, self.bits):
                 got = token  # two of a letter are common; the shorter word has to be clearly the likelier one
             if len(self.known) < CACHE and len(token) < 100:
                 self.known[token] = got
@@ -192,6 +222,44 @@ class Restorer:
                 out.append(got)
         return out
 
+    def items(self, token: str) -> tuple[int, bool]:
+        """How many letters and signs the token begins with, none beside another, and whether that is all of it."""
+        got = self.loose.get(token)
+        if got is None:
+            m = LOOSE.match(token)
+            got = len(ITEM.findall(m[0])), m.end() == len(token)
+            if len(self.loose) < CACHE and len(token) < 100:
+                self.loose[token] = got
+        return got
+
+    def pieces(self, lower: str) -> Counter[str]:
+        """The parts of a text that can be read on their own, and how often each occurs: its tokens; or all tokens that
+        three letters or signs set apart may span, which are loose but for the last one."""
+        tokens = lower.split()
+        out = Counter(tokens)
+        if not SPREAD.search(" " + lower):
+            return out
+        loose = {t for t in out if self.items(t)[1]}
+        at = [k for k, t in enumerate(tokens) if t in loose] if loose else []
+        i = 0
+        while i < len(at):
+            first = at[i]
+            while i + 1 < len(at) and at[i + 1] == at[i] + 1:
+                i += 1
+            part = tokens[first : at[i] + 2]
+            i += 1
+            if len(part) > 1 and sum(self.items(t)[0] for t in part) >= 3:
+                out.subtract(part)
+                out[" ".join(part)] += 1
+        return +out
+
+    def read(self, piece: str) -> tuple[list[str], int]:
+        """(words of a piece as they stand and restored, number of restored ones)"""
+        restored = self.words(piece) if SUSPECT.search(piece) else []
+        if not restored:
+            return WORD.findall(piece), 0
+        return list(dict.fromkeys(w for t in (piece, *restored) for w in WORD.findall(t))), len(restored)
+
 
 def grams_of(word: str) -> list[str]:
     w = f" {word} "
@@ -199,12 +267,16 @@ def grams_of(word: str) -> list[str]:
 
 
 def all_words(text: str, restorer: Restorer) -> tuple[set[str], int]:
-    lower = text.lower()
-    restored = restorer.words(lower)
-    found = set(WORD.findall(lower))
-    for r in restored:
-        found.update(WORD.findall(r))
-    return found, len(restored)
+    found, n, seen = set(), 0, restorer.seen
+    for piece, times in restorer.pieces(text.lower()).items():
+        got = seen.get(piece)
+        if got is None:
+            got = restorer.read(piece)
+            if len(seen) < CACHE // 4 and len(piece) < 100:
+                seen[piece] = got
+        found.update(got[0])
+        n += got[1] * times
+    return found, n
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
@@ -311,21 +383,25 @@ class Scorer:
     """Scores whole texts in a task."""
 
     def __init__(self, model: Model):
-        self.model, self.restorer, self.weight = model, Restorer(model.bits), {}
+        self.model, self.restorer, self.seen = model, Restorer(model.bits), {}
 
     def of(self, word: str) -> float:
-        w = self.weight.get(word)
-        if w is None:
-            limits = self.model.limits
-            w = max([limits.get(g, 0.0) for g in grams_of(word)], default=0.0)
-            if len(self.weight) < CACHE:
-                self.weight[word] = w
-        return w
+        limits = self.model.limits
+        return max([limits[g] for g in grams_of(word) if g in limits], default=0.0)
 
     def score(self, text: str) -> tuple[float, int]:
         """(score, number of restored words)"""
-        words, n = all_words(text, self.restorer)
-        return max(self.model.base, max(map(self.of, words), default=0.0)), n
+        best, n, seen = self.model.base, 0, self.seen
+        for piece, times in self.restorer.pieces(text.lower()).items():
+            got = seen.get(piece)
+            if got is None:
+                words, restored = self.restorer.read(piece)
+                got = max(map(self.of, words), default=0.0), restored
+                if len(seen) < CACHE and len(piece) < 100:
+                    seen[piece] = got if any(got) else NOTHING
+            if got is not NOTHING:
+                best, n = max(best, got[0]), n + got[1] * times
+        return best, n
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

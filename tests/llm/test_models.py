@@ -158,3 +158,25 @@ def test_viterbi_equals_search_over_all_readings():
         got = toxicity.viterbi(token, bits)
         c = toxicity.codes(f"  {got} ")
         assert got == best[1] or abs(best[0] - min(sum(e for _, e in r) + float(bits[c[:-2], c[1:-1], c[2:]].sum()) for r in itertools.product(*steps) if "".join(x for x, _ in r) == got)) < 1e-3
+
+
+def test_pieces_read_as_the_whole_text_and_once(monkeypatch):
+    """Readings of pieces against readings of whole texts; a piece that occurs often is read once."""
+    rng = np.random.default_rng(5)
+    bits = toxicity.trigram_bits(rng.integers(0, 50, (toxicity.N,) * 3).astype(float))
+    r, across = toxicity.Restorer(bits), 0
+    for letters in ("ab1!.-_ \n2é", "ab. ", "a b c-d_1 \t,x$ 9", "lo0s5er  .!*"):
+        for n in rng.integers(0, 30, 1500):
+            text = "".join(rng.choice(list(letters), n))
+            whole = r.words(text)
+            want = set(toxicity.WORD.findall(text)) | {w for x in whole for w in toxicity.WORD.findall(x)}
+            assert toxicity.all_words(text, r) == (want, len(whole)), text
+            across += any(" " in p for p in r.pieces(text))
+    assert across > 100
+    for word in ("letter", "aabb", "xaa", "aa", "booksee"):
+        assert not r.stays(word) or toxicity.viterbi(word, bits) == word
+    asked, words = [], toxicity.Restorer.words
+    monkeypatch.setattr(toxicity.Restorer, "words", lambda self, text: asked.append(len(text)) or words(self, text))
+    scorer = toxicity.Scorer(toxicity.Model(bits))
+    assert scorer.score("the letter l0ser " * 1000)[1] >= 1000
+    assert sum(asked) < 100
