@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gridloom.plans.lineage import cut
+from gridloom.plans.lineage import cut, drop
 
 # Edge types that carry impact; ranks of criticality.
 IMPACT_EDGES = ["HOSTS", "RUNS", "OPERATES", "SERVES", "USES", "FEEDS", "STAFFED_BY"]
@@ -259,9 +259,106 @@ def counted(origins: DataFrame, edges: DataFrame, max_depth: int, nodes: DataFra
     return origins.select("origin").distinct().join(each, "origin", "left").na.fill(0, list(sums))
 
 
+#: A node whose walks, each one counted, have more ends than this is broad.
+BROAD = 20_000
+
+
+def _steps(one: DataFrame, first: DataFrame, depth: int) -> list[DataFrame]:
+    """The edges (src, dst) that walks over `one` may take as their first, second, ... step, if `first` has the first ones."""
+    steps, n = [first], first.count()
+    while len(steps) < depth:
+        rest = cut(one.join(steps[-1].select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+        before, n = n, rest.count()
+        if n == before and rest.join(steps[-1], ["src", "dst"], "left_anti").isEmpty():  # from here on, walks stay where they are
+            drop(rest)
+            return steps + [steps[-1]] * (depth - len(steps))
+        steps.append(rest)
+    return steps
+
+
+def _numbers(names: DataFrame) -> DataFrame:
+    """(node, number): the distinct names (node), numbered from 0 without gaps."""
+    at = cut(names.select("node").distinct().withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    sizes = at.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    # a row per partition
+    before = sizes.select("part", "first", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    kind = "int" if at.count() < 2**31 else "long"  # sets of four bytes a node as long as they do
+    out = cut(at.join(F.broadcast(before), "part").select("node", (F.col("at") - F.col("first") + F.col("before")).cast(kind).alias("number")))
+    drop(at)
+    return out
+
+
+def _walk_ends(steps: list[DataFrame]) -> DataFrame:
+    """(node, ends): how many ends the walks from a node have, each walk counted: at least as many as the nodes it reaches."""
+    ends = None
+    for step in reversed(steps):
+        if ends is None:
+            found = step.withColumn("more", F.lit(0).cast("long"))
+        else:
+            found = step.join(ends.select(F.col("node").alias("dst"), F.col("ends").alias("more")), "dst", "left")
+        total = F.least(F.sum(1 + F.coalesce("more", F.lit(0))), F.lit(BROAD + 1)).alias("ends")
+        made = cut(found.groupBy(F.col("src").alias("node")).agg(total))
+        if ends is not None:
+            drop(ends)
+        ends = made
+    return ends
+
+
+def _union_step(step: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(src, nodes): the successors of each source and what `before` (node, nodes) has of them, each once."""
+    if before is None:
+        found = step.select("src", F.array("dst").alias("nodes"))
+    else:
+        own = F.coalesce(F.array_append("nodes", F.col("dst")), F.array("dst"))
+        found = step.join(before.select(F.col("node").alias("dst"), "nodes"), "dst", "left").select("src", own.alias("nodes"))
+    return found.groupBy("src").agg(F.array_distinct(F.flatten(F.collect_list("nodes"))).alias("nodes"))
+
+
+def _narrow_counts(steps: list[DataFrame]) -> DataFrame:
+    """(node, downstream) of all sources in the edges (src, dst) of `steps`, whose sets must be small (see BROAD).
+
+    Sets are made from the ends of walks upwards, a hop a level, so what many nodes reach is put together once. A level holds
+    the sets that the next one takes: those of nodes where a walk can be after so many steps."""
+    before = None
+    for step in reversed(steps[1:]):
+        made = cut(_union_step(step, before).select(F.col("src").alias("node"), "nodes"))
+        if before is not None:
+            drop(before)
+        before = made
+    counts = cut(_union_step(steps[0], before).select(F.col("src").alias("node"), F.size(F.array_remove("nodes", F.col("src"))).cast("long").alias("downstream")))
+    if before is not None:
+        drop(before)
+    return counts
+
+
 def downstream_counts(origins: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:
-    """Distinct nodes that each origin reaches, itself excluded; 0 where there are none."""
-    return counted(origins, edges, max_depth)
+    """Distinct nodes that each origin reaches, itself excluded; 0 where there are none. origins: as for `hops`.
+
+    Origins with few walks get sets of node numbers from below (`_narrow_counts`), so that origins, of which there may be as
+    many as nodes, share them; the others get bitmaps (`counted`)."""
+    if "node" in origins.columns:  # an origin may start at many nodes
+        return counted(origins, edges, max_depth)
+    asked = origins.select(F.col("origin").alias("node")).distinct()
+    e = edges if "fan" in edges.columns else cut(links(edges))
+    numbers = _numbers(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))))
+    number = lambda end: numbers.select(F.col("node").alias(end), F.col("number").alias(f"{end}_number"))
+    one = cut(e.select("src", "dst").join(number("src"), "src").join(number("dst"), "dst").select(F.col("src_number").alias("src"), F.col("dst_number").alias("dst")).distinct())
+    steps = _steps(one, cut(one.join(asked.join(numbers, "node").select(F.col("number").alias("src")), "src", "left_semi")), max_depth)
+    ends = _walk_ends(steps)
+    _drop_steps(steps)
+    known = cut(asked.join(numbers, "node").join(ends.withColumnRenamed("node", "number"), "number"))
+    drop(ends)
+    steps = _steps(one, cut(one.join(known.filter(F.col("ends") <= BROAD).select(F.col("number").alias("src")), "src", "left_semi")), max_depth)
+    few = _narrow_counts(steps)
+    _drop_steps(steps)
+    drop(one, numbers)
+    many = counted(known.filter(F.col("ends") > BROAD).select(F.col("node").alias("origin")), e, max_depth)
+    named = known.select("number", F.col("node").alias("origin")).join(few.withColumnRenamed("node", "number"), "number").select("origin", "downstream")
+    return asked.withColumnRenamed("node", "origin").join(named.unionByName(many), "origin", "left").na.fill(0, ["downstream"])
+
+
+def _drop_steps(steps: list[DataFrame]) -> None:
+    drop(*{id(s): s for s in steps}.values())
 
 
 def _level(own: DataFrame, one: DataFrame, before: DataFrame) -> DataFrame:

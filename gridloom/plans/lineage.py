@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables that are derived once a session: (application, name) -> path.
 _STORED: dict[tuple[str, str], str] = {}
+#: Where the tables that `cut` returned are.
+_CUT: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def folder(spark: SparkSession) -> str:
@@ -23,11 +27,37 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/gridloom-{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def swept(spark: SparkSession):
+    """A query that runs inside takes its shuffle files away when it ends; else they stay until the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once, written as Parquet and read back. Its size on disk tells Spark whether to broadcast it."""
     path = f"{folder(df.sparkSession)}/core-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with swept(df.sparkSession):
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _CUT[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that `cut` returned, as soon as nothing reads them any more."""
+    for df in tables:
+        _delete(df.sparkSession, _CUT.pop(df))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def state(spark: SparkSession, paths: list[str]) -> str:
@@ -43,14 +73,14 @@ def stored(spark: SparkSession, name: str, inputs: list[str], derive) -> DataFra
     key = (spark.sparkContext.applicationId, f"{name} {' '.join(inputs)} {state(spark, inputs)}")
     if key not in _STORED:
         path = f"{folder(spark)}/stored-{uuid.uuid4().hex}"
-        derive().write.parquet(path)
+        with swept(spark):
+            derive().write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
 
 def clear(spark: SparkSession) -> None:
     """Remove all that this session's queries have written. No result that is not yet collected may be used after it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, folder(spark))
     for key in [k for k in _STORED if k[0] == spark.sparkContext.applicationId]:
         del _STORED[key]
