@@ -58,3 +58,26 @@ def test_counts_of_all_nodes_keep_no_row_for_each_pair(spark):
     start = written(spark)
     impact.counted(asked, ready, 6).count()
     assert kept < (written(spark) - start) / 4
+
+
+def test_estimates_keep_no_level(spark, monkeypatch):
+    """The sketches of all levels give the same estimates; nodes that no edge has, and ends that are no nodes."""
+    rng = random.Random(4)
+    names = [f"n{k}" for k in range(400)]
+    edges = spark.createDataFrame([(rng.choice(names[:300]), rng.choice([*names, "else"]), "FEEDS", "LOW", False) for _ in range(700)], EDGES)
+    ready, nodes = lineage.cut(impact.links(edges)), lineage.cut(spark.createDataFrame([(n,) for n in [*names, "alone"]], "node string"))
+    start = written(spark)
+    want = {tuple(r) for r in impact.estimates(impact.downstream_sketches(nodes, ready, 6), 6).collect()}
+    kept = written(spark) - start
+    monkeypatch.setattr(impact, "SLICE_EDGES", 100, raising=False)
+    start = written(spark)
+    assert {tuple(r) for r in impact.downstream_estimates(nodes, ready, 6).collect()} == want and len(want) >= 401
+    assert written(spark) - start < kept / 4
+
+
+def test_stored_tables_leave_nothing_else(spark, tmp_path):
+    source = str(tmp_path / "t.parquet")
+    spark.range(1000).write.parquet(source)
+    start = written(spark)
+    lineage.stored(spark, "few", [source], lambda: lineage.cut(spark.read.parquet(source)).filter("id < 3"))
+    assert written(spark) - start < 3000
