@@ -27,7 +27,7 @@ def binary_documents(spark, sf_dir):
 
 @query("src02_documents_since")
 def documents_since(spark, sf_dir):
-    return rows.binary_documents(spark, sf_dir, "*.parquet", since="1971-01-01").select(F.element_at(F.split("path", "/"), -1).alias("name"), "size")
+    return rows.binary_documents(spark, sf_dir, "*.parquet", since="1971-01-01", hashed=False).select(F.element_at(F.split("path", "/"), -1).alias("name"), "size")
 
 
 @query("snk01_provenance_rows", """SELECT user_id || '::' || event_type AS doc_id, arg_min(event_id::VARCHAR, (ts, event_id)) AS title, min(ts) AS created, max(ts) AS updated FROM events GROUP BY user_id, event_type""")
