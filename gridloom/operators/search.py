@@ -91,15 +91,94 @@ def top_k(scored: DataFrame, k: int, offset: int = 0) -> DataFrame:
 def knn(queries: DataFrame, docs: DataFrame, k: int = 10, block_rows: int = 4096) -> DataFrame:
     """Exact top k by cosine: a stated query set (query_id, v) meets all docs (id, v) block by block, a block of about
     `block_rows` docs with a block of as many queries, so the number of tasks follows the input. Each block pair keeps k
-    per query. For large query sets take an approximate search; this one checks it."""
+    per query. A matrix product finds the docs that may be among them, whose scores are then summed component by component.
+    Missing components take no part; a score is null if no component is in both vectors, and NaN, which ranks first, if a
+    vector is zero or a component is not finite. For large query sets take an approximate search; this one checks it."""
     n_docs, n_queries = (max(1, -(-x.count() // block_rows)) for x in (docs, queries))
-    dealt = lambda id_col, n: F.pmod(F.xxhash64(id_col), F.lit(n))
-    own = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
-    d = docs.select("id", "v", own("v").alias("norm"), dealt("id", n_docs).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("query_block"))
-    q = queries.select("query_id", F.col("v").alias("q"), own("v").alias("q_norm"), dealt("query_id", n_queries).cast("int").alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(n_docs - 1))).alias("block"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = q.join(d, ["block", "query_block"]).select("query_id", "id", F.round(dot / (F.col("q_norm") * F.col("norm")), 6).alias("score"))
-    return top_k(scored, k)
+    dealt = lambda id_col, n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    numbers = lambda c: F.col(c).cast("array<double>") if "double" in dict(docs.dtypes)["v"] + dict(queries.dtypes)["v"] else F.col(c).cast("array<float>")
+    d = docs.select("id", numbers("v").alias("v"), dealt("id", n_docs).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("query_block"))
+    q = queries.select("query_id", numbers("v").alias("v"), dealt("query_id", n_queries).alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(n_docs - 1))).alias("block"))
+    kinds = ", ".join(f"{c} {t.schema[c].dataType.simpleString()}" for t, c in ((q, "query_id"), (d, "id")))
+    scored = q.groupBy("block", "query_block").cogroup(d.groupBy("block", "query_block")).applyInArrow(_best_of_block(k), f"{kinds}, score double")
+    return top_k(scored.withColumn("score", F.round("score", 6)), k)
+
+
+#: Pairs whose components a task holds at a time, and how far a rounded score may be from a matrix product, twice.
+PAIRS, APART = 1 << 15, 1.01e-6
+
+
+def _best_of_block(k: int):
+    """A function of the queries (query_id, v) and docs (id, v) of a block pair, for their query_id, id, score: the k best docs
+    of each query by rounded score, then id. Where rounding is not certain, more of them."""
+
+    def meet(asked, known):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def matrix(rows):
+            """Components with 0 where there is none, and whether there is one."""
+            v = rows.column("v").combine_chunks()
+            lengths = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pc.list_flatten(v)
+            m = np.zeros((len(lengths), max(1, lengths.max())))
+            there = np.zeros(m.shape, bool)
+            at = np.repeat(np.arange(len(lengths)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            m[at], there[at] = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False)
+            return m, there
+
+        def norms(m):
+            total = np.zeros(len(m))
+            for i in range(m.shape[1]):  # in this order, as every sum here
+                total += m[:, i] * m[:, i]
+            return np.sqrt(total)
+
+        def exact(qi, di):
+            total, any_there = np.zeros(len(qi)), np.zeros(len(qi), bool)
+            for i in range(min(q.shape[1], d.shape[1])):
+                both = q_there[qi, i] & d_there[di, i]
+                total += np.where(both, q[qi, i] * d[di, i], 0.0)
+                any_there |= both
+            return np.where(any_there, total / (q_norm[qi] * d_norm[di]), -np.inf)  # -inf: null
+
+        if not asked.num_rows or not known.num_rows:
+            return pa.table({"query_id": asked.column("query_id").slice(0, 0), "id": known.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
+        with np.errstate(all="ignore"):
+            (q, q_there), (d, d_there) = matrix(asked), matrix(known)
+            q_norm, d_norm, width = norms(q), norms(d), max(q.shape[1], d.shape[1])
+            plain = lambda m, there, norm: there.all(1) & np.isfinite(norm) & (norm > 0) & (m.shape[1] == width)
+            q_plain, d_plain = plain(q, q_there, q_norm), plain(d, d_there, d_norm)
+            place = np.empty(len(d), np.int64)
+            place[pc.sort_indices(known.column("id")).to_numpy()] = np.arange(len(d))
+            every, usual, odd = np.arange(len(d)), np.flatnonzero(d_plain), np.flatnonzero(~d_plain)
+            near = (d[usual] / d_norm[usual, None]).T
+            found = []
+            for begin in range(0, len(q), 256):
+                rows = np.arange(begin, min(begin + 256, len(q)))
+                here, qi, di = rows[q_plain[rows]], [], []
+                if len(here) and len(usual):
+                    like = (q[here] / q_norm[here, None]) @ near
+                    least = np.partition(like, like.shape[1] - k, axis=1)[:, like.shape[1] - k] if like.shape[1] > k else np.full(len(here), -np.inf)
+                    a, b = np.nonzero(like >= least[:, None] - APART)
+                    qi, di = [here[a]], [usual[b]]
+                for of, docs in ((here, odd), (rows[~q_plain[rows]], every)):
+                    qi, di = [*qi, np.repeat(of, len(docs))], [*di, np.tile(docs, len(of))]
+                qi, di = np.concatenate(qi), np.concatenate(di)
+                score = np.concatenate([np.empty(0), *[exact(qi[i : i + PAIRS], di[i : i + PAIRS]) for i in range(0, len(qi), PAIRS)]])
+                units = np.where(np.isnan(score), np.inf, score) * 1e6  # NaN ranks first, null last
+                low, high = np.floor(units + 0.5 - 1e-6), np.floor(units + 0.5 + 1e-6)
+                order = np.lexsort((place[di], -low, qi))
+                first = np.searchsorted(qi[order], rows)
+                count = np.diff(np.append(first, len(order)))
+                last = order[np.minimum(first + k - 1, first + count - 1)]  # the k-th of each query
+                worst, until = low[last][qi - begin], place[di[last]][qi - begin]
+                keep = (count[qi - begin] <= k) | (high > worst) | ((high == worst) & (place[di] <= until))
+                found.append((qi[keep], di[keep], score[keep]))
+            qi, di, score = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"query_id": asked.column("query_id").take(pa.array(qi)), "id": known.column("id").take(pa.array(di)), "score": pa.array(score, mask=score == -np.inf)})
+
+    return meet
 
 
 #: Projections of a vector's signature, hash tables, and buckets that a query looks into in each table.
