@@ -8,7 +8,7 @@ import pytest
 
 from gridloom.operators import search
 from gridloom.plans import knowledge_queries  # noqa: F401  (registers the SQL)
-from gridloom.plans.registry import SQL
+from gridloom.plans.registry import QUERIES, SQL
 
 
 def by_sql(rows):
@@ -44,3 +44,14 @@ def test_search_of_many_pairs_ends_in_time(spark):
     began = time.time()
     assert search.knn(made.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), made, 3).filter("rank = 1 AND query_id = id").count() == 900
     assert time.time() - began < 40
+
+
+def test_fusion_with_odd_vectors_as_the_sql(spark, tmp_path):
+    rng = random.Random(2)
+    odd = [None, [0.0] * 4, [1.0, None, 2.0, 1.0], [1.0, 2.0]]
+    rows = [(k, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(3)] + [1.0], k % 3 if k % 7 else None) for k in range(300)] + [(300 + 25 * j, x, 1) for j, x in enumerate(odd)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(map(tuple, QUERIES["sea05_hybrid_fusion"](spark, str(tmp_path)).collect()))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(c.execute(SQL["sea05_hybrid_fusion"]).fetchall()) and len(got) == 80
