@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import impact
 from gridloom.plans import lineage
-from tests.core.test_impact import EDGES, origins
+from tests.core.test_impact import EDGES, graph, origins
 
 
 def written(spark):
@@ -81,3 +81,27 @@ def test_stored_tables_leave_nothing_else(spark, tmp_path):
     start = written(spark)
     lineage.stored(spark, "few", [source], lambda: lineage.cut(spark.read.parquet(source)).filter("id < 3"))
     assert written(spark) - start < 3000
+
+
+def test_report_lines_in_pieces_from_the_last_nodes(spark, monkeypatch):
+    """Lines over many pieces in order; the last three nodes of a way are carried along and equal the end of the way."""
+    rng = random.Random(9)
+    names = [f"n{k}" for k in range(120)]
+    nodes, edges = graph(spark, [(n, rng.choice(["PROJECT", "SYSTEM"]), rng.choice(["ACTIVE", "PLANNED"])) for n in names[:-2]], [(rng.choice(names), rng.choice(names), "FEEDS", rng.choice(list(impact.RANK)), rng.random() < 0.5) for _ in range(300)])
+    at, ready = origins(spark, *names[:12]), lineage.cut(impact.links(edges, nodes=nodes))
+    full = impact.propagate(at, nodes, ready).collect()
+    start = written(spark)
+    tail = impact.propagate(at, nodes, ready, tail=True)
+    assert {(r.origin, r.node): (r.path, r.tier) for r in tail.collect()} == {(r.origin, r.node): (" > ".join(r.path.split(" > ")[-3:]), r.tier) for r in full} and "edge_path" not in tail.columns
+    monkeypatch.setattr(impact, "PIECE_LINES", 7)
+    want = {}
+    for r in sorted(full, key=lambda r: (r.hop, r.node)):
+        said = want.setdefault((r.origin, r.tier), [0, []])
+        said[0] += 1
+        if r.entity_type is not None:
+            said[1].append(f"- {r.node} ({r.entity_type}) via {' > '.join(r.path.split(' > ')[-3:])}{' [mitigated]' if r.mitigated else ''}")
+    before = shuffle_files(spark)
+    lines = impact.report_lines(tail)
+    left = [n for n in shuffle_files(spark) - before if n.endswith(".data") and os.path.getsize(n) > 200]
+    assert {(r.origin, r.tier): [r.n, r.text] for r in lines.collect()} == {k: [n, "\n".join(x)] for k, (n, x) in want.items()}
+    assert len(full) > 300 and max(n for n, _ in want.values()) > 14 and not left and written(spark) > start
